@@ -82,7 +82,7 @@ def _sql_best(n: int) -> str:
 
 #: DuckDB has no CRC-32: its bytes are folded through the 256-entry table, built here from the polynomial.
 _SQL_CRC = """(list_reduce(
-  list_concat([4294967295::BIGINT], list_transform(range(1, octet_length(encode(coalesce(text, ''))) + 1), lambda i: ('0x' || substr(hex(encode(coalesce(text, ''))), (2 * i - 1)::BIGINT, 2))::BIGINT)),
+  list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
   lambda a, b: xor(a >> 8, l[xor(a & 255, b) + 1])))"""
 
 OP5_SQL = f"""
