@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, sharding
+from . import chat, fertility, sharding
 from .common import ship
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     for k, f in {
         "op4_chat_snapshots": chat.op4_chat_snapshots,
         "op5_rendezvous_shards": sharding.op5_rendezvous_shards,
+        "op6_tokeniser_fertility": fertility.op6_tokeniser_fertility,
     }.items()
 }
 ORACLE_SQL = {"op4_chat_snapshots": chat.OP4_SQL, "op5_rendezvous_shards": sharding.OP5_SQL}
