@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fertility, sharding
+from . import chat, fertility, linechunks, sharding
 from .common import ship
 
 
@@ -21,6 +21,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 QUERIES = {
     k: _shipped(f)
     for k, f in {
+        "op2_line_chunks": linechunks.op2_line_chunks,
         "op4_chat_snapshots": chat.op4_chat_snapshots,
         "op5_rendezvous_shards": sharding.op5_rendezvous_shards,
         "op6_tokeniser_fertility": fertility.op6_tokeniser_fertility,
