@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fertility, linechunks, minhash, sharding
+from . import chat, decontam, fertility, linechunks, minhash, sharding
 from .common import ship
 
 
@@ -21,6 +21,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 QUERIES = {
     k: _shipped(f)
     for k, f in {
+        "op3_simhash_decontamination": decontam.op3_simhash_decontamination,
         "op10_minmax_near_duplicates": minhash.op10_minmax_near_duplicates,
         "op2_line_chunks": linechunks.op2_line_chunks,
         "op4_chat_snapshots": chat.op4_chat_snapshots,
@@ -28,4 +29,4 @@ QUERIES = {
         "op6_tokeniser_fertility": fertility.op6_tokeniser_fertility,
     }.items()
 }
-ORACLE_SQL = {"op10_minmax_near_duplicates": minhash.OP10_SQL, "op4_chat_snapshots": chat.OP4_SQL, "op5_rendezvous_shards": sharding.OP5_SQL}
+ORACLE_SQL = {"op3_simhash_decontamination": decontam.OP3_SQL, "op10_minmax_near_duplicates": minhash.OP10_SQL, "op4_chat_snapshots": chat.OP4_SQL, "op5_rendezvous_shards": sharding.OP5_SQL}
