@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fertility, linechunks, minhash, resample, sharding, spm_scan
+from . import chat, decontam, extract, fertility, linechunks, minhash, resample, sharding, spm_scan
 from .common import ship
 
 
@@ -21,6 +21,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 QUERIES = {
     k: _shipped(f)
     for k, f in {
+        "op9_host_suffix_array": extract.op9_host_suffix_array,
         "op8_sentencepiece_scan": spm_scan.op8_sentencepiece_scan,
         "op7_importance_resampling": resample.op7_importance_resampling,
         "op3_simhash_decontamination": decontam.op3_simhash_decontamination,
