@@ -190,5 +190,18 @@ def fertility(docs: DataFrame, vocabulary: str = VOCABULARY, bands: dict[str, Ba
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, vocabulary: str = VOCABULARY, bands: dict[str, Band] = BANDS, script_bands: dict[str, Band] = SCRIPT_BANDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep."""
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = WordTable(vocabulary)
+        for b in batches:
+            keep = [judge(t.as_py(), g.as_py(), words_of, bands, script_bands)[6] for t, g in zip(b.column(at), b.column(lang_at), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility(table(spark, sf_dir, "documents"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, extract, fertility, linechunks, minhash, resample, sharding, spm_scan
+from . import chat, decontam, extract, fertility, linechunks, minhash, resample, sharding, spm_scan, warc
 from .common import ship
 
 
@@ -21,6 +22,8 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 QUERIES = {
     k: _shipped(f)
     for k, f in {
+        "pipeline": corpus_pipeline.run,
+        "op1_warc_derivatives": warc.op1_warc_derivatives,
         "op9_host_suffix_array": extract.op9_host_suffix_array,
         "op8_sentencepiece_scan": spm_scan.op8_sentencepiece_scan,
         "op7_importance_resampling": resample.op7_importance_resampling,

@@ -349,8 +349,12 @@ def decode_documents(encoded: DataFrame, model: str = MODEL, id_col: str = "doc"
     return e.mapInArrow(run, f"doc {kind}, text string, ids array<int>")
 
 
-def op8_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document, with the size and checksum of what they decode to."""
-    back = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
+def encoded_and_checked(docs: DataFrame, **params) -> DataFrame:
+    """doc_id, ids, n_ids, and size and checksum of what the ids decode to."""
+    back = decode_documents(encode_documents(docs, **params))
     text = F.coalesce("text", F.lit(""))
     return back.select(F.col("doc").alias("doc_id"), "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.octet_length(text).cast("long").alias("decoded_bytes"), F.crc32(text.cast("binary")).alias("decoded_crc32"))
+
+
+def op8_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_and_checked(table(spark, sf_dir, "documents"))
