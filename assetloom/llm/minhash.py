@@ -13,8 +13,10 @@ Candidates are confirmed on full sets, but a bucket is not expanded into all its
    rarest shingles of each class, as many as two sets of the needed overlap must share one of (prefix
    filtering), so common lines and passages open no pairs; this is exact for all their pairs.
 
-A pair is dropped before its texts are read only if its sizes, or the counts of its shingles in
-256 hash ranges, prove that the threshold is out of reach.
+A pair is dropped before its texts are read only if its sizes, bitmaps of its shingles (every bit
+that differs is a shingle that differs) or the counts of its shingles in 256 hash ranges prove that
+the threshold is out of reach. The bitmaps are compared within the join that opens a bucket, so pairs
+that they rule out are never rows.
 
 Cases: a null or empty text has no shingles and is linked with nothing; with one to four words the
 whole sequence is one shingle; rows with equal text and id are rows of one document; a row without
@@ -43,7 +45,7 @@ LEAST = 75
 SMALL_BUCKET = 12
 #: Ids that may be broadcast: 8 bytes each.
 FEW_IDS = 2_000_000
-RANGES, SLOTS = 256, 1 << 14
+RANGES, SLOTS, LONGS = 256, 1 << 14, 32
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,6 +110,13 @@ def _range_counts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """64 * LONGS bits, set where a shingle falls."""
+    bits = np.zeros(64 * LONGS, np.uint8)
+    bits[((s >> np.uint64(20)) & np.uint64(64 * LONGS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def may_link(n: int, a: bytes, m: int, b: bytes, least: int = LEAST) -> bool:
     """Whether sets of ``n`` and ``m`` shingles with these range counts can reach the threshold."""
     x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
@@ -120,27 +129,27 @@ def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
     return bool(len(a) and len(b) and (100 + least) * both >= least * (len(a) + len(b)))
 
 
-_SIGNED = "doc long, n long, s1 long, s2 long, bands array<long>, ranges binary"
+_SIGNED = "doc long, n long, s1 long, s2 long, bands array<long>, ranges binary, bits array<long>"
 
 
 def _sign(permutations: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minmax, slots = WordHashes(), MinMax(permutations, rows), np.zeros(SLOTS, np.int64)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        names = ["doc", "n", "s1", "s2", "bands", "ranges"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+        names = ["doc", "n", "s1", "s2", "bands", "ranges", "bits"]
         for b in batches:
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t, hashes, width)
                 if not len(s):
-                    out.append((d, 0, 0, 0, None, None))
+                    out.append((d, 0, 0, 0, None, None, None))
                     continue
                 slots += np.bincount((s & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
                 x = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
-                out.append((d, len(s), int(x[0]), int(x[1]), minmax.bands(s).view(np.int64), _range_counts(s)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=names)
+                out.append((d, len(s), int(x[0]), int(x[1]), minmax.bands(s).view(np.int64), _range_counts(s), _bitmap(s)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)
         if slots.any():
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, -1, 0, 0, slots, None), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, -1, 0, 0, slots, None, None), kinds, strict=True)], names=names)
 
     return run
 
@@ -204,14 +213,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         slots[x.pos] = x.n
     rows_ = signed.where("n >= 0")
     of_class = rows_.where("n > 0 and doc is not null").groupBy("n", "s1", "s2")
-    classes = of_class.agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("ranges").alias("ranges"))
-    classes = saved(classes.select("doc", "n", "s1", "s2", "bands", "ranges"))
+    classes = of_class.agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("ranges").alias("ranges"), F.first("bits").alias("bits"))
+    classes = saved(classes.select("doc", "n", "s1", "s2", "bands", "ranges", "bits"))
     banded = classes.select("doc", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("first")).where("size > 1")
     buckets = saved(banded.join(shared, "key").select("key", "doc", "n", "size", "first"))
     members = buckets.select("doc").distinct()
     texts = saved(_semi(d, cut(members), "doc").distinct())
-    ranges = saved(classes.select("doc", "n", "ranges").join(members, "doc", "left_semi"))
+    ranges = saved(classes.select("doc", "n", "ranges", "bits").join(members, "doc", "left_semi"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among (a, b) pairs of classes."""
@@ -227,10 +236,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return frame.join(label, "doc", "left").withColumn("label", F.coalesce("c", "doc")).drop("c")
 
     def across(groups: DataFrame) -> DataFrame:
-        """Pairs of a group's classes that are in different components and of fitting sizes."""
-        x, y = groups.select("key", F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("label").alias("l1")), groups.select("key", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("label").alias("l2"))
+        """Pairs of a group's classes that are in different components and that sizes and bitmaps don't rule out."""
+        g = groups.join(ranges.select("doc", "bits"), "doc").select("key", "doc", "n", "label", *(F.col("bits")[i].alias(f"x{i}") for i in range(LONGS)))
+        x = g.toDF("key", "a", "n1", "l1", *(f"x{i}" for i in range(LONGS)))
+        y = g.toDF("key", "b", "n2", "l2", *(f"y{i}" for i in range(LONGS)))
         fits = F.lit(100) * F.least("n1", "n2") >= F.lit(least) * F.greatest("n1", "n2")
-        return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("l1") != F.col("l2")) & fits).select("a", "b").distinct()
+        apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(LONGS)), F.lit(0))
+        near = F.lit(100 + least) * apart <= F.lit(100 - least) * (F.col("n1") + F.col("n2"))
+        return x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("l1") != F.col("l2")) & fits & near).select("a", "b").distinct()
 
     def opened(groups: DataFrame) -> DataFrame:
         """Groups whose classes are in several components."""
