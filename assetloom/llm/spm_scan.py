@@ -14,7 +14,8 @@ these fix the states at all cuts, and then each chunk is traced back on its own.
 chunk take the same search in place, without a shuffle.
 
 No piece goes on over a space after another character (checked when the vocabulary is read), so
-words are searched separately and remembered, and all paths of a chunk meet at its first word.
+all paths of a chunk meet at its first word. Whole words inside a chunk have one path, which is
+found by merging and remembered; the search runs on words that a cut divides and on very long ones.
 
 Cases: null texts have null ids and empty texts none; a space and the sign U+2581 are the same to
 SentencePiece, so a text with that sign decodes to one with spaces; characters without a piece become
@@ -68,23 +69,26 @@ class Vocabulary:
 
     def merged(self, text: str) -> list[str]:
         """BPE: join the best-scored neighbours, the first of equals, until none is a piece."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
+        parts, get, none = list(text), self.score.get, -float("inf")
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             known = self.fits[key] = self.merged(a + b) == [a, b]
         return known
@@ -128,8 +132,10 @@ class Vocabulary:
         """Ids of a text that begins where a word begins and ends where one ends."""
         got = self.words.get(segment)
         if got is None:
-            got = tuple(self.trace(segment, self.search(segment, 0, None, len(segment)), 0, len(segment)))
-            if len(segment) <= 64:
+            if len(segment) > 48:  # merging takes time in the square of the length, the search does not
+                return tuple(self.trace(segment, self.search(segment, 0, None, len(segment)), 0, len(segment)))
+            got = tuple(x for p in self.merged(segment) for x in self.ids_of(p))
+            if got:
                 if len(self.words) > self.most_words:
                     self.words.clear()
                 self.words[segment] = got
