@@ -117,10 +117,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, query."""
     c = read(spark, sf_dir, "customer")
     name, key = F.regexp_replace("c_name", "[^A-Za-z0-9]", ""), F.col("c_custkey").cast("string")
-    q = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("trace component "), name)).when(F.col("c_custkey") % 5 == 1, F.concat(F.lit("hook use"), name)).when(F.col("c_custkey") % 5 == 2, F.concat(F.lit('route "/c/'), key, F.lit('"'))).when(F.col("c_custkey") % 5 == 3, F.concat(F.lit("data flow of '"), name, F.lit("'"))).otherwise(F.concat(F.lit("tell me about "), F.col("c_mktsegment")))
+    q = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("trace component "), name)).when(F.col("c_custkey") % 5 == 1, F.concat(F.lit("hook use"), name)).when(F.col("c_custkey") % 5 == 2, F.concat(F.lit('route "/c/'), key, F.lit('"'))).when(F.col("c_custkey") % 5 == 3, F.concat(F.lit("data flow of '"), name, F.lit("'"))).otherwise(F.concat(F.lit("tell me about "), F.col("c_mktsegment"), F.lit(" "), key))
     return c.select(F.col("c_custkey").alias("query_id"), q.alias("query"))
 
 
 QUESTIONS_SQL = r"""SELECT c_custkey AS query_id, CASE c_custkey % 5 WHEN 0 THEN 'trace component ' || regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')
   WHEN 1 THEN 'hook use' || regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g') WHEN 2 THEN 'route "/c/' || c_custkey || '"'
-  WHEN 3 THEN 'data flow of ''' || regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g') || '''' ELSE 'tell me about ' || c_mktsegment END AS query FROM customer"""
+  WHEN 3 THEN 'data flow of ''' || regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g') || '''' ELSE 'tell me about ' || c_mktsegment || ' ' || c_custkey END AS query FROM customer"""
