@@ -25,8 +25,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -63,9 +65,14 @@ class Vocabulary:
             raise ValueError("the vocabulary has no byte fallback")
         if any(regex.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece crosses a word's beginning")
-        self.most_words = most_words
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.lines = not any("\n" in p for p in self.ids)  # then no piece crosses a line's end
+        self.line_end = self._pack(self.ids_of("\n"))
         self.fits: dict[tuple[str, str], bool] = {}
+        self.spaced, self.bare = Words(self, SPACE, most_words), Words(self, "", most_words)
+        raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)]
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.start = np.cumsum(self.size) - self.size
 
     def merged(self, text: str) -> list[str]:
         """BPE: join the best-scored neighbours, the first of equals, until none is a piece."""
@@ -128,38 +135,71 @@ class Vocabulary:
             end = found[end][0]
         return [x for a, z in reversed(spans) for x in self.ids_of(text[a:z])]
 
-    def word(self, segment: str) -> tuple[int, ...]:
-        """Ids of a text that begins where a word begins and ends where one ends."""
-        got = self.words.get(segment)
-        if got is None:
-            if len(segment) > 48:  # merging takes time in the square of the length, the search does not
-                return tuple(self.trace(segment, self.search(segment, 0, None, len(segment)), 0, len(segment)))
-            got = tuple(x for p in self.merged(segment) for x in self.ids_of(p))
-            if got:
-                if len(self.words) > self.most_words:
-                    self.words.clear()
-                self.words[segment] = got
-        return got
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return np.array(ids, np.int32).tobytes()
+
+    def word(self, segment: str) -> bytes:
+        """Packed ids of a text that begins where a word begins and ends where one ends."""
+        if len(segment) > 48:  # merging takes time in the square of the length, the search does not
+            return self._pack(self.trace(segment, self.search(segment, 0, None, len(segment)), 0, len(segment)))
+        return self._pack([x for p in self.merged(segment) for x in self.ids_of(p)])
+
+    def words(self, normal: str) -> bytes:
+        """Packed ids of normalised text that begins and ends at word borders."""
+        spaced, bare = self.spaced, self.bare
+        return b"".join(spaced[s[1:]] if s[0] == SPACE else bare[s] for s in _segment.findall(normal))
+
+    def packed(self, text: str) -> bytes:
+        """Packed ids of a text. Lines of words with single spaces between them, the usual case, are split without a pattern."""
+        if not text:
+            return b""
+        out, spaced, bare = [], self.spaced, self.bare
+        for n, line in enumerate(text.split("\n") if self.lines else [text]):
+            if n:
+                out.append(self.line_end)
+            if not line:
+                if not n:
+                    out.append(spaced[""])
+                continue
+            parts = line.split(" ")
+            if "" in parts or SPACE in line:
+                out.append(self.words((line if n else SPACE + line).replace(" ", SPACE)))
+                continue
+            if n:
+                out.append(bare[parts[0]])
+                del parts[0]
+            out += map(spaced.__getitem__, parts)
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        get, out = self.words.get, []
-        for s in _segment.findall(normalise(text)):
-            out += get(s) or self.word(s)
-        return out
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of the text that ids stand for."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        return self.flat[np.repeat(self.start[ids], size) + at].tobytes().replace(SPACE.encode(), b" ")[1:]
 
     def decode(self, ids: list[int]) -> str:
-        out, raw, pieces, byte_of = [], bytearray(), self.pieces, self.byte_of
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(pieces[i])
-        out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")[1:]
+        return self.decoded(np.array(ids, np.int64)).decode("utf-8", "replace")
+
+
+class Words(dict):
+    """Packed ids of words seen so far, by the word without what stands before it."""
+
+    def __init__(self, vocabulary: Vocabulary, before: str, most: int):
+        super().__init__()
+        self.vocabulary, self.before, self.most = vocabulary, before, most
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.vocabulary.word(self.before + word)
+        if len(word) <= 48:
+            if len(self) > self.most:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 def normalise(text: str) -> str:
@@ -203,7 +243,7 @@ def transfer(v: Vocabulary, text: str, begin: int, end: int, first: bool, last:
 
     stop = end if last else min(len(text), end + v.longest)
     if starts:
-        middle = sum(len(v.word(s)) for s in _segment.findall(text, starts[0], starts[1]))
+        middle = len(v.words(text[starts[0] : starts[1]])) // 4
         tail = leave(v.search(text, starts[1], None, stop))
     for s in [OPEN] if first else states(v, text, begin):
         at = begin + s[1]
@@ -253,7 +293,7 @@ def backtrace(v: Vocabulary, text: str, begin: int, end: int, enter: State, leav
     if not starts:
         return v.trace(text, v.search(text, at, before, stop), at, stop)
     head = v.trace(text, v.search(text, at, before, starts[0]), at, starts[0])
-    middle = [x for s in _segment.findall(text, starts[0], starts[1]) for x in v.word(s)]
+    middle = np.frombuffer(v.words(text[starts[0] : starts[1]]), np.int32).tolist()
     return head + middle + v.trace(text, v.search(text, starts[1], None, stop), starts[1], stop)
 
 
@@ -265,8 +305,26 @@ def _unpack(rows) -> Matrix:
     return {((int(r[0]), int(r[1])), (int(r[2]), int(r[3]))): int(r[4]) for r in rows}
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, ids: the encoding of every document."""
+CHECKS = ["n_ids", "decoded_bytes", "decoded_crc32"]
+_CHECK_SCHEMA = ", n_ids long, decoded_bytes long, decoded_crc32 long"
+
+
+def _id_lists(packed: list[bytes | None]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(x or b"") // 4 for x in packed])
+    none = pa.array([x is None for x in packed] + [False], pa.bool_())
+    offsets = pa.array(ends, pa.int32())
+    if any(x is None for x in packed):
+        offsets = pa.array([None if n else e for n, e in zip(none.to_pylist(), ends.tolist(), strict=True)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(x or b"" for x in packed), np.int32)))
+
+
+def _checked(v: Vocabulary, ids: list[np.ndarray | None]) -> list[pa.Array]:
+    texts = [b"" if x is None else v.decoded(x) for x in ids]
+    return [pa.array([0 if x is None else len(x) for x in ids], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())]
+
+
+def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """doc, ids: the encoding of every document; with ``check`` also the number of ids, and size and CRC-32 of what they decode to."""
     d = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
     kind = d.schema["doc"].dataType.simpleString()
     giant = F.char_length("text") > chunk
@@ -276,9 +334,13 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, bl
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if t is None else v.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc", "ids"])
+                ids = [None if t is None else v.packed(t) for t in part.column(1).to_pylist()]
+                cols = [part.column(0), _id_lists(ids)]
+                if check:
+                    cols += _checked(v, [None if x is None else np.frombuffer(x, np.int32) for x in ids])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "ids", *CHECKS][: len(cols)])
 
-    small = d.where(~F.coalesce(giant, F.lit(False))).mapInArrow(whole, f"doc {kind}, ids array<int>")
+    small = d.where(~F.coalesce(giant, F.lit(False))).mapInArrow(whole, f"doc {kind}, ids array<int>" + (_CHECK_SCHEMA if check else ""))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = Vocabulary(model).longest
@@ -338,6 +400,17 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, bl
     parts = chunks.join(cuts, same_chunk).select(chunks["doc"], chunks["rev"], "copies", chunks["no"], "offset", "body", "enter", "leave").mapInPandas(traced, f"doc {kind}, rev long, copies long, no long, ids array<int>")
     large = parts.groupBy("doc", "rev").agg(F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("x"))
     large = large.select("doc", F.flatten(F.transform("x", lambda y: y["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc", "ids")
+    if check:
+
+        def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v = Vocabulary(model)
+            for b in batches:
+                for at in range(0, b.num_rows, 16):
+                    part = b.slice(at, 16)
+                    ids = [x.values.to_numpy() for x in part.column(1)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *_checked(v, ids)], names=["doc", "ids", *CHECKS])
+
+        large = large.mapInArrow(checked, f"doc {kind}, ids array<int>{_CHECK_SCHEMA}")
     return small.unionByName(large)
 
 
@@ -357,9 +430,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL, id_col: str = "doc"
 
 def encoded_and_checked(docs: DataFrame, **params) -> DataFrame:
     """doc_id, ids, n_ids, and size and checksum of what the ids decode to."""
-    back = decode_documents(encode_documents(docs, **params))
-    text = F.coalesce("text", F.lit(""))
-    return back.select(F.col("doc").alias("doc_id"), "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.octet_length(text).cast("long").alias("decoded_bytes"), F.crc32(text.cast("binary")).alias("decoded_crc32"))
+    return encode_documents(docs, check=True, **params).withColumnRenamed("doc", "doc_id")
 
 
 def op8_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
