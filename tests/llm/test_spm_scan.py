@@ -1,5 +1,6 @@
 import os
 import random
+import zlib
 
 import pytest
 
@@ -49,3 +50,7 @@ def test_documents_equal_the_library(spark):
     assert sorted((r.doc is None, r.doc or 0, r.ids) for r in out if r.ids is not None) == want
     assert sorted(r.text for r in out if r.text is not None) == sorted(t.replace("▁", " ") for _, t in rows if t is not None)
     assert encode_documents(df.where("false"), chunk=100).count() == 0
+    checked = encode_documents(df, chunk=100, block=3, check=True).collect()
+    assert sorted((r.ids, r.n_ids) for r in checked if r.ids is not None) == sorted((x, len(x)) for _, _, x in want)
+    plain = [("" if t is None else t.replace("▁", " ")).encode() for _, t in rows]
+    assert sorted((r.decoded_bytes, r.decoded_crc32) for r in checked) == sorted((len(t), zlib.crc32(t)) for t in plain)
