@@ -128,3 +128,39 @@ def node_category(nodes: DataFrame, categories: dict[str, list[str]] = CATEGORIE
     for name, types in categories.items():
         c = F.when(F.col("type").isin(types), name).otherwise(c)
     return nodes.where(~F.col("type").isin(list(without))).select("node", c.alias("category")).where("category is not null")
+
+
+def layer_data_source(fetches: DataFrame, calls: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fetch nodes (node, label), who calls them first (calls: src, dst, awaited, k) and their outputs (node, name), as nodes and edges; the first write of an id wins."""
+    p = "data-source:"
+    tag = lambda c: F.concat(F.lit(p), c)
+    first = calls.join(fetches.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy("dst").agg(F.min(F.struct("k", "src", "awaited")).alias("x"))
+    callers = first.select(tag(F.col("x.src")).alias("src"), tag(F.col("dst")).alias("dst"), F.when(F.col("x.awaited"), "awaits").otherwise("calls").alias("type"))
+    out = outputs.join(fetches.select("node"), "node", "left_semi")
+    given = out.select(tag(F.col("node")).alias("src"), tag(F.concat_ws("#", "node", "name")).alias("dst"), F.lit("outputs").alias("type")).distinct()
+    nodes = fetches.select(tag(F.col("node")).alias("node"), F.lit("fetch").alias("kind"), "label")
+    nodes = nodes.unionByName(callers.select(F.col("src").alias("node"), F.lit("caller").alias("kind"), F.col("src").alias("label")))
+    nodes = nodes.unionByName(given.select(F.col("dst").alias("node"), F.lit("output").alias("kind"), F.col("dst").alias("label")))
+    rank = F.when(F.col("kind") == "fetch", 0).when(F.col("kind") == "caller", 1).otherwise(2)
+    nodes = nodes.groupBy("node").agg(F.min(F.struct(rank.alias("r"), "kind", "label")).alias("x")).select("node", "x.kind", "x.label")
+    return nodes, callers.unionByName(given).distinct()
+
+
+def layer_state(holders: DataFrame, usages: DataFrame, derived: str = r"^(is|has|can|should|filtered|sorted|total|count)[A-Z]") -> tuple[DataFrame, DataFrame]:
+    """State holders (node, name) with names that look derived marked, and who uses them (src, node)."""
+    nodes = holders.select(F.concat(F.lit("state:"), "node").alias("node"), "name", F.when(F.col("name").rlike(derived), "derived").otherwise("state").alias("kind")).distinct()
+    used = usages.join(holders.select("node").distinct(), "node", "left_semi")
+    return nodes, used.select(F.concat(F.lit("state:"), "node").alias("src"), F.concat(F.lit("state:"), F.col("src")).alias("dst"), F.lit("used-by").alias("type")).distinct()
+
+
+def layer_events(handlers: DataFrame) -> DataFrame:
+    """Element to event, event to handler and handler to action of event attributes (node, prop, value): src, dst, type."""
+    from assetloom.functions.rules import event_action_class
+
+    h = handlers.where(F.col("prop").rlike("^on[A-Z]"))
+    inline = F.col("value").contains("=>") | F.col("value").contains("(")
+    e = h.select("node", F.concat_ws("#", "node", "prop").alias("event"), F.when(inline, F.concat_ws("#", F.lit("inline"), "node", "prop")).otherwise(F.col("value")).alias("handler"), event_action_class(F.col("value")).alias("action"), F.when(inline, "inline-handler").otherwise("callback").alias("how"))
+    one = e.select(F.col("node").alias("src"), F.col("event").alias("dst"), F.lit("emits").alias("type"))
+    two = e.select(F.col("event").alias("src"), F.col("handler").alias("dst"), F.col("how").alias("type"))
+    three = e.select(F.col("handler").alias("src"), F.col("action").alias("dst"), F.lit("performs").alias("type"))
+    return one.unionByName(two).unionByName(three).distinct()

@@ -344,3 +344,55 @@ def field_writers(edges: DataFrame, sites: DataFrame, roots: DataFrame) -> DataF
     scope = walk(adjacency(edges), roots.select("root").distinct())
     wanted = roots.select(F.col("root").alias("of"), F.col("field").alias("wanted"))
     return sites.join(scope, F.col("owner") == F.col("node")).join(wanted, (F.col("root") == F.col("of")) & (F.col("field") == F.col("wanted"))).select("root", "role", "owner", "line", "context").distinct()
+
+
+def trace_identifier(edges: DataFrame, nodes: DataFrame, expressions: DataFrame, lookup: DataFrame, types: list[str]) -> DataFrame:
+    """expressions: expr_id, expression. The upstream trace of the node that each resolves to: (expr_id, identifier, node, depth, via, role)."""
+    from assetloom.operators.resolution import resolve_expression
+
+    at = saved(resolve_expression(expressions, lookup).select("expr_id", F.col("node").alias("root")))
+    found = trace(edges, nodes, at.select("root").distinct(), types, None, True)
+    named = at.join(expressions.select("expr_id", F.trim("expression").alias("identifier")), "expr_id")
+    return named.join(found, "root").select("expr_id", "identifier", "node", "depth", "via", "role")
+
+
+def node_context(edges: DataFrame, nodes: DataFrame, roots: DataFrame, priority: dict[str, int], gate: str, passing: list[str], sources: list[str], renders: list[str]) -> DataFrame:
+    """(root, section, ord, label, related): gates above a node, what passes properties to it, its inbound data sources, and its children."""
+    label = nodes.select(F.col("node").alias("related"), "label")
+    gates = visibility_gates(edges, nodes, roots, priority, gate).select("root", F.lit("gates").alias("section"), F.col("ord").cast("long").alias("ord"), F.col("gate").alias("related"))
+    into = lambda types, section: roots.join(edges.where(F.col("type").isin(types)), F.col("root") == F.col("dst")).select("root", F.lit(section).alias("section"), F.col("k").alias("ord"), F.col("src").alias("related"))
+    below = roots.join(edges.where(F.col("type").isin(renders)), F.col("root") == F.col("src")).select("root", F.lit("children").alias("section"), F.col("k").alias("ord"), F.col("dst").alias("related"))
+    every = gates.unionByName(into(passing, "properties")).unionByName(into(sources, "sources")).unionByName(below)
+    return every.distinct().join(label, "related").select("root", "section", "ord", "label", "related")
+
+
+def focus_steps(edges: DataFrame, nodes: DataFrame, roots: DataFrame, up_types: list[str], down_types: list[str], down_depth: int = 6) -> DataFrame:
+    """(root, ord, node, depth, role, next): upstream inputs, farthest first, the focus and what is below it, each linked to the next."""
+    up = trace(edges, nodes, roots, up_types, None, True)
+    down = trace(edges, nodes, roots, down_types, down_depth).where("depth > 0")
+    w = Window.partitionBy("root").orderBy("depth", "node")
+    every = up.unionByName(down).withColumns({"ord": F.row_number().over(w), "next": F.lead("node").over(w)})
+    return every.select("root", "ord", "node", "depth", "role", "next")
+
+
+def value_trace(origins: DataFrame, roots: DataFrame, most: int = 12) -> DataFrame:
+    """(root, expression, ord, owner, name, kind): the chain of an expression at a consumer, over bindings by kind.
+
+    origins: owner, name, kind (hook, local, fetch, module, loop, context, store), from_owner, from_name;
+    of several origins of a name the first kind in this order counts. A chain ends at a name without origin."""
+    order = ["hook", "local", "fetch", "module", "loop", "context", "store"]
+    rank = F.array_position(F.array(*(F.lit(x) for x in order)), F.col("kind"))
+    best = saved(first_by(origins.where(rank > 0).withColumn("rank", rank), ["owner", "name"], ["rank", "from_owner", "from_name"]).drop("rank"))
+    at = cut(roots.select("root", "expression", F.col("root").alias("owner_at"), F.split_part("expression", F.lit("."), F.lit(1)).alias("name_at")))
+    seen, out = at, None
+    for d in range(1, most + 1):
+        step = at.join(best, (F.col("owner_at") == F.col("owner")) & (F.col("name_at") == F.col("name")))
+        step = cut(step.select("root", "expression", F.lit(d).alias("ord"), "owner", "name", "kind", "from_owner", "from_name"))
+        if step.isEmpty():
+            break
+        part = step.select("root", "expression", "ord", "owner", "name", "kind")
+        out = part if out is None else out.unionByName(part)
+        nxt = step.select("root", "expression", F.col("from_owner").alias("owner_at"), F.col("from_name").alias("name_at"))
+        at = cut(nxt.join(seen, ["root", "expression", "owner_at", "name_at"], "left_anti"))
+        seen = seen.unionByName(at)
+    return out if out is not None else at.where("false").select("root", "expression", F.lit(0).alias("ord"), F.col("owner_at").alias("owner"), F.col("name_at").alias("name"), F.lit("").alias("kind"))
