@@ -9,7 +9,8 @@ the others are removed.
 
 Only hashes are shuffled for all chunks. Texts are joined twice, by document: to fetch the chunks
 whose hash repeats, and to remove lines. Counts per chunk are combined before they are shuffled, so
-a chunk that a third of all documents share is no hot spot.
+a chunk that a third of all documents share is no hot spot; what they are joined with has one row a
+key and is written first, so that adaptive execution can split the joins.
 
 Cases: a null text stays null and an empty one empty; rows that agree in id and text are
 one document, whose chunks don't count as repeats of each other, and are all treated alike; null ids
@@ -110,12 +111,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = d.schema["doc"].dataType.simpleString()
     found = saved(d.select("doc", "rev", "text").mapInArrow(_hashes, f"doc {kind}, rev long, first int, h long"))
     at = F.struct(F.col("doc").isNull().alias("none"), "doc", "rev", "first")
-    repeated = found.groupBy("h").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a != z").select("h")
+    repeated = saved(found.groupBy("h").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a != z").select("h"))
     wanted = found.join(repeated, "h", "left_semi").groupBy("doc", "rev").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
     wanted = wanted.select(F.col("doc").alias("w_doc"), F.col("rev").alias("w_rev"), "firsts")
     ours = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("rev") == F.col("w_rev"))
     fetched = saved(d.select("doc", "rev", "text").join(wanted, ours).select("doc", "rev", "text", "firsts").mapInArrow(_fetch, f"doc {kind}, rev long, first int, chunk string"))
-    kept = fetched.groupBy("chunk").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a != z").select(F.col("chunk").alias("k_chunk"), "a")
+    kept = saved(fetched.groupBy("chunk").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a != z").select(F.col("chunk").alias("k_chunk"), "a"))
     gone = fetched.join(kept, F.col("chunk") == F.col("k_chunk")).where(at != F.col("a"))
     gone = cut(gone.groupBy("doc", "rev").agg(F.collect_set("first").alias("gone")).select(F.col("doc").alias("w_doc"), F.col("rev").alias("w_rev"), "gone"))
     keeps = [f"keep_{i}" for i in range(len(keep_cols))]
