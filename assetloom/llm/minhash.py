@@ -216,17 +216,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = of_class.agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("ranges").alias("ranges"), F.first("bits").alias("bits"))
     classes = saved(classes.select("doc", "n", "s1", "s2", "bands", "ranges", "bits"))
     banded = classes.select("doc", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("first")).where("size > 1")
+    shared = saved(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("first")).where("size > 1"))
     buckets = saved(banded.join(shared, "key").select("key", "doc", "n", "size", "first"))
     members = buckets.select("doc").distinct()
     texts = saved(_semi(d, cut(members), "doc").distinct())
     ranges = saved(classes.select("doc", "n", "ranges", "bits").join(members, "doc", "left_semi"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Links among (a, b) pairs of classes."""
+        """Links among (a, b) pairs of classes. The pairs are written first: a class with very many partners is then a join key that can be split."""
         one = ranges.select(F.col("doc").alias("a"), F.col("n").alias("n"), F.col("ranges").alias("r"))
         two = ranges.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("ranges").alias("q"))
-        sized = pairs.join(one, "a").join(two, "b").where(F.lit(100) * F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))
+        sized = saved(pairs).join(one, "a").join(two, "b").where(F.lit(100) * F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))
         left = cut(sized.select("a", "b", "n", "r", "m", "q").mapInArrow(_prune(least), "a long, b long"))
         t, u = texts.select(F.col("doc").alias("a"), F.col("text").alias("t")), texts.select(F.col("doc").alias("b"), F.col("text").alias("u"))
         return cut(left.join(t, "a").join(u, "b").select("a", "b", "t", "u").mapInArrow(_confirm(least, width), "a long, b long").distinct())
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = saved(opened(labelled(buckets, links)))
     large = cut(again.where(F.col("size") > small_bucket).select("doc", "n", "label").distinct())
     keyed = saved(_semi(texts, large.select("doc").distinct(), "doc").mapInArrow(_prefixes(least, width, slots), "doc long, key long"))
-    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("first")).where("size > 1")
+    many = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("first")).where("size > 1"))
     keyed = saved(keyed.join(many, "key").join(large, "doc"))
     star = keyed.join(large.select(F.col("doc").alias("first"), F.col("label").alias("other")), "first").where("label <> other")
     links = cut(links.union(confirmed(star.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())))
