@@ -30,9 +30,9 @@ def test_against_brute_force(spark):
     rows += [(None, 0, "user", "alone"), (None, 1, "assistant", "yes"), (70, None, "system", "s"), (70, 0, "user", "q"), (71, 0, "user", "big")] + [(71, t, "user", str(t)) for t in range(1, 900)]
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, 1, "p") for r in rows], "conv_id long, turn long, role string, text string, ord int, blk string")
-    for part in (256, 3):
+    for block in (256, 3):
         parts = {}
-        for r in sorted(collapse_and_render(df, part=part).collect(), key=lambda r: r.part):
+        for r in sorted(collapse_and_render(df, block=block).collect(), key=lambda r: r.part):
             n, k, text = parts.get(r.conv, (r.n_turns, r.n_copies, ""))
             parts[r.conv] = (n, k, text + r.rendered)
         assert parts == brute(rows)
