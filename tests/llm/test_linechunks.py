@@ -1,6 +1,6 @@
 import random
 
-from assetloom.llm.linechunks import chunk_bounds, chunks_of, dedup_lines
+from assetloom.llm.linechunks import chunk_bounds, chunks_of, dedup_lines, dedup_passages
 
 
 def brute(rows):
@@ -54,3 +54,50 @@ def test_empty_and_clashing_columns(spark):
     assert dedup_lines(empty, keep_cols=("rev", "first")).count() == 0
     one = spark.createDataFrame([(1, "a b\nc d\ne f", 9, 8)], "doc_id long, text string, rev long, first int")
     assert dedup_lines(one, keep_cols=("rev", "first")).collect()[0].asDict() == {"doc": 1, "text": "a b\nc d\ne f", "n_removed": 0, "rev": 9, "first": 8}
+
+
+def lines_that_stay(rows):
+    """Lines of each document that are in no earlier pair of neighbouring lines and, with ten words or more, stand nowhere before."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        gone = set()
+        for k in range(len(lines)):
+            for body in ([lines[k]] if len(lines[k].split()) >= 10 else []) + (["\n".join(lines[k : k + 2])] if k + 1 < len(lines) else []):
+                if body in seen:
+                    gone |= set(range(k, k + 1 + ("\n" in body)))
+                seen.add(body)
+        out[i] = [x for k, x in enumerate(lines) if k not in gone]
+    return out
+
+
+def test_short_passages_are_removed_whole(spark):
+    rng = random.Random(11)
+    line = lambda a, z: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(a, z)))
+    rows, planted = [], {}
+    for i in range(1, 7):
+        for k in range(8):
+            passage = [line(52, 60) if i == 1 else line(9, 20) for _ in range(i)]
+            for copy in range(3):
+                own = [[line(3, 30) for _ in range(rng.randint(1, 5))] for _ in range(2)]
+                rows.append((len(rows), "\n".join(own[0] + passage + own[1])))
+                if copy:
+                    planted[len(rows) - 1] = own[0] + own[1]
+    rng.shuffle(rows)
+    got = {r.doc: (r.text, r.n_removed) for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: t.split("\n") for i, (t, _) in got.items()} == lines_that_stay(rows)
+    assert all(got[i][0].split("\n") == x for i, x in planted.items())
+    assert all(got[i] == (t, 0) for i, t in rows if i not in planted)
+
+
+def test_passages_of_long_lines(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    whole, within, a, b = words(300), words(200), words(90), words(90)
+    rows = [(1, f"head\n{whole}\ntail"), (2, f"other\n{whole}\nend"), (3, f"{a} {within} {b}"), (4, f"{words(40)} {within} {words(70)}"), (5, "ha " * 400), (6, f"{a}\n\n{b}\n"), (7, f"{a}\n\n{b}\n"), (7, f"{a}\n\n{b}\n"), (8, None), (9, "")]
+    got = [(r.doc, r.text, r.n_removed) for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc").collect()]
+    t = {i: x for i, x, _ in got}
+    assert t[1] == rows[0][1] and t[2] == "other\nend" and t[3] == rows[2][1] and t[5] == rows[4][1] and t[8] is None and t[9] == ""
+    left = set(t[4].split()) & set(within.split())
+    assert len(left) < 80 and set(rows[3][1].split()) - set(within.split()) <= set(t[4].split()) and got[3][2] == 1
+    assert [(x, n > 0) for i, x, n in got if i == 7] == [("", True)] * 2
