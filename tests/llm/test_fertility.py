@@ -49,3 +49,15 @@ def test_documents(spark):
     assert [i for i, r in sorted(got.items()) if r.kept] == [0] and fertility(df).count() == len(TEXTS) + 1
     assert accepted(df).columns == df.columns and accepted(df).count() == 2
     assert fertility(df.where("false")).count() == 0
+
+
+def test_bands_reject_what_counts_pass():
+    t, rng = WordTable(VOCABULARY), random.Random(5)
+    word = lambda: "".join(rng.choice("wh nt on ha he re th er in an".split()) for _ in range(3))
+    junk = " ".join(word() + rng.choice(["***", "$$$", "&&&", ""]) for _ in range(300))
+    menu = " | ".join(word().title() for _ in range(300))
+    for text in (junk, menu):
+        for lang in ("en", "de"):
+            row = judge(text, lang, t, BANDS, SCRIPT_BANDS)
+            assert not row[5] and not row[6]
+    assert judge(GOOD, "en", t, BANDS, SCRIPT_BANDS)[6]
