@@ -132,13 +132,15 @@ def composition_scope(edges: DataFrame, roots: DataFrame, scopes: DataFrame, up_
     return s.unionByName(composition_neighborhood(edges, rest, up_types, down_types))
 
 
-def upstream_edges(edges: DataFrame, seeds: DataFrame, barrier: DataFrame, types: list[str], depth: int = 14) -> DataFrame:
-    """Edges backward from the seeds (root, node), not beyond barrier nodes (root, node): (root, type, src, dst, k)."""
+def upstream_edges(edges: DataFrame, seeds: DataFrame, barrier: DataFrame, types: list[str], depth: int | None = None) -> DataFrame:
+    """Edges backward from the seeds (root, node), to their sources or ``depth`` edges far, not beyond barrier nodes (root, node): (root, type, src, dst, k)."""
     e = saved(edges.where(F.col("type").isin(types)))
     stop = cut(barrier.select("root", "node").distinct())
     frontier = cut(seeds.select("root", "node").distinct().join(stop, ["root", "node"], "left_anti"))
     visited = frontier
-    for _ in range(depth - 1):
+    level = 1
+    while depth is None or level < depth:
+        level += 1
         found = frontier.join(e, F.col("node") == F.col("dst")).select("root", F.col("src").alias("node")).distinct()
         frontier = cut(found.join(visited, ["root", "node"], "left_anti").join(stop, ["root", "node"], "left_anti"))
         if frontier.isEmpty():

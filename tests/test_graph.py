@@ -132,3 +132,12 @@ def test_components_of_long_paths_and_stars(spark):
     got = dict(rows(components(spark.createDataFrame(pairs, "a long, b long")), "node", "component"))
     assert got == {i: 0 for i in range(41)} | {x: 100 for x in range(100, 160)} | {300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_upstream_edges_of_a_long_chain(spark):
+    chain = [("calls", f"n{i + 1}", f"n{i}", i) for i in range(18)] + [("calls", "n0", "n18", 18)]
+    edges = spark.createDataFrame(chain, "type string, src string, dst string, k int")
+    seeds = spark.createDataFrame([("r", "n0")], "root string, node string")
+    found = traversal.upstream_edges(edges, seeds, seeds.where("false"), ["calls"])
+    assert sorted(r.k for r in found.collect()) == list(range(19))
+    assert sorted(r.k for r in traversal.upstream_edges(edges, seeds, seeds.where("false"), ["calls"], 5).collect()) == list(range(5))
