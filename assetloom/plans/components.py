@@ -15,7 +15,7 @@ from .durable import cut
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of ``edges`` (a, b). Needs one orderable type."""
+    """(node, component): the smallest node reachable, for every node of ``edges`` (a, b). Needs one orderable type. Raises if ``rounds``, far more than graphs of any size take, don't do."""
     e = edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     nodes = e.select(F.col("a").alias("node")).union(e.select("b"))
     e = cut(e)
@@ -31,5 +31,7 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError(f"components have not converged in {rounds} rounds")
     found = e.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return found.union(nodes.distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
