@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.plans.durable import cut, saved, shared_dir  # noqa: F401
+from assetloom.plans.durable import Scratch, cut, saved, shared_dir  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,3 +42,10 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     for i, n in enumerate(names):
         cond = left[n].eqNullSafe(right[n]) if not i else cond & left[n].eqNullSafe(right[n])
     return cond
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that few texts at a time become Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
