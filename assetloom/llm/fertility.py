@@ -25,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WORD, table
+from .common import WORD, slices, table
+from .pieces import WordTable
 
 #: (least, most characters per token; most byte-fallback share; least entropy share)
 Band = tuple[float, float, float, float]
@@ -52,73 +53,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
 
-SPACE = "\u2581"
 _word = re.compile(WORD)
 
 
-class WordTable(dict):
-    """Numbers of words, and the tokens of each number; forgets all of them when it has grown to ``most``."""
-
-    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
-        import sentencepiece
-
-        super().__init__()
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = range(self.model.get_piece_size())
-        self.is_byte = np.array([self.model.is_byte(i) for i in pieces])
-        self.opens = np.array([self.model.id_to_piece(i).startswith(SPACE) for i in pieces])
-        self.most, self.longest = most, longest
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.waiting: list[str] = []
-        self.n = self.used = 0
-        self.start, self.length, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32)
-
-    def __missing__(self, word: str) -> int:
-        self.waiting.append(word)
-        at = self[word] = self.n + len(self.waiting) - 1
-        return at
-
-    def _segment(self, words: list[str]) -> None:
-        """Words that hold the space sign are segmented alone; the others in runs, cut where a token opens a word."""
-        ids = np.array(self.model.encode(" ".join(words), num_threads=1), np.int32)
-        first = np.flatnonzero(self.opens[ids])
-        if len(first) == len(words):
-            lengths = np.diff(np.append(first, len(ids)))
-        else:
-            each = self.model.encode(words, num_threads=1)
-            lengths, ids = np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], np.int32)
-        n, m = len(words), len(ids)
-        while len(self.start) < self.n + n:
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while len(self.flat) < self.used + m:
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + m] = ids
-        self.start[self.n : self.n + n] = self.used + np.cumsum(lengths) - lengths
-        self.length[self.n : self.n + n] = lengths
-        self.n, self.used = self.n + n, self.used + m
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if self.n > self.most:
-            self.forget()
-        out = np.array(list(map(self.__getitem__, words)), np.int64)
-        waiting, self.waiting = self.waiting, []
-        for k in range(0, len(waiting), 500):
-            self._segment(waiting[k : k + 500])
-        for w in waiting:
-            if len(w) > self.longest:
-                del self[w]
-        return out
-
-    def tokens(self, numbers: np.ndarray) -> np.ndarray:
-        length = self.length[numbers]
-        ends = np.cumsum(length)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
-        return self.flat[np.repeat(self.start[numbers], length) + at]
-
-
 def repeated_words(numbers: np.ndarray, width: int = 3) -> int:
     """Words that lie in a window of ``width`` words found twice or more."""
     n = len(numbers) - width + 1
@@ -182,7 +119,7 @@ def fertility(docs: DataFrame, vocabulary: str = VOCABULARY, bands: dict[str, Ba
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, names = WordTable(vocabulary), None
-        for b in batches:
+        for b in slices(batches):
             ids, texts, langs = b.columns
             rows = [judge(t.as_py(), g.as_py(), words_of, bands, script_bands) for t, g in zip(texts, langs, strict=True)]
             names = names or [x.split()[0] for x in SCHEMA.split(", ")]
@@ -199,7 +136,7 @@ def accepted(docs: DataFrame, vocabulary: str = VOCABULARY, bands: dict[str, Ban
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = WordTable(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             keep = [judge(t.as_py(), g.as_py(), words_of, bands, script_bands)[6] for t, g in zip(b.column(at), b.column(lang_at), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 

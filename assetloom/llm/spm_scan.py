@@ -11,11 +11,13 @@ it: where it begins before the cut and where it ends behind it. Every chunk yiel
 max-plus matrix from states at its start to states at its end. Matrices of up to ``BLOCK`` chunks are
 multiplied, then those of blocks; the one path through a document fixes the states at block ends,
 these fix the states at all cuts, and then each chunk is traced back on its own. Documents of one
-chunk take the same search in place, without a shuffle.
+chunk have no cut and go through no shuffle.
 
 No piece goes on over a space after another character (checked when the vocabulary is read), so
-all paths of a chunk meet at its first word. Whole words inside a chunk have one path, which is
-found by merging and remembered; the search runs on words that a cut divides and on very long ones.
+all paths of a chunk meet at its first word. Whole words have one path, so every task segments each of its distinct
+words once, many at a time, and keeps the pieces in a table of bounded size; texts with runs of spaces or the space sign
+itself are merged word by word. The search runs on words that a cut divides and on very long ones. The model has
+to read texts as they are (checked: its normaliser changes nothing but spaces).
 
 Cases: null texts have null ids and empty texts none; a space and the sign U+2581 are the same to
 SentencePiece, so a text with that sign decodes to one with spaces; characters without a piece become
@@ -26,20 +28,23 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, saved, table
+from .common import cut, saved, slices, table
+from .pieces import SPACE, WordTable
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, BLOCK = 32_768, 64
-SPACE = "▁"
+#: What normalisers change: runs of spaces and spaces at ends, wide and composed characters, other white space.
+PROBE = "  \uff21\u2460\ufb01\tx  y\n z\u00a0\u00e9e\u0301\u3000 "
 _segment = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 State = tuple[int, int]  # a piece's begin and end, relative to the cut that it covers
@@ -50,10 +55,12 @@ OPEN: State = (0, 0)  # nothing covers the cut: the ends of a document
 class Vocabulary:
     """Pieces, their scores, and the encodings of words seen so far."""
 
-    def __init__(self, path: str = MODEL, most_words: int = 400_000):
+    def __init__(self, path: str = MODEL, most_words: int = 50_000):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if sp.normalize(PROBE) != SPACE + PROBE.replace(" ", SPACE):
+            raise ValueError("the model's normaliser changes texts")
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
@@ -95,7 +102,7 @@ class Vocabulary:
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 200_000:
+            if len(self.fits) > 50_000:
                 self.fits.clear()
             known = self.fits[key] = self.merged(a + b) == [a, b]
         return known
@@ -150,30 +157,25 @@ class Vocabulary:
         spaced, bare = self.spaced, self.bare
         return b"".join(spaced[s[1:]] if s[0] == SPACE else bare[s] for s in _segment.findall(normal))
 
-    def packed(self, text: str) -> bytes:
-        """Packed ids of a text. Lines of words with single spaces between them, the usual case, are split without a pattern."""
+    def quick(self, text: str, table: WordTable, space: str = " ") -> np.ndarray | None:
+        """Numbers in ``table`` of the words of a text (without the space before the first one), if single spaces divide them."""
+        if not self.lines or (space == " " and SPACE in text):
+            return None
+        words = text.replace("\n", space + "\n").split(space)
+        return None if "" in words else table.numbers(words)
+
+    def packed(self, text: str, table: WordTable) -> np.ndarray:
+        """Ids of a text."""
         if not text:
-            return b""
-        out, spaced, bare = [], self.spaced, self.bare
-        for n, line in enumerate(text.split("\n") if self.lines else [text]):
-            if n:
-                out.append(self.line_end)
-            if not line:
-                if not n:
-                    out.append(spaced[""])
-                continue
-            parts = line.split(" ")
-            if "" in parts or SPACE in line:
-                out.append(self.words((line if n else SPACE + line).replace(" ", SPACE)))
-                continue
-            if n:
-                out.append(bare[parts[0]])
-                del parts[0]
-            out += map(spaced.__getitem__, parts)
-        return b"".join(out)
+            return np.zeros(0, np.int32)
+        numbers = self.quick(text, table)
+        return np.frombuffer(self.words(normalise(text)), np.int32) if numbers is None else table.tokens(numbers)
+
+    def table(self) -> WordTable:
+        return WordTable(None, model=self.model)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), np.int32).tolist()
+        return self.packed(text, self.table()).tolist()
 
     def decoded(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that ids stand for."""
@@ -186,6 +188,12 @@ class Vocabulary:
         return self.decoded(np.array(ids, np.int64)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    """Read once by a worker."""
+    return Vocabulary(path)
+
+
 class Words(dict):
     """Packed ids of words seen so far, by the word without what stands before it."""
 
@@ -230,7 +238,7 @@ def states(v: Vocabulary, text: str, cut_at: int) -> list[State]:
     return out
 
 
-def transfer(v: Vocabulary, text: str, begin: int, end: int, first: bool, last: bool) -> Matrix:
+def transfer(v: Vocabulary, words: WordTable, text: str, begin: int, end: int, first: bool, last: bool) -> Matrix:
     """The matrix of the chunk [begin, end) of ``text``, which holds enough of its surroundings."""
     starts = word_starts(text, begin + v.longest, end - v.longest)
     out: Matrix = {}
@@ -243,7 +251,9 @@ def transfer(v: Vocabulary, text: str, begin: int, end: int, first: bool, last:
 
     stop = end if last else min(len(text), end + v.longest)
     if starts:
-        middle = len(v.words(text[starts[0] : starts[1]])) // 4
+        inner = text[starts[0] : starts[1]]
+        numbers = v.quick(inner[1:], words, SPACE)
+        middle = len(v.words(inner)) // 4 if numbers is None else int(words.length[numbers].sum())
         tail = leave(v.search(text, starts[1], None, stop))
     for s in [OPEN] if first else states(v, text, begin):
         at = begin + s[1]
@@ -285,37 +295,39 @@ def path(matrices: list[Matrix], enter: State, leave: State) -> list[State]:
     return out[::-1]
 
 
-def backtrace(v: Vocabulary, text: str, begin: int, end: int, enter: State, leave: State) -> list[int]:
+def backtrace(v: Vocabulary, words: WordTable, text: str, begin: int, end: int, enter: State, leave: State) -> np.ndarray:
     """Ids of the pieces from the end of the entering one to the end of the leaving one."""
     at, stop = begin + enter[1], end + leave[1]
     before = None if enter == OPEN else text[begin + enter[0] : at]
     starts = word_starts(text, begin + v.longest, end - v.longest)
     if not starts:
-        return v.trace(text, v.search(text, at, before, stop), at, stop)
+        return np.array(v.trace(text, v.search(text, at, before, stop), at, stop), np.int32)
     head = v.trace(text, v.search(text, at, before, starts[0]), at, starts[0])
-    middle = np.frombuffer(v.words(text[starts[0] : starts[1]]), np.int32).tolist()
-    return head + middle + v.trace(text, v.search(text, starts[1], None, stop), starts[1], stop)
+    inner = text[starts[0] : starts[1]]
+    numbers = v.quick(inner[1:], words, SPACE)
+    middle = np.frombuffer(v.words(inner), np.int32) if numbers is None else words.tokens(numbers)
+    tail = v.trace(text, v.search(text, starts[1], None, stop), starts[1], stop)
+    return np.concatenate([np.array(head, np.int32), middle, np.array(tail, np.int32)])
 
 
-def _pack(m: Matrix) -> list[list[int]]:
-    return [[*s, *o, w] for (s, o), w in m.items()]
+def _pack(m: Matrix) -> bytes:
+    return np.array([(*s, *o, w) for (s, o), w in m.items()], np.int64).tobytes()
 
 
-def _unpack(rows) -> Matrix:
-    return {((int(r[0]), int(r[1])), (int(r[2]), int(r[3]))): int(r[4]) for r in rows}
+def _unpack(packed: bytes) -> Matrix:
+    return {((a, b), (c, d)): w for a, b, c, d, w in np.frombuffer(packed, np.int64).reshape(-1, 5).tolist()}
 
 
 CHECKS = ["n_ids", "decoded_bytes", "decoded_crc32"]
 _CHECK_SCHEMA = ", n_ids long, decoded_bytes long, decoded_crc32 long"
 
 
-def _id_lists(packed: list[bytes | None]) -> pa.ListArray:
-    ends = np.cumsum([0] + [len(x or b"") // 4 for x in packed])
-    none = pa.array([x is None for x in packed] + [False], pa.bool_())
+def _id_lists(ids: list[np.ndarray | None]) -> pa.ListArray:
+    ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids])
     offsets = pa.array(ends, pa.int32())
-    if any(x is None for x in packed):
-        offsets = pa.array([None if n else e for n, e in zip(none.to_pylist(), ends.tolist(), strict=True)], pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(x or b"" for x in packed), np.int32)))
+    if any(x is None for x in ids):
+        offsets = pa.array([None if x is None else e for x, e in zip([*ids, 0], ends.tolist(), strict=True)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x in ids if x is not None)]), pa.int32()))
 
 
 def _checked(v: Vocabulary, ids: list[np.ndarray | None]) -> list[pa.Array]:
@@ -323,6 +335,34 @@ def _checked(v: Vocabulary, ids: list[np.ndarray | None]) -> list[pa.Array]:
     return [pa.array([0 if x is None else len(x) for x in ids], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())]
 
 
+def _rows(batches: Iterator[pa.RecordBatch], size: int = 8) -> Iterator[tuple]:
+    for b in slices(batches, size):
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def _of_groups(frame: DataFrame, keys: list[str], order: str, columns: list[str], out: str, run: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """``run`` on the rows (keys, columns) of each key in order, of which there are at most ``BLOCK`` or, for a document's blocks, as many as it has. It gives rows of ``out`` behind the keys."""
+    types = frame.schema
+    schema = ", ".join(f"{k} {types[k].dataType.simpleString()}" for k in keys) + ", " + out
+    names = [*keys, *(x.split()[0] for x in out.split(", "))]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                kinds[:] = [f.type for f in b.schema][: len(keys)]
+                yield b
+
+        for key, group in groupby(_rows(seen(), 64), lambda r: r[: len(keys)]):
+            made = [key + tuple(x) for x in run([r[len(keys) :] for r in group])]
+            cols = list(zip(*made, strict=True))
+            rest = [None] * (len(names) - len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [*kinds, *rest], strict=True)], names=names)
+
+    return frame.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(each, schema)
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
     """doc, ids: the encoding of every document; with ``check`` also the number of ids, and size and CRC-32 of what they decode to."""
     d = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
@@ -330,85 +370,89 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, bl
     giant = F.char_length("text") > chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [None if t is None else v.packed(t) for t in part.column(1).to_pylist()]
-                cols = [part.column(0), _id_lists(ids)]
-                if check:
-                    cols += _checked(v, [None if x is None else np.frombuffer(x, np.int32) for x in ids])
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "ids", *CHECKS][: len(cols)])
+        v = vocabulary(model)
+        words = v.table()
+        for part in slices(batches):
+            ids = [None if t is None else v.packed(t, words) for t in part.column(1).to_pylist()]
+            cols = [part.column(0), _id_lists(ids)]
+            if check:
+                cols += _checked(v, ids)
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "ids", *CHECKS][: len(cols)])
 
     small = d.where(~F.coalesce(giant, F.lit(False))).mapInArrow(whole, f"doc {kind}, ids array<int>" + (_CHECK_SCHEMA if check else ""))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge = Vocabulary(model).longest
-        names = ["doc", "rev", "copies", "no", "n", "offset", "body"]
-        for b in batches:
-            for d_, r, t, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                s = normalise(t)
-                n = max(1, len(s) // chunk)
-                for k in range(n):
-                    begin, end = k * chunk, (k + 1) * chunk if k < n - 1 else len(s)
-                    low = max(0, begin - edge)
-                    row = [d_, r, c, k, n, [begin - low, end - low], s[low : min(len(s), end + edge)]]
-                    kinds = [b.schema.field("doc").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], y) for x, y in zip(row, kinds, strict=True)], names=names)
+        edge = vocabulary(model).longest
+        names = ["doc", "rev", "copies", "no", "n", "begin", "end", "body"]
+        for b in slices(batches, 1):
+            (r,), (t,), (c,) = (b.column(i).to_pylist() for i in (1, 2, 3))
+            s = normalise(t)
+            n = max(1, len(s) // chunk)
+            for k in range(n):
+                begin, end = k * chunk, (k + 1) * chunk if k < n - 1 else len(s)
+                low = max(0, begin - edge)
+                row = [r, c, k, n, begin - low, end - low]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x], pa.int64()) for x in row), pa.array([s[low : min(len(s), end + edge)]], pa.string())], names=names)
 
     long_ = d.where(giant).groupBy("doc", F.xxhash64("text").alias("rev"), "text").agg(F.count(F.lit(1)).alias("copies")).select("doc", "rev", "text", "copies")
-    chunks = saved(long_.mapInArrow(split, f"doc {kind}, rev long, copies long, no long, n long, offset array<int>, body string").repartition("doc", "rev", "no"))
-
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(model)
-        for p in batches:
-            p["m"] = [_pack(transfer(v, t, int(o[0]), int(o[1]), k == 0, k == n - 1)) for t, o, k, n in zip(p.body, p.offset, p.no, p.n, strict=True)]
-            yield p[["doc", "rev", "no", "n", "m"]]
-
-    mats = saved(chunks.mapInPandas(matrices, f"doc {kind}, rev long, no long, n long, m array<array<int>>").withColumn("blk", F.floor(F.col("no") / block).cast("long")))
-
-    def multiply(p: pd.DataFrame) -> pd.DataFrame:
-        p, m = p.sort_values("no"), None
-        for x in map(_unpack, p.m):
-            m = x if m is None else times(m, x)
-        return pd.DataFrame({"doc": p.doc.iloc[:1], "rev": p.rev.iloc[:1], "blk": p.blk.iloc[:1], "m": [_pack(m)]})
-
-    def through(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("blk")
-        s = path(list(map(_unpack, p.m)), OPEN, OPEN)
-        return pd.DataFrame({"doc": p.doc, "rev": p.rev, "blk": p.blk, "enter": [list(x) for x in s[:-1]], "leave": [list(x) for x in s[1:]]})
-
-    def within(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("no")
-        s = path(list(map(_unpack, p.m)), tuple(map(int, p.enter.iloc[0])), tuple(map(int, p.leave.iloc[0])))
-        return pd.DataFrame({"doc": p.doc, "rev": p.rev, "no": p.no, "enter": [list(x) for x in s[:-1]], "leave": [list(x) for x in s[1:]]})
-
-    ends = "enter array<int>, leave array<int>"
-    blocks = mats.groupBy("doc", "rev", "blk").applyInPandas(multiply, f"doc {kind}, rev long, blk long, m array<array<int>>")
-    bounds = blocks.groupBy("doc", "rev").applyInPandas(through, f"doc {kind}, rev long, blk long, {ends}")
-    same_block = mats["doc"].eqNullSafe(bounds["doc"]) & (mats["rev"] == bounds["rev"]) & (mats["blk"] == bounds["blk"])
-    joined = mats.join(bounds, same_block).select(mats["doc"], mats["rev"], mats["blk"], "no", "m", "enter", "leave")
-    cuts = cut(joined.groupBy("doc", "rev", "blk").applyInPandas(within, f"doc {kind}, rev long, no long, {ends}"))
-
-    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(model)
-        for p in batches:
-            p["ids"] = [backtrace(v, t, int(o[0]), int(o[1]), tuple(map(int, a)), tuple(map(int, z))) for t, o, a, z in zip(p.body, p.offset, p.enter, p.leave, strict=True)]
-            yield p[["doc", "rev", "copies", "no", "ids"]]
+    chunks = saved(long_.mapInArrow(split, f"doc {kind}, rev long, copies long, no long, n long, begin long, end long, body string").repartition("doc", "rev", "no"))
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model)
+        words = v.table()
+        for b in slices(batches, 8):
+            m = [_pack(transfer(v, words, t, a, z, k == 0, k == n - 1)) for k, n, a, z, t in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(m, pa.binary())], names=["doc", "rev", "no", "n", "m"])
+
+    found = chunks.select("doc", "rev", "no", "n", "begin", "end", "body").mapInArrow(matrices, f"doc {kind}, rev long, no long, n long, m binary")
+    mats = saved(found.withColumn("blk", F.floor(F.col("no") / block).cast("long")))
+
+    def states_of(ms: list[bytes], enter: State, leave: State) -> list[tuple]:
+        s = path(list(map(_unpack, ms)), enter, leave)
+        return [(*a, *z) for a, z in zip(s, s[1:], strict=False)]
+
+    def through(rows: list[tuple]) -> list[tuple]:
+        return [(r[0], *x) for r, x in zip(rows, states_of([r[1] for r in rows], OPEN, OPEN), strict=True)]
+
+    def multiply(rows: list[tuple]) -> list[tuple]:
+        m = _unpack(rows[0][1])
+        for r in rows[1:]:
+            m = times(m, _unpack(r[1]))
+        return [(_pack(m),)]
+
+    def within(rows: list[tuple]) -> list[tuple]:
+        return [(r[0], *x) for r, x in zip(rows, states_of([r[1] for r in rows], rows[0][2:4], rows[0][4:6]), strict=True)]
+
+    at = "e0 long, e1 long, l0 long, l1 long"
+    ends = ["e0", "e1", "l0", "l1"]
+    one = _of_groups(mats.where(F.col("n") <= block), ["doc", "rev"], "no", ["no", "m"], f"no long, {at}", through)
+    more = mats.where(F.col("n") > block)
+    blocks = _of_groups(more, ["doc", "rev", "blk"], "no", ["no", "m"], "m binary", multiply)
+    bounds = _of_groups(blocks, ["doc", "rev"], "blk", ["blk", "m"], f"blk long, {at}", through)
+    same_block = more["doc"].eqNullSafe(bounds["doc"]) & (more["rev"] == bounds["rev"]) & (more["blk"] == bounds["blk"])
+    joined = more.join(bounds, same_block).select(more["doc"], more["rev"], more["blk"], "no", "m", *ends)
+    rest = _of_groups(joined, ["doc", "rev", "blk"], "no", ["no", "m", *ends], f"no long, {at}", within).drop("blk")
+    cuts = cut(one.union(rest))
+
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model)
+        words = v.table()
+        for b in slices(batches, 8):
+            ids = [backtrace(v, words, t, a, z, (e, f), (g, h)) for a, z, t, e, f, g, h in zip(*(b.column(i).to_pylist() for i in range(4, 11)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], _id_lists(ids)], names=["doc", "rev", "copies", "no", "ids"])
 
     same_chunk = chunks["doc"].eqNullSafe(cuts["doc"]) & (chunks["rev"] == cuts["rev"]) & (chunks["no"] == cuts["no"])
-    parts = chunks.join(cuts, same_chunk).select(chunks["doc"], chunks["rev"], "copies", chunks["no"], "offset", "body", "enter", "leave").mapInPandas(traced, f"doc {kind}, rev long, copies long, no long, ids array<int>")
+    parts = chunks.join(cuts, same_chunk).select(chunks["doc"], chunks["rev"], "copies", chunks["no"], "begin", "end", "body", *ends)
+    parts = parts.mapInArrow(traced, f"doc {kind}, rev long, copies long, no long, ids array<int>")
     large = parts.groupBy("doc", "rev").agg(F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("x"))
     large = large.select("doc", F.flatten(F.transform("x", lambda y: y["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc", "ids")
     if check:
 
         def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = Vocabulary(model)
-            for b in batches:
-                for at in range(0, b.num_rows, 16):
-                    part = b.slice(at, 16)
-                    ids = [x.values.to_numpy() for x in part.column(1)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *_checked(v, ids)], names=["doc", "ids", *CHECKS])
+            v = vocabulary(model)
+            for part in slices(batches, 16):
+                ids = [x.values.to_numpy() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *_checked(v, ids)], names=["doc", "ids", *CHECKS])
 
         large = large.mapInArrow(checked, f"doc {kind}, ids array<int>{_CHECK_SCHEMA}")
     return small.unionByName(large)
@@ -420,8 +464,8 @@ def decode_documents(encoded: DataFrame, model: str = MODEL, id_col: str = "doc"
     kind = e.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
-        for b in batches:
+        v = vocabulary(model)
+        for b in slices(batches):
             texts = [None if x is None else v.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(1)], names=["doc", "text", "ids"])
 

@@ -4,12 +4,21 @@ import zlib
 
 import pytest
 
+from assetloom.llm.pieces import WordTable
 from assetloom.llm.spm_scan import MODEL, OPEN, Vocabulary, decode_documents, encode_documents, normalise, path, times, transfer
 
 sentencepiece = pytest.importorskip("sentencepiece")
 pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary")
 
 
+def test_a_table_that_forgets_gives_the_same_ids():
+    v, sp = Vocabulary(), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    words, rng = WordTable(None, most=20, longest=6, model=v.model), random.Random(7)
+    for _ in range(60):
+        t = "".join(rng.choice(["the", " a", "\n", " of", "\n\nx", " 漢字é", " internationalisation", "\t"]) for _ in range(rng.randint(1, 40))).strip(" ")
+        assert v.packed(t, words).tolist() == sp.encode(t), t
+
+
 def texts():
     rng = random.Random(4)
     bits = ["the ", "and", " ", "  ", "\n", "tion", "é", "漢字", "😀", "x" * 9, "hello world ", "0.123", "▁", "ß", "     ", "Über", "\t"]
@@ -27,7 +36,7 @@ def test_product_is_associative_and_finds_the_path():
     v, sp = Vocabulary(), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     s = normalise("internationalisation" * 40 + " of the " + "supercalifragilistic" * 40)
     at = [0, 170, 400, 610, 1000, len(s)]
-    ms = [transfer(v, s, a, z, a == 0, z == len(s)) for a, z in zip(at, at[1:])]
+    ms = [transfer(v, v.table(), s, a, z, a == 0, z == len(s)) for a, z in zip(at, at[1:])]
     left, right = ms[0], ms[-1]
     for m in ms[1:]:
         left = times(left, m)
