@@ -157,25 +157,38 @@ class Vocabulary:
         spaced, bare = self.spaced, self.bare
         return b"".join(spaced[s[1:]] if s[0] == SPACE else bare[s] for s in _segment.findall(normal))
 
-    def quick(self, text: str, table: WordTable, space: str = " ") -> np.ndarray | None:
-        """Numbers in ``table`` of the words of a text (without the space before the first one), if single spaces divide them."""
+    def split(self, text: str, space: str = " ") -> list[str] | None:
+        """The words of a text (without the space before the first one), if single spaces divide them."""
         if not self.lines or (space == " " and SPACE in text):
             return None
         words = text.replace("\n", space + "\n").split(space)
-        return None if "" in words else table.numbers(words)
-
-    def packed(self, text: str, table: WordTable) -> np.ndarray:
-        """Ids of a text."""
-        if not text:
-            return np.zeros(0, np.int32)
-        numbers = self.quick(text, table)
-        return np.frombuffer(self.words(normalise(text)), np.int32) if numbers is None else table.tokens(numbers)
+        return None if "" in words else words
+
+    def packed_all(self, texts: list[str | None], table: WordTable) -> list[np.ndarray | None]:
+        """Ids of texts; the words of all of them are looked up at once."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        words: list[str] = []
+        quick, ends = [], []
+        for i, t in enumerate(texts):
+            found = self.split(t) if t else None
+            if found is not None:
+                words += found
+                quick.append(i)
+                ends.append(len(words))
+            elif t is not None:
+                out[i] = np.frombuffer(self.words(normalise(t)), np.int32)
+        if words:
+            numbers = table.numbers(words)
+            after = np.cumsum(table.length[numbers])[np.array(ends) - 1]
+            for i, ids in zip(quick, np.split(table.tokens(numbers), after[:-1]), strict=True):
+                out[i] = ids
+        return out
 
     def table(self) -> WordTable:
         return WordTable(None, model=self.model)
 
     def encode(self, text: str) -> list[int]:
-        return self.packed(text, self.table()).tolist()
+        return self.packed_all([text], self.table())[0].tolist()
 
     def decoded(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that ids stand for."""
@@ -252,8 +265,8 @@ def transfer(v: Vocabulary, words: WordTable, text: str, begin: int, end: int, f
     stop = end if last else min(len(text), end + v.longest)
     if starts:
         inner = text[starts[0] : starts[1]]
-        numbers = v.quick(inner[1:], words, SPACE)
-        middle = len(v.words(inner)) // 4 if numbers is None else int(words.length[numbers].sum())
+        found = v.split(inner[1:], SPACE)
+        middle = len(v.words(inner)) // 4 if found is None else int(words.length[words.numbers(found)].sum())
         tail = leave(v.search(text, starts[1], None, stop))
     for s in [OPEN] if first else states(v, text, begin):
         at = begin + s[1]
@@ -304,8 +317,8 @@ def backtrace(v: Vocabulary, words: WordTable, text: str, begin: int, end: int,
         return np.array(v.trace(text, v.search(text, at, before, stop), at, stop), np.int32)
     head = v.trace(text, v.search(text, at, before, starts[0]), at, starts[0])
     inner = text[starts[0] : starts[1]]
-    numbers = v.quick(inner[1:], words, SPACE)
-    middle = np.frombuffer(v.words(inner), np.int32) if numbers is None else words.tokens(numbers)
+    found = v.split(inner[1:], SPACE)
+    middle = np.frombuffer(v.words(inner), np.int32) if found is None else words.tokens(words.numbers(found))
     tail = v.trace(text, v.search(text, starts[1], None, stop), starts[1], stop)
     return np.concatenate([np.array(head, np.int32), middle, np.array(tail, np.int32)])
 
@@ -372,8 +385,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, bl
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         words = v.table()
-        for part in slices(batches):
-            ids = [None if t is None else v.packed(t, words) for t in part.column(1).to_pylist()]
+        for part in slices(batches, 64):
+            ids = v.packed_all(part.column(1).to_pylist(), words)
             cols = [part.column(0), _id_lists(ids)]
             if check:
                 cols += _checked(v, ids)

@@ -16,7 +16,8 @@ def test_a_table_that_forgets_gives_the_same_ids():
     words, rng = WordTable(None, most=20, longest=6, model=v.model), random.Random(7)
     for _ in range(60):
         t = "".join(rng.choice(["the", " a", "\n", " of", "\n\nx", " 漢字é", " internationalisation", "\t"]) for _ in range(rng.randint(1, 40))).strip(" ")
-        assert v.packed(t, words).tolist() == sp.encode(t), t
+        got = v.packed_all([t, None, "", t + " x"], words)
+        assert [None if x is None else x.tolist() for x in got] == [sp.encode(t), None, [], sp.encode(t + " x")], t
 
 
 def texts():
