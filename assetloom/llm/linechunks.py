@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, saved, table
+from .common import WORD, Scratch, slices, table
 
 _word = re.compile(WORD)
 WINDOW, LONGEST = 2, 32
@@ -137,7 +137,7 @@ def _chunk_spans(text: bytes) -> tuple[list[int], list[int]]:
 def _hashes(spans: Spans) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
-        for b in batches:
+        for b in slices(batches):
             counts, begins, ends, h = [], [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 x, y = spans(t or b"")
@@ -157,7 +157,7 @@ def _bounds(places: list[int]) -> list[tuple[int, int]]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         row, place, chunk, size = [], [], [], 0
 
         def full() -> pa.RecordBatch:
@@ -206,24 +206,26 @@ def _drop(text: bytes, places: list[int]) -> tuple[str, int]:
 
 
 def _dedup(docs: DataFrame, spans: Spans, id_col: str, text_col: str, keep_cols: tuple[str, ...]) -> DataFrame:
+    scratch = Scratch(docs.sparkSession)
     d = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"), *(docs[c].alias(f"keep_{i}") for i, c in enumerate(keep_cols)))
     d = d.withColumn("rev", F.xxhash64("text")).withColumn("uid", F.xxhash64("doc", "rev"))
     kind = d.schema["doc"].dataType.simpleString()
-    found = saved(d.select("uid", "text").mapInArrow(_hashes(spans), "uid long, place long, h long"))
+    found = scratch.saved(d.select("uid", "text").mapInArrow(_hashes(spans), "uid long, place long, h long"))
     one = F.xxhash64("uid", "place")
-    repeated = saved(found.groupBy("h").agg(F.min(one).alias("a"), F.max(one).alias("z")).where("a != z").select("h"))
+    repeated = scratch.saved(found.groupBy("h").agg(F.min(one).alias("a"), F.max(one).alias("z")).where("a != z").select("h"))
     wanted = found.join(repeated, "h", "left_semi").groupBy("uid").agg(F.collect_set("place").alias("places"))
-    fetched = saved(d.select("doc", "rev", "uid", "text").join(wanted, "uid").select("doc", "rev", "text", "places").mapInArrow(_fetch, f"doc {kind}, rev long, place long, chunk binary"))
+    fetched = scratch.saved(d.select("doc", "rev", "uid", "text").join(wanted, "uid").select("doc", "rev", "text", "places").mapInArrow(_fetch, f"doc {kind}, rev long, place long, chunk binary"))
     at = F.struct(F.col("doc").isNull().alias("none"), "doc", "rev", "place")
-    kept = saved(fetched.groupBy("chunk").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a != z").select(F.col("chunk").alias("k_chunk"), "a"))
+    kept = scratch.saved(fetched.groupBy("chunk").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a != z").select(F.col("chunk").alias("k_chunk"), "a"))
     gone = fetched.join(kept, F.col("chunk") == F.col("k_chunk")).where(at != F.col("a"))
-    gone = cut(gone.groupBy("doc", "rev").agg(F.collect_set("place").alias("gone")).select(F.col("doc").alias("w_doc"), F.col("rev").alias("w_rev"), "gone"))
+    gone = scratch.saved(gone.groupBy("doc", "rev").agg(F.collect_set("place").alias("gone")).select(F.col("doc").alias("w_doc"), F.col("rev").alias("w_rev"), "gone"), keep=True)
+    scratch.clear()
     ours = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("rev") == F.col("w_rev"))
     keeps = [f"keep_{i}" for i in range(len(keep_cols))]
     joined = d.join(gone, ours, "left").select("doc", "text", "gone", *keeps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, lost = b.column(1).to_pylist(), [0] * b.num_rows
             for i, g in enumerate(b.column(2).to_pylist()):
                 if g:
