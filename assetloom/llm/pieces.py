@@ -66,6 +66,10 @@ class WordTable(dict):
                 del self[w]
         return out
 
+    def count(self, numbers: np.ndarray) -> int:
+        """How many tokens those words have."""
+        return int(self.length[numbers].sum())
+
     def tokens(self, numbers: np.ndarray) -> np.ndarray:
         length = self.length[numbers]
         ends = np.cumsum(length)

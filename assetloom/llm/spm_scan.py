@@ -266,7 +266,7 @@ def transfer(v: Vocabulary, words: WordTable, text: str, begin: int, end: int, f
     if starts:
         inner = text[starts[0] : starts[1]]
         found = v.split(inner[1:], SPACE)
-        middle = len(v.words(inner)) // 4 if found is None else int(words.length[words.numbers(found)].sum())
+        middle = len(v.words(inner)) // 4 if found is None else words.count(words.numbers(found))
         tail = leave(v.search(text, starts[1], None, stop))
     for s in [OPEN] if first else states(v, text, begin):
         at = begin + s[1]

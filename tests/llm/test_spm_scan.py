@@ -5,12 +5,21 @@ import zlib
 import pytest
 
 from assetloom.llm.pieces import WordTable
-from assetloom.llm.spm_scan import MODEL, OPEN, Vocabulary, decode_documents, encode_documents, normalise, path, times, transfer
+from assetloom.llm.spm_scan import MODEL, OPEN, Vocabulary, backtrace, decode_documents, encode_documents, normalise, path, times, transfer
 
 sentencepiece = pytest.importorskip("sentencepiece")
 pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary")
 
 
+def test_a_chunk_of_many_words():
+    v, sp = Vocabulary(), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    t = " ".join(f"word{i}" for i in range(3000))
+    s = normalise(t)
+    for words in (v.table(), WordTable(None, most=100, model=v.model)):
+        assert transfer(v, words, s, 0, len(s), True, True) == {(OPEN, OPEN): len(sp.encode(t))}
+        assert backtrace(v, words, s, 0, len(s), OPEN, OPEN).tolist() == sp.encode(t)
+
+
 def test_a_table_that_forgets_gives_the_same_ids():
     v, sp = Vocabulary(), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     words, rng = WordTable(None, most=20, longest=6, model=v.model), random.Random(7)
