@@ -34,9 +34,15 @@ def asset_flags(content: Column, marks: dict[str, list[str]]) -> dict[str, Colum
     return {name: reduce(lambda a, b: a | b, (content.contains(m) for m in texts)) for name, texts in marks.items()}
 
 
-def classify_symbol(name: Column, context: Column, hook: str = r"^use[A-Z0-9]", upper: str = r"^[A-Z]", markup: str = r"<[A-Za-z]", service: str = r"(?i)(service|api|client|fetch)") -> Column:
-    """hook by prefix, component by case and context, service by name, else function."""
-    return by_rules([(name.rlike(hook), "hook"), (name.rlike(upper) & context.rlike(markup), "component"), (name.rlike(service), "service")], "function")
+#: Names of hooks, components and services, files with markup, and what a component's text holds.
+HOOK_NAME, COMPONENT_NAME, SERVICE_NAME = "^use[A-Z]", "^[A-Z][a-zA-Z0-9]*$", "^(get|fetch)"
+MARKUP_FILE, MARKUP = r"\.(tsx|jsx)$", "<[A-Za-z]"
+
+
+def classify_symbol(name: Column, context: Column, path: Column | None = None) -> Column:
+    """hook by name; component by name and markup, in a file for markup (where ``path`` is given); service by name; else function."""
+    markup = context.rlike(MARKUP) if path is None else context.rlike(MARKUP) & path.rlike(MARKUP_FILE)
+    return by_rules([(name.rlike(HOOK_NAME), "hook"), (name.rlike(COMPONENT_NAME) & markup, "component"), (name.rlike(SERVICE_NAME), "service")], "function")
 
 
 #: Tiers of elements, in the order in which they are tried.
@@ -74,7 +80,7 @@ def text_clip(text: Column, n: int, mark: str = "…", within: bool = True) -> C
 
 
 #: Words that are no identifiers.
-KEYWORDS = ["true", "false", "null", "undefined", "return", "const", "let", "var", "new", "typeof", "if", "else", "await", "async", "function", "this"]
+KEYWORDS = ["true", "false", "null", "undefined", "length"]
 
 
 def expression_inputs(expression: Column, keywords: list[str] = KEYWORDS) -> Column:
@@ -84,39 +90,54 @@ def expression_inputs(expression: Column, keywords: list[str] = KEYWORDS) -> Col
 
 
 def references_identifier(expression: Column, name: str | Column) -> Column:
-    """Whether an expression reads an identifier: alone, as a root or between token borders."""
+    """Whether an expression reads an identifier, or the root of a dotted one: between borders of tokens, dots among them."""
     n = F.lit(name) if isinstance(name, str) else name
-    quoted = F.regexp_replace(n, r"([.$])", r"\\$1")
-    return F.coalesce(F.regexp_like(expression, F.concat(F.lit(r"(^|[^A-Za-z0-9_$.])"), quoted, F.lit(r"($|[^A-Za-z0-9_$])"))), F.lit(False))
+    root = F.trim(F.split_part(n, F.lit("."), F.lit(1)))
+    quoted = F.regexp_replace(root, r"([$])", r"\\$1")
+    return F.coalesce(F.regexp_like(expression, F.concat(F.lit(r"(^|[^A-Za-z0-9_$])"), quoted, F.lit(r"($|[^A-Za-z0-9_$])"))), F.lit(False))
+
+
+#: What an expression that gives a list holds.
+LISTS = [".map(", "features", "faqs", "plans"]
 
 
 def value_kind(literal: Column) -> Column:
+    """The kind of a value by how its expression begins or what it holds."""
     t = F.trim(literal)
-    return by_rules([(t.rlike(r"^[\"'`].*[\"'`]$"), "string"), (t.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), "number"), (t.isin("true", "false"), "boolean"), (t.rlike(r"^\[.*\]$"), "list")], "unknown")
+    lists = reduce(lambda a, b: a | b, (t.contains(x) for x in LISTS))
+    return by_rules([(t.rlike("^[\"'`]"), "string"), (t.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), "number"), (t.isin("true", "false"), "boolean"), (lists, "list")], "unknown")
+
+
+#: Hooks of state libraries.
+REDUX_HOOKS = ["useSelector", "useAppSelector", "useDispatch", "useAppDispatch", "useStore"]
+MOBX_HOOKS = ["useObserver", "useLocalObservable", "useAsObservableSource", "observer"]
 
 
 def source_library(module: Column, name: Column) -> Column:
     """The state library behind a hook, by module and then by name."""
     m = F.lower(F.coalesce(module, F.lit("")))
     cases = [
-        (m.contains("react-redux") | m.contains("@reduxjs/toolkit") | name.isin("useSelector", "useDispatch", "useStore"), "redux"),
+        (m.contains("react-redux") | m.contains("@reduxjs/toolkit") | name.isin(REDUX_HOOKS), "redux"),
         (m.contains("zustand"), "zustand"),
-        (m.contains("mobx") | name.isin("useObserver", "useLocalObservable", "observer"), "mobx"),
+        (m.contains("mobx") | name.isin(MOBX_HOOKS), "mobx"),
         (m.contains("store") | name.endswith("Store"), "custom"),
     ]
     return by_rules(cases)
 
 
+#: Patterns of what a handler does, in the order in which they are tried.
+ACTIONS = {
+    "router-action": r"router\.(push|replace|back|refresh)",
+    "analytics-event": r"track\(|analytics\.|gtag\(|posthog\.",
+    "state-update": r"^set[A-Z]",
+    "api-mutation": r"mutate\(|useMutation|submit",
+}
+
+
 def event_action_class(expression: Column) -> Column:
-    """What a handler does, by the first pattern that fits."""
+    """What a handler does, by the first pattern that fits. State updates are known by what stands before the first parenthesis."""
     head = F.split_part(expression, F.lit("("), F.lit(1))
-    cases = [
-        (expression.rlike(r"router\.(push|replace|back|refresh)"), "router-action"),
-        (expression.rlike(r"track\(|analytics\.|gtag\(|posthog\."), "analytics-event"),
-        (head.rlike("^set[A-Z]"), "state-update"),
-        (expression.rlike(r"mutate\(|useMutation|submit"), "api-mutation"),
-    ]
-    return by_rules(cases, "function-call")
+    return by_rules([((head if action == "state-update" else expression).rlike(p), action) for action, p in ACTIONS.items()], "function-call")
 
 
 #: Files that make a route, by role.
@@ -158,16 +179,22 @@ def detect_intent(query: Column) -> Column:
     return by_rules([(q.contains("component"), "component_trace"), (q.contains("hook"), "hook_trace"), (q.contains("route"), "route_trace"), (q.contains("data") | q.contains("flow"), "data_flow")], "unknown")
 
 
-def extract_target(query: Column, intent: Column) -> Column:
+#: Patterns of what a question is about, by its intent, in the order in which they are tried.
+TARGETS = {
+    "component_trace": [r"(?i)component\s+([a-z][a-z0-9_]*)", r"^\s*([A-Z][A-Za-z0-9_]*)\s*$"],
+    "hook_trace": [r"(?i)hook\s+(use[a-z][a-z0-9_]*)", r"\b(use[A-Za-z][A-Za-z0-9_]*)\b"],
+    "route_trace": ["[\"']([^\"']+)[\"']", r"(/[A-Za-z0-9_./\[\]-]+)"],
+    "data_flow": ["[\"']([^\"']+)[\"']"],
+}
+
+
+def extract_target(query: Column, intent: Column, targets: dict[str, list[str]] = TARGETS) -> Column:
     """What a question is about: the first pattern of its intent that fits."""
-    hit = lambda p: F.nullif(F.regexp_extract(query, p, 1), F.lit(""))
-    quoted = hit("[\"']([^\"']+)[\"']")
-    return (
-        F.when(intent == "component_trace", F.coalesce(hit(r"(?i)component\s+([a-z][a-z0-9_]*)"), hit(r"^\s*([A-Z][A-Za-z0-9_]*)\s*$")))
-        .when(intent == "hook_trace", F.coalesce(hit(r"(?i)hook\s+(use[a-z][a-z0-9_]*)"), hit(r"\b(use[A-Za-z][A-Za-z0-9_]*)\b")))
-        .when(intent == "route_trace", F.coalesce(quoted, hit(r"(/[A-Za-z0-9_./\[\]-]+)")))
-        .when(intent == "data_flow", quoted)
-    )
+    out = F.lit(None).cast("string")
+    for name, patterns in targets.items():
+        found = F.coalesce(*(F.nullif(F.regexp_extract(query, p, 1), F.lit("")) for p in patterns))
+        out = F.when(intent == name, found).otherwise(out)
+    return out
 
 
 def file_slug(name: Column) -> Column:

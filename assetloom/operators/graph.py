@@ -87,6 +87,66 @@ def edges_calls(calls: DataFrame, hooks: DataFrame) -> DataFrame:
     return left.where("owner <> target").groupBy(F.col("owner").alias("src"), F.col("target").alias("dst"), F.col("line").alias("k")).agg(F.min("kind").alias("kind")).withColumn("type", F.lit("calls"))
 
 
+def edges_imports(refs: DataFrame) -> DataFrame:
+    """From the owner of a resolved reference (owner, target, path) to the asset, or to the target as it is written where there is none."""
+    return refs.select(F.col("owner").alias("src"), F.coalesce("path", "target").alias("dst"), F.lit("imports").alias("type")).distinct()
+
+
+def _to_symbols(refs: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """References (ref_id, owner, source, name) with the symbol that they render, where there is one."""
+    from assetloom.operators.resolution import resolve_render_target
+
+    return refs.join(resolve_render_target(refs.select("ref_id", "source", "name"), imports, symbols).select("ref_id", "symbol"), "ref_id")
+
+
+def edges_renders(refs: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """From the owner of an element (ref_id, owner, source, name) to the symbol of its name: by imports, then anywhere."""
+    return _to_symbols(refs, imports, symbols).select(F.col("owner").alias("src"), F.col("symbol").alias("dst"), F.lit("renders").alias("type")).distinct()
+
+
+def edges_uses(refs: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """From the owner of a call (ref_id, owner, source, name) to the hook of its name."""
+    hooks = symbols.where("type = 'hook'").select("symbol").distinct()
+    return _to_symbols(refs, imports, symbols).join(hooks, "symbol", "left_semi").select(F.col("owner").alias("src"), F.col("symbol").alias("dst"), F.lit("uses_hook").alias("type")).distinct()
+
+
+def edges_passes(passes: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """From the owner of an element with properties (ref_id, owner, source, name, ord, names, values) to the symbol of its name, with the properties as text."""
+    summary = F.array_join(F.transform(F.arrays_zip("names", "values"), lambda x: F.concat(x["names"], F.lit("="), x["values"])), ", ")
+    return _to_symbols(passes, imports, symbols).select(F.col("owner").alias("src"), F.col("symbol").alias("dst"), F.lit("passes_prop").alias("type"), F.col("ord").alias("k"), summary.alias("summary"))
+
+
+def resolved_calls(calls: DataFrame, imports: DataFrame, symbols: DataFrame, hooks: DataFrame) -> DataFrame:
+    """Call edges of calls as they are written: ref_id, owner, source, callee, line."""
+    from assetloom.operators.resolution import resolve_call_target
+
+    found = resolve_call_target(calls.select("ref_id", "source", "callee"), imports, symbols)
+    return edges_calls(calls.join(found, "ref_id").select("owner", F.col("dst").alias("target"), "kind", "line", F.col("callee").alias("name")), hooks)
+
+
+def resolved_value_sources(flows: DataFrame, trees: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Value-source edges of flows (flow_id, child, prop, value, line, owner, source) whose expressions are ``trees`` (tree_id, the flow's; node_id, parent_id, ord, kind, name)."""
+    from assetloom.operators.resolution import resolve_flow_target
+
+    found = resolve_flow_target(trees, flows.select(F.col("flow_id").alias("tree_id"), "source"), imports, symbols)
+    return edges_value_source(flows, found.select(F.col("tree_id").alias("flow_id"), "dst"))
+
+
+def build_edges(symbols: DataFrame, imports: DataFrame, refs: DataFrame | None = None, renders: DataFrame | None = None, uses: DataFrame | None = None, passes: DataFrame | None = None, calls: DataFrame | None = None, hooks: DataFrame | None = None) -> DataFrame:
+    """All edges (type, src, dst, k) of a catalog whose names are looked up in ``symbols`` by ``imports``. What isn't given has no edges; the frames are those of the builders above."""
+    made = [] if refs is None else [edges_imports(refs)]
+    made += [build(f, imports, symbols) for build, f in ((edges_renders, renders), (edges_uses, uses), (edges_passes, passes)) if f is not None]
+    if calls is not None:
+        made.append(resolved_calls(calls, imports, symbols, calls.select("owner", F.lit("").alias("hook")).limit(0) if hooks is None else hooks))
+    out = [e.select("type", "src", "dst", (F.col("k") if "k" in e.columns else F.lit(0)).cast("long").alias("k")) for e in made]
+    if not out:
+        raise ValueError("nothing to build edges from")
+    all_ = out[0]
+    for e in out[1:]:
+        all_ = all_.unionByName(e)
+    return all_
+
+
 def edges_value_source(flows: DataFrame, targets: DataFrame) -> DataFrame:
     """From the source of a value to the child that takes it: flows (flow_id, child, prop, value, line, owner) with targets (flow_id, dst)."""
     return flows.join(targets, "flow_id").select(F.col("dst").alias("src"), F.col("child").alias("dst"), F.lit("prop_source").alias("type"), "prop", "value", F.col("line").alias("k"), "owner")
@@ -115,19 +175,18 @@ def layer_chain(entries: DataFrame, key: str, order: list[str], first_type: str,
     return out.select(key, F.col("node").alias("src"), F.col("next").alias("dst"), F.when(F.col("place") == 1, first_type).otherwise(other_type).alias("type"), F.col("place").alias("k"))
 
 
-#: Node types of the data, logic and view layers.
-CATEGORIES = {
-    "data": ["data-fetch", "store", "context", "api", "region", "nation"],
-    "logic": ["hook", "condition", "loop", "function", "service", "customer", "supplier"],
-    "ui": ["component", "ui-content", "slot", "order", "part"],
-}
+#: Node types of the data and logic layers; others are in the layer of views.
+CATEGORIES = {"data": ["data-fetch", "context", "store"], "logic": ["hook", "condition", "loop"]}
 
 
-def node_category(nodes: DataFrame, categories: dict[str, list[str]] = CATEGORIES, without: tuple[str, ...] = ("page", "route", "layout")) -> DataFrame:
-    c = F.lit(None).cast("string")
+def node_category(nodes: DataFrame, categories: dict[str, list[str]] = CATEGORIES, default: str = "ui", without: tuple[str, ...] = ("page", "route", "layout")) -> DataFrame:
+    """(node, category): the category that a node states (``category``, where it is a known one), else that of its type."""
+    c = F.lit(default)
     for name, types in categories.items():
         c = F.when(F.col("type").isin(types), name).otherwise(c)
-    return nodes.where(~F.col("type").isin(list(without))).select("node", c.alias("category")).where("category is not null")
+    if "category" in nodes.columns:
+        c = F.when(F.col("category").isin([*categories, default]), F.col("category")).otherwise(c)
+    return nodes.where(~F.col("type").isin(list(without))).select("node", c.alias("category"))
 
 
 def layer_data_source(fetches: DataFrame, calls: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:

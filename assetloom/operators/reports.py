@@ -38,14 +38,24 @@ def parent_names(nodes: DataFrame, edges: DataFrame, parents: list[str], users:
 LABELS = {"renders": "render", "routes_to": "render", "wraps": "children", "shows_loading": "loading", "shows_error": "error", "shows_not_found": "404", "passes_prop": "pass props", "prop_source": "feeds prop", "uses_hook": "hook"}
 
 
-def edge_label(edges: DataFrame, labels: dict[str, str] = LABELS, ordered: list[str] = ("sequence",), step: str = "step") -> DataFrame:
-    """``label``: a name by type; ordered types with an ``order`` show it."""
-    name = F.replace("type", F.lit("_"), F.lit(" "))
+#: Fixed value: characters of a label with properties.
+LABEL_LENGTH = 42
+
+
+def edge_label(edges: DataFrame, labels: dict[str, str] = LABELS, ordered: list[str] = ("sequence",), passing: list[str] = ("passes_prop",), feeding: list[str] = ("prop_source",)) -> DataFrame:
+    """``label``: one that is given and says more than the type, else by type, with passed properties, the fed property, or order and kind of a step. Columns label, props, prop, order and step may be left out."""
+    has = lambda c: F.col(c).cast("string") if c in edges.columns else F.lit(None).cast("string")
+    plain = F.replace("type", F.lit("_"), F.lit(" "))
+    name = plain
     for t, x in labels.items():
         name = F.when(F.col("type") == t, x).otherwise(name)
-    if "order" in edges.columns:
-        name = F.when(F.col("type").isin(list(ordered)) & F.col("order").isNotNull(), F.concat(F.col("order").cast("string"), F.lit(f". {step}"))).otherwise(name)
-    return edges.withColumn("label", name)
+    props = F.concat(F.lit("pass props: {"), F.nullif(has("props"), F.lit("")), F.lit("}"))
+    props = F.when(F.char_length(props) > LABEL_LENGTH, F.concat(F.substring(props, 1, LABEL_LENGTH - 1), F.lit("…"))).otherwise(props)
+    order = F.nullif(F.nullif(has("order"), F.lit("0")), F.lit(""))
+    for types, shown in ((passing, props), (feeding, F.concat(F.lit("→ "), F.nullif(has("prop"), F.lit("")))), (ordered, F.concat(order, F.lit(". "), F.coalesce(has("step"), F.lit("step"))))):
+        name = F.when(F.col("type").isin(list(types)) & shown.isNotNull(), shown).otherwise(name)
+    given = F.nullif(F.nullif(has("label"), F.lit("")), plain)
+    return edges.withColumn("label", F.coalesce(given, name))
 
 
 def node_from_id(ids: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -72,9 +82,9 @@ def trace_node(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int
     return every.join(nodes.select("node", "type", "label"), "node").select("root", "node", "type", "label", "degree")
 
 
-def trace_data_flow(edges: DataFrame, focus: DataFrame, types: list[str], without: list[str]) -> DataFrame:
+def trace_data_flow(edges: DataFrame, focus: DataFrame, types: list[str], without: list[str], usage: dict[str, list[str]] = traversal.FLOW_TYPES) -> DataFrame:
     """The focused flow without edges that touch nodes of some types (by id)."""
-    flow = traversal.focused_flow(edges, focus, types)
+    flow = traversal.focused_flow(edges, focus, types, usage=usage)
     kind = lambda c: F.split_part(c, F.lit(":"), F.lit(1)).isin(without)
     return flow.where(~kind("src") & ~kind("dst"))
 

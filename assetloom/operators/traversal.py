@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.plans.components import components
 from assetloom.plans.durable import cut, saved
-from assetloom.plans.frontier import adjacency, incident, induced, walk, walk_with_parents
+from assetloom.plans.frontier import adjacency, few, grown, incident, induced, walk, walk_with_parents
 from assetloom.plans.ranked import first_by
 
 
@@ -138,28 +139,48 @@ def upstream_edges(edges: DataFrame, seeds: DataFrame, barrier: DataFrame, types
     stop = cut(barrier.select("root", "node").distinct())
     frontier = cut(seeds.select("root", "node").distinct().join(stop, ["root", "node"], "left_anti"))
     visited = frontier
-    level = 1
-    while depth is None or level < depth:
+    level, n = 1, frontier.count()
+    while n and (depth is None or level < depth):
         level += 1
-        found = frontier.join(e, F.col("node") == F.col("dst")).select("root", F.col("src").alias("node")).distinct()
+        found = few(frontier, n).join(e, F.col("node") == F.col("dst")).select("root", F.col("src").alias("node")).distinct()
         frontier = cut(found.join(visited, ["root", "node"], "left_anti").join(stop, ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
+        n = frontier.count()
+        visited = grown(visited, frontier, level) if n else visited
     return e.join(visited, e["dst"] == visited["node"]).select("root", "type", "src", "dst", "k").distinct()
 
 
-def focus_usage_edges(edges: DataFrame, focus: DataFrame) -> DataFrame:
-    """Edges in the scope of an owner that match a focus (root, owner, kind, text): by target for hooks and calls, by type for others."""
-    e = edges.join(focus, F.col("src") == F.col("owner")).unionByName(edges.join(focus, F.col("dst") == F.col("owner"))).distinct()
-    text = F.lower("text")
-    match = F.when(F.col("kind").isin("hook", "call"), F.lower("dst").contains(text)).when(F.col("kind") == "prop", F.lower("type").contains(text)).otherwise(F.lower("src").contains(text) | F.lower("dst").contains(text))
-    return e.where(match).select("root", "type", "src", "dst", "k")
-
-
-def focused_flow(edges: DataFrame, focus: DataFrame, types: list[str], depth: int = 5) -> DataFrame:
+#: Types of edges that carry data, by what they stand for.
+FLOW_TYPES = {"source": ["prop_source"], "hook": ["uses_hook"], "call": ["calls", "sequence"]}
+
+
+def focus_usage_edges(edges: DataFrame, focus: DataFrame, types: dict[str, list[str]] = FLOW_TYPES) -> DataFrame:
+    """Edges of data in the scope of an owner that match a focus (root, owner, kind, text).
+
+    A property's edges are the value sources of that name and all that the owner calls and uses; a hook's are uses of it, a call's
+    calls of it; another focus matches by callee, expression or property. In scope are edges that leave the owner and value sources
+    that it passes (``passed_from``). Columns callee (else the target), expression, prop and passed_from may be left out."""
+    has = lambda c: F.lower(c) if c in edges.columns else F.lit(None).cast("string")
+    e = edges.withColumns({"f_callee": F.coalesce(has("callee"), F.lower("dst")), "f_expression": has("expression"), "f_prop": has("prop")})
+    own = e.join(focus, F.col("src") == F.col("owner"))
+    if "passed_from" in edges.columns:
+        own = own.unionByName(e.join(focus, (F.col("passed_from") == F.col("owner")) & (F.col("src") != F.col("owner")) & (F.col("kind") == "prop")))
+    text, of = F.lower("text"), lambda k: F.col("type").isin(types[k])
+    named = F.coalesce(F.col("f_callee").contains(text), F.lit(False)) | F.coalesce(F.col("f_expression").contains(text), F.lit(False))
+    prop = F.coalesce(F.col("f_prop") == text, F.lit(False))
+    leaves = F.col("src") == F.col("owner")
+    match = (
+        F.when(F.col("kind") == "prop", F.when(of("source"), prop).otherwise(leaves))
+        .when(F.col("kind") == "hook", of("hook") & (named | F.lower("dst").contains(text)))
+        .when(F.col("kind").isin("call", "execution"), of("call") & named)
+        .otherwise(named | prop)
+    )
+    every = F.col("type").isin([t for x in types.values() for t in x])
+    return own.where(every & match).select("root", "type", "src", "dst", "k").distinct()
+
+
+def focused_flow(edges: DataFrame, focus: DataFrame, types: list[str], depth: int = 5, usage: dict[str, list[str]] = FLOW_TYPES) -> DataFrame:
     """The usage edges of a focus and what flows into their far ends."""
-    used = saved(focus_usage_edges(edges, focus))
+    used = saved(focus_usage_edges(edges, focus, usage))
     owners = focus.select("root", F.col("owner").alias("node"))
     far = used.select("root", F.col("src").alias("node")).unionByName(used.select("root", F.col("dst").alias("node"))).distinct().join(owners, ["root", "node"], "left_anti")
     return used.unionByName(upstream_edges(edges, far, owners, types, depth)).distinct()
@@ -171,30 +192,32 @@ def prune_to_sink(edges: DataFrame, sinks: DataFrame) -> DataFrame:
     return induced(edges, keep, "root")
 
 
-def nearest_ancestor(edges: DataFrame, nodes: DataFrame, roots: DataFrame, wanted: str, most: int = 100) -> DataFrame:
-    """(root, ancestor, depth): walking up each node's first parent (by type, then id) until a node of the wanted type."""
+def nearest_ancestor(edges: DataFrame, nodes: DataFrame, roots: DataFrame, wanted: str) -> DataFrame:
+    """(root, ancestor, depth): walking up each node's first parent (by type, then id) until a node of the wanted type, the top or a node seen before."""
     parent = saved(edges.groupBy("dst").agg(F.min(F.struct("type", "src")).alias("x")).select(F.col("dst").alias("child"), F.col("x.src").alias("up")))
     kinds = saved(nodes.select(F.col("node").alias("id"), F.col("type").alias("kind")))
     at = cut(roots.select("root", F.col("root").alias("node")))
-    done = None
-    for d in range(1, most + 1):
-        moved = cut(at.join(parent, F.col("node") == F.col("child")).select("root", F.col("up").alias("node")).join(kinds, F.col("node") == F.col("id")).select("root", "node", "kind"))
+    done, seen = None, at
+    for d in count(1):
+        moved = at.join(parent, F.col("node") == F.col("child")).select("root", F.col("up").alias("node")).join(kinds, F.col("node") == F.col("id")).select("root", "node", "kind")
+        moved = cut(moved.join(seen, ["root", "node"], "left_anti"))
         hit = moved.where(F.col("kind") == wanted).select("root", F.col("node").alias("ancestor"), F.lit(d).alias("depth"))
         done = hit if done is None else done.unionByName(hit)
         at = moved.where(F.col("kind") != wanted).select("root", "node")
         if at.isEmpty():
             break
+        seen = grown(seen, at, d)
     return done
 
 
-def visibility_gates(edges: DataFrame, nodes: DataFrame, roots: DataFrame, priority: dict[str, int], gate: str, most: int = 50) -> DataFrame:
+def visibility_gates(edges: DataFrame, nodes: DataFrame, roots: DataFrame, priority: dict[str, int], gate: str) -> DataFrame:
     """(root, ord, gate, branch): gates on the way up the best parent of each node, nearest first."""
     p = F.create_map(*(x for t, n in priority.items() for x in (F.lit(t), F.lit(n))))
     best = edges.groupBy("dst").agg(F.min(F.struct(F.coalesce(F.try_element_at(p, F.col("type")), F.lit(99)).alias("p"), "k", "src", "type")).alias("x"))
     kinds = nodes.select(F.col("node").alias("id"), F.col("type").alias("kind"))
     parent = saved(best.select(F.col("dst").alias("child"), F.col("x.src").alias("up"), F.col("x.type").alias("branch")).join(kinds, F.col("up") == F.col("id")).drop("id"))
     at, seen, out = cut(roots.select("root", F.col("root").alias("node"))), None, None
-    for d in range(1, most + 1):
+    for d in count(1):
         moved = at.join(parent, F.col("node") == F.col("child")).select("root", F.col("up").alias("node"), "kind", "branch")
         if seen is not None:
             moved = moved.join(seen, ["root", "node"], "left_anti")
@@ -204,7 +227,7 @@ def visibility_gates(edges: DataFrame, nodes: DataFrame, roots: DataFrame, prior
         hit = moved.where(F.col("kind") == gate).select("root", F.lit(d).alias("ord"), F.col("node").alias("gate"), "branch")
         out = hit if out is None else out.unionByName(hit)
         at = moved.select("root", "node")
-        seen = at if seen is None else seen.unionByName(at)
+        seen = at if seen is None else grown(seen, at, d)
     return out if out is not None else at.where("false").select("root", F.lit(0).alias("ord"), F.col("node").alias("gate"), F.lit("").alias("branch"))
 
 
@@ -223,22 +246,23 @@ def visible_tree(edges: DataFrame, nodes: DataFrame, hidden: list[str]) -> DataF
         if nxt.isEmpty():
             break
         out, frontier = out.unionByName(nxt.where("not to_hidden")), nxt.where("to_hidden")
-        seen = seen.unionByName(frontier)
+        seen = grown(seen, frontier, d)
     best = out.where("top <> at").groupBy(F.col("at").alias("node")).agg(F.min(F.struct("d", "top")).alias("x")).select("node", F.col("x.top").alias("parent"))
     shown = nodes.where(~F.col("type").isin(hidden)).select("node")
     return shown.join(best, "node", "left")
 
 
-def tree_path(tree: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
+def tree_path(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, ord, node): ancestors of a node in a tree (node, parent), top first; ord counts up to 0 at the node."""
     up = saved(tree.where("parent is not null").select(F.col("node").alias("child"), "parent"))
     at = cut(roots.select("root", F.lit(0).alias("ord"), F.col("root").alias("node")))
     out = at
-    for d in range(1, most + 1):
-        at = cut(at.join(up, F.col("node") == F.col("child")).select("root", F.lit(-d).alias("ord"), F.col("parent").alias("node")))
+    for d in count(1):
+        above = at.join(up, F.col("node") == F.col("child")).select("root", F.lit(-d).alias("ord"), F.col("parent").alias("node"))
+        at = cut(above.join(out.select("root", "node"), ["root", "node"], "left_anti").select("root", "ord", "node"))  # a cycle ends where it closes
         if at.isEmpty():
             break
-        out = out.unionByName(at)
+        out = grown(out, at, d)
     return out
 
 
@@ -285,12 +309,12 @@ def trace_origin(steps: DataFrame, priority: list[str]) -> DataFrame:
     return g.select("owner", F.coalesce("best.ord", "last.ord").alias("ord"), F.coalesce("best.kind", "last.kind").alias("kind"))
 
 
-def first_of_kind_in_tree(tree: DataFrame, kinds: list[str], most: int = 50) -> DataFrame:
+def first_of_kind_in_tree(tree: DataFrame, kinds: list[str]) -> DataFrame:
     """(tree_id, node_id): the first node in preorder of one of the kinds. tree: tree_id, node_id, parent_id, ord, kind."""
     t = saved(tree)
     level = cut(t.where("parent_id is null").select("tree_id", "node_id", "kind", F.array("ord").alias("key")))
     out = level
-    for _ in range(most):
+    while True:  # a node has one parent, so what hangs from a top has no cycles
         child = t.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("parent_id").alias("p"), "ord", F.col("kind").alias("c"))
         level = cut(level.join(child, (F.col("tree_id") == F.col("t")) & (F.col("node_id") == F.col("p"))).select("tree_id", F.col("n").alias("node_id"), F.col("c").alias("kind"), F.concat("key", F.array("ord")).alias("key")))
         if level.isEmpty():
@@ -300,28 +324,42 @@ def first_of_kind_in_tree(tree: DataFrame, kinds: list[str], most: int = 50) ->
 
 
 def nested_dependency_chain(edges: DataFrame, roots: DataFrame, stem: int = 5) -> DataFrame:
-    """(root, field, ord, node): dependencies below a root whose names share a stem with the field, each visited once. roots: root, field."""
-    key = F.concat_ws("|", "root", "field")
-    near = walk(adjacency(edges), roots.select(key.alias("root"), F.col("root").alias("node")))
-    named = near.where("depth > 0").join(roots.select(key.alias("key"), F.col("root").alias("of"), "field"), F.col("root") == F.col("key"))
-    name = F.lower(F.regexp_replace(F.element_at(F.split("node", ":"), -1), "^use", ""))
-    like = name.contains(F.lower(F.substring("field", 1, stem))) | F.lower("field").contains(F.substring(name, 1, stem))
-    return named.where(like).select(F.col("of").alias("root"), "field", F.col("depth").alias("ord"), "node")
+    """(root, field, ord, node): dependencies below a root, each visited once. roots: root, field.
+
+    Of a node's dependencies those are followed whose names share a stem with the field, or all if none does."""
+    steps = saved(adjacency(edges))
+    at = cut(roots.select("root", "field", F.col("root").alias("node")).distinct())
+    seen, out = at, at.where("false").select("root", "field", F.lit(0).alias("ord"), "node")
+    name = F.lower(F.regexp_replace(F.element_at(F.split("node", ":"), -1), "(?i)^use", ""))
+    field = F.lower("field")
+    like = F.coalesce(field.contains(F.substring(name, 1, stem)) | name.contains(F.substring(field, 1, stem)), F.lit(False))
+    for d in count(1):
+        below = at.withColumnRenamed("node", "parent").join(steps, F.col("parent") == F.col("src")).select("root", "field", "parent", F.col("dst").alias("node"))
+        below = cut(below.withColumn("like", like))
+        some = below.groupBy("root", "field", "parent").agg(F.max("like").alias("some"))
+        same = [F.col(f"b.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("root", "field", "parent")]
+        chosen = below.alias("b").join(some.alias("s"), reduce(lambda x, y: x & y, same)).where("like or not some").select("b.root", "b.field", "b.node").distinct()
+        met = seen.select(F.col("root").alias("r"), F.col("field").alias("f"), F.col("node").alias("n"))
+        at = cut(chosen.join(met, (F.col("root") == F.col("r")) & F.col("field").eqNullSafe(F.col("f")) & (F.col("node") == F.col("n")), "left_anti"))
+        if at.isEmpty():
+            return out
+        out = out.unionByName(at.select("root", "field", F.lit(d).alias("ord"), "node"))
+        seen = grown(seen, at, d)
 
 
-def pass_through_chain(flows: DataFrame, roots: DataFrame, most: int = 20) -> DataFrame:
+def pass_through_chain(flows: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, prop, ord, node, expression): a property followed up the parents that pass it on by name, up to a dotted expression. flows: parent, child, prop, expression."""
     f = saved(first_by(flows, ["child", "prop"], ["parent", "expression"]))
     at = cut(roots.select("root", "prop", F.col("root").alias("node"), F.col("prop").alias("name")))
     seen, out = at.select("root", "prop", "node", "name"), None
-    for d in range(1, most + 1):
+    for d in count(1):
         step = at.join(f.withColumnRenamed("prop", "p"), (F.col("node") == F.col("child")) & (F.col("name") == F.col("p"))).select("root", "prop", F.lit(d).alias("ord"), F.col("parent").alias("node"), "expression")
         step = cut(step.join(seen.select("root", "prop", "node", F.col("name").alias("expression")), ["root", "prop", "node", "expression"], "left_anti"))
         if step.isEmpty():
             break
         out = step if out is None else out.unionByName(step)
         at = step.where(~F.col("expression").contains(".")).select("root", "prop", "node", F.col("expression").alias("name"))
-        seen = seen.unionByName(at.select("root", "prop", "node", "name"))
+        seen = grown(seen, at.select("root", "prop", "node", "name"), d)
     return out if out is not None else at.where("false").select("root", "prop", F.lit(0).alias("ord"), "node", F.col("name").alias("expression"))
 
 
@@ -377,17 +415,17 @@ def focus_steps(edges: DataFrame, nodes: DataFrame, roots: DataFrame, up_types:
     return every.select("root", "ord", "node", "depth", "role", "next")
 
 
-def value_trace(origins: DataFrame, roots: DataFrame, most: int = 12) -> DataFrame:
+def value_trace(origins: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, expression, ord, owner, name, kind): the chain of an expression at a consumer, over bindings by kind.
 
     origins: owner, name, kind (hook, local, fetch, module, loop, context, store), from_owner, from_name;
-    of several origins of a name the first kind in this order counts. A chain ends at a name without origin."""
+    of several origins of a name the first kind in this order counts. A chain ends at a name without origin or one seen before."""
     order = ["hook", "local", "fetch", "module", "loop", "context", "store"]
     rank = F.array_position(F.array(*(F.lit(x) for x in order)), F.col("kind"))
     best = saved(first_by(origins.where(rank > 0).withColumn("rank", rank), ["owner", "name"], ["rank", "from_owner", "from_name"]).drop("rank"))
     at = cut(roots.select("root", "expression", F.col("root").alias("owner_at"), F.split_part("expression", F.lit("."), F.lit(1)).alias("name_at")))
     seen, out = at, None
-    for d in range(1, most + 1):
+    for d in count(1):
         step = at.join(best, (F.col("owner_at") == F.col("owner")) & (F.col("name_at") == F.col("name")))
         step = cut(step.select("root", "expression", F.lit(d).alias("ord"), "owner", "name", "kind", "from_owner", "from_name"))
         if step.isEmpty():
@@ -396,5 +434,5 @@ def value_trace(origins: DataFrame, roots: DataFrame, most: int = 12) -> DataFra
         out = part if out is None else out.unionByName(part)
         nxt = step.select("root", "expression", F.col("from_owner").alias("owner_at"), F.col("from_name").alias("name_at"))
         at = cut(nxt.join(seen, ["root", "expression", "owner_at", "name_at"], "left_anti"))
-        seen = seen.unionByName(at)
+        seen = grown(seen, at, d)
     return out if out is not None else at.where("false").select("root", "expression", F.lit(0).alias("ord"), F.col("owner_at").alias("owner"), F.col("name_at").alias("name"), F.lit("").alias("kind"))

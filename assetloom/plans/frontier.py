@@ -2,8 +2,9 @@
 
 The state is ``visited(root, node, depth)``. A round joins the frontier with the edges, drops what
 its root has visited, and becomes the next frontier. Only ids travel through the loop; attributes
-are joined afterwards. Each round is cut from its lineage in the shared checkpoint folder, so a walk
-survives lost executors, and hubs are ordinary join keys that adaptive execution may split.
+are joined afterwards. A frontier of at most ``FEW`` rows is broadcast, so that the edges are read but
+not shuffled in its round; larger ones are shuffled with them. Each round is cut from its lineage in the shared
+checkpoint folder, so a walk survives lost executors, and hubs are ordinary join keys that adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -13,6 +14,20 @@ from pyspark.sql import functions as F
 
 from .durable import cut, saved
 
+#: Rows of two ids that may be broadcast: about 100 bytes each.
+FEW = 200_000
+
+
+def few(frontier: DataFrame, n: int) -> DataFrame:
+    """The frontier of ``n`` rows for a join with the edges."""
+    return F.broadcast(frontier) if n <= FEW else frontier
+
+
+def grown(seen: DataFrame, more: DataFrame, level: int) -> DataFrame:
+    """Rows seen so far with those of a round; the plan is cut now and then, so that long walks don't pile up unions."""
+    both = seen.unionByName(more)
+    return both if level % 16 else cut(both)
+
 
 def adjacency(edges: DataFrame, direction: str = "out", types: list[str] | None = None) -> DataFrame:
     """Distinct (src, dst) steps along, against or in both directions of the edges."""
@@ -30,15 +45,14 @@ def walk(steps: DataFrame, roots: DataFrame, depth: int | None = None, closed: C
     steps = saved(steps)
     frontier = cut(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
-    level = 0
-    while depth is None or level < depth:
+    level, n = 0, frontier.count()
+    while n and (depth is None or level < depth):
         level += 1
-        leaving = frontier if closed is None else frontier.where(~closed)
-        found = leaving.join(steps, leaving["node"] == steps["src"]).select("root", F.col("dst").alias("node")).distinct()
+        leaving = (frontier if closed is None else frontier.where(~closed)).select("root", "node")
+        found = few(leaving, n).join(steps, leaving["node"] == steps["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = cut(found.join(visited.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
+        n = frontier.count()
+        visited = grown(visited, frontier, level) if n else visited
     return visited
 
 
@@ -49,16 +63,15 @@ def walk_with_parents(edges: DataFrame, roots: DataFrame, depth: int | None = No
     none = F.lit(None).cast("string")
     frontier = cut(roots.select("root", F.col("root").alias("node")).distinct().select("root", "node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("via")))
     visited = frontier
-    level = 0
-    while depth is None or level < depth:
+    level, n = 0, frontier.count()
+    while n and (depth is None or level < depth):
         level += 1
         here = frontier.select("root", F.col("node").alias("parent"))
-        found = here.join(steps, "parent").groupBy("root", F.col("next").alias("node")).agg(F.min(F.struct("via", "parent")).alias("x"))
+        found = few(here, n).join(steps, "parent").groupBy("root", F.col("next").alias("node")).agg(F.min(F.struct("via", "parent")).alias("x"))
         found = found.join(visited.select("root", "node"), ["root", "node"], "left_anti")
         frontier = cut(found.select("root", "node", F.lit(level).alias("depth"), "x.parent", "x.via"))
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
+        n = frontier.count()
+        visited = grown(visited, frontier, level) if n else visited
     return visited
 
 

@@ -148,11 +148,13 @@ def _(s, d):
     return src.load_symbols(sym, catalog).select("asset_id", "path", "type", "name", F.col("metadata")["ord"].alias("meta_ord"))
 
 
-@register("classify_symbol", """SELECT doc_id, CASE WHEN regexp_matches(n, '^use[A-Z0-9]') THEN 'hook' WHEN regexp_matches(n, '^[A-Z]') AND regexp_matches(text, '<[A-Za-z]') THEN 'component'
- WHEN regexp_matches(n, '(?i)(service|api|client|fetch)') THEN 'service' ELSE 'function' END AS type FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'use' ELSE '' END || split_part(text, ' ', 1) AS n FROM documents)""")
+@register("classify_symbol", """SELECT doc_id, CASE WHEN regexp_matches(n, '^use[A-Z]') THEN 'hook' WHEN regexp_matches(n, '^[A-Z][a-zA-Z0-9]*$') AND regexp_matches(text, '<[A-Za-z]') AND doc_id % 2 = 0 THEN 'component'
+ WHEN starts_with(n, 'get') OR starts_with(n, 'fetch') THEN 'service' ELSE 'function' END AS type FROM (SELECT doc_id, text, CASE doc_id % 6 WHEN 0 THEN 'use' WHEN 3 THEN 'get' WHEN 5 THEN 'fetch' ELSE '' END || split_part(text, ' ', 1) AS n FROM documents)""")
 def _(s, d):
-    name = F.concat(F.when(F.col("doc_id") % 3 == 0, "use").otherwise(""), F.split_part("text", F.lit(" "), F.lit(1)))
-    return fx.read(s, d, "documents").select("doc_id", rules.classify_symbol(name, F.col("text")).alias("type"))
+    k = F.col("doc_id") % 6
+    name = F.concat(F.when(k == 0, "use").when(k == 3, "get").when(k == 5, "fetch").otherwise(""), F.split_part("text", F.lit(" "), F.lit(1)))
+    path = F.when(F.col("doc_id") % 2 == 0, "src/a.tsx").otherwise("src/a.ts")
+    return fx.read(s, d, "documents").select("doc_id", rules.classify_symbol(name, F.col("text"), path).alias("type"))
 
 
 _SITES = """l AS (SELECT page_id, string_split(html, chr(10)) AS l FROM pages), k AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM l),
@@ -201,15 +203,16 @@ def _(s, d):
     return fx.read(s, d, "events").select("event_id", F.array_join(F.sort_array(got), ",").alias("inputs"), F.size(got).cast("long").alias("n"))
 
 
-@register("references_identifier", r"SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_$.])the($|[^A-Za-z0-9_$])') AS reads FROM documents")
+@register("references_identifier", r"SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_$])the($|[^A-Za-z0-9_$])') AS reads FROM documents")
 def _(s, d):
     return fx.read(s, d, "documents").select("doc_id", rules.references_identifier(F.col("text"), "the").alias("reads"))
 
 
-@register("value_kind", r"""SELECT event_id, CASE WHEN regexp_matches(v, '^["''`].*["''`]$') THEN 'string' WHEN regexp_matches(v, '^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$') THEN 'number' WHEN v IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(v, '^\[.*\]$') THEN 'list' ELSE 'unknown' END AS kind
-FROM (SELECT event_id, trim(regexp_extract(props, ':([^,}]*)', 1)) AS v FROM events)""")
+@register("value_kind", r"""SELECT event_id, CASE WHEN regexp_matches(v, '^["''`]') THEN 'string' WHEN regexp_matches(v, '^-?[0-9]+(\.[0-9]+)?$') THEN 'number' WHEN v IN ('true', 'false') THEN 'boolean' WHEN contains(v, '.map(') OR contains(v, 'features') OR contains(v, 'faqs') OR contains(v, 'plans') THEN 'list' ELSE 'unknown' END AS kind
+FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type || '.map(x)' ELSE trim(regexp_extract(props, ':([^,}]*)', 1)) END AS v FROM events)""")
 def _(s, d):
-    return fx.read(s, d, "events").select("event_id", rules.value_kind(F.regexp_extract("props", ":([^,}]*)", 1)).alias("kind"))
+    v = F.when(F.col("event_id") % 5 == 0, F.concat("event_type", F.lit(".map(x)"))).otherwise(F.regexp_extract("props", ":([^,}]*)", 1))
+    return fx.read(s, d, "events").select("event_id", rules.value_kind(v).alias("kind"))
 
 
 @register("call_sites", r"""WITH l AS (SELECT page_id, string_split(html, chr(10)) AS l FROM pages), k AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM l),

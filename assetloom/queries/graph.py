@@ -119,7 +119,7 @@ def _(s, d):
 
 @register("node_category", f"""WITH {N} SELECT node, CASE WHEN type IN ('region', 'nation') THEN 'data' WHEN type IN ('customer', 'supplier') THEN 'logic' WHEN type IN ('order', 'part') THEN 'ui' END AS category FROM n""")
 def _(s, d):
-    return graph.node_category(fx.g1_nodes(s, d))
+    return graph.node_category(fx.g1_nodes(s, d), {"data": ["region", "nation"], "logic": ["customer", "supplier"]})
 
 
 @register("layer_value_flow", f"""WITH s AS (SELECT owner, ord AS node, ts FROM ({fx.STEPS_SQL})),
@@ -259,27 +259,32 @@ def _focus(s, d):
     return fx.g1_roots(s, d, "customer").select("root", F.col("root").alias("owner"), F.when(zero, "call").otherwise("prop").alias("kind"), F.when(zero, "order:1").otherwise("places").alias("text"))
 
 
-_USED = "u AS (SELECT DISTINCT root, type, src, dst, k FROM e JOIN f ON src = owner OR dst = owner WHERE CASE WHEN kind = 'call' THEN contains(lower(dst), text) ELSE contains(lower(type), text) END)"
+#: A customer's calls are its orders; every third customer is fed a property of the focus's name.
+_USAGE = {"source": ["has_customer"], "hook": [], "call": ["places"]}
+_USED = "u AS (SELECT DISTINCT root, type, src, dst, k FROM e JOIN f ON src = owner WHERE type = 'places' AND (kind = 'prop' OR contains(lower(dst), text)) UNION SELECT root, type, src, dst, k FROM e JOIN f ON dst = owner WHERE type = 'has_customer' AND kind = 'prop' AND k % 3 = 0)"
+
+
+def _fed(s, d):
+    return fx.g1_edges(s, d).withColumns({"prop": F.when((F.col("type") == "has_customer") & (F.col("k") % 3 == 0), "Places"), "passed_from": F.when(F.col("type") == "has_customer", F.col("dst"))})
 
 
 @register("focus_usage_edges", f"WITH {E}, {_FOCUS}, {_USED} SELECT root, type, src, dst, k FROM u")
 def _(s, d):
-    return traversal.focus_usage_edges(fx.g1_edges(s, d), _focus(s, d))
+    return traversal.focus_usage_edges(_fed(s, d), _focus(s, d), _USAGE)
 
 
-@register("focused_flow", f"""WITH RECURSIVE {E}, {_FOCUS}, {_USED}, x AS (SELECT root, src AS node FROM u UNION SELECT root, dst FROM u), g AS (SELECT * FROM e WHERE type IN ('has_customer', 'places', 'contains_part', 'supplies')),
+@register("focused_flow", f"""WITH RECURSIVE {E}, {_FOCUS}, {_USED}, x AS (SELECT root, src AS node FROM u UNION SELECT root, dst FROM u), g AS (SELECT * FROM e WHERE type IN ('contains', 'has_customer', 'places', 'contains_part', 'supplies')),
 w(root, node, depth) AS (SELECT root, node, 0 FROM x WHERE node <> root UNION SELECT root, src, depth + 1 FROM w JOIN g ON node = dst WHERE src <> root AND depth < 4)
 SELECT root, type, src, dst, k FROM u UNION SELECT root, type, src, dst, k FROM g JOIN w ON dst = node""")
 def _(s, d):
-    return traversal.focused_flow(fx.g1_edges(s, d), _focus(s, d), ["has_customer", "places", "contains_part", "supplies"])
+    return traversal.focused_flow(_fed(s, d), _focus(s, d), ["contains", "has_customer", "places", "contains_part", "supplies"], usage=_USAGE)
 
 
-@register("prune_to_sink", f"""WITH RECURSIVE {E}, r AS (SELECT 'part:' || p_partkey AS root FROM part WHERE p_partkey % 100 = 0),
+@register("prune_to_sink", f"""WITH RECURSIVE {E}, r AS ({_P}),
 w(root, node) AS (SELECT root, root FROM r UNION SELECT root, src FROM w JOIN e ON node = dst)
 SELECT DISTINCT a.root, type, src, dst, k FROM e JOIN w a ON src = a.node JOIN w b ON dst = b.node AND a.root = b.root""")
 def _(s, d):
-    sinks = fx.read(s, d, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("root"))
-    return traversal.prune_to_sink(fx.g1_edges(s, d), sinks).select("root", "type", "src", "dst", "k")
+    return traversal.prune_to_sink(fx.g1_edges(s, d), fx.g1_roots(s, d, "part")).select("root", "type", "src", "dst", "k")
 
 
 @register("nearest_ancestor", f"""WITH RECURSIVE {some('contains', 'has_customer', 'places', 'contains_part')}, p AS (SELECT dst, min({{'t': type, 's': src}}).s AS up FROM e GROUP BY dst), r AS ({_P}),
@@ -410,14 +415,14 @@ def _(s, d):
     return reports.trace_node(fx.g1_nodes(s, d), fx.g1_edges(s, d, _OP), fx.g1_roots(s, d, "customer"), 2)
 
 
-@register("trace_data_flow", f"""WITH RECURSIVE {E}, {_FOCUS}, {_USED}, x AS (SELECT root, src AS node FROM u UNION SELECT root, dst FROM u), g AS (SELECT * FROM e WHERE type IN ('has_customer', 'places', 'contains_part', 'supplies')),
+@register("trace_data_flow", f"""WITH RECURSIVE {E}, {_FOCUS}, {_USED}, x AS (SELECT root, src AS node FROM u UNION SELECT root, dst FROM u), g AS (SELECT * FROM e WHERE type IN ('contains', 'has_customer', 'places', 'contains_part', 'supplies')),
 w(root, node, depth) AS (SELECT root, node, 0 FROM x WHERE node <> root UNION SELECT root, src, depth + 1 FROM w JOIN g ON node = dst WHERE src <> root AND depth < 4),
 a AS (SELECT root, type, src, dst, k FROM u UNION SELECT root, type, src, dst, k FROM g JOIN w ON dst = node)
 SELECT root, type, src, dst, k FROM a WHERE NOT starts_with(src, 'nation:') AND NOT starts_with(dst, 'nation:')""")
 def _(s, d):
     from assetloom.operators import reports
 
-    return reports.trace_data_flow(fx.g1_edges(s, d), _focus(s, d), ["has_customer", "places", "contains_part", "supplies"], ["nation"])
+    return reports.trace_data_flow(_fed(s, d), _focus(s, d), ["contains", "has_customer", "places", "contains_part", "supplies"], ["nation"], _USAGE)
 
 
 _COMP = f"""e0 AS (SELECT DISTINCT root, type, src, dst, min(k) AS k FROM (SELECT root, e.type, e.src, e.dst, e.k FROM e JOIN u ON e.dst = u.node WHERE e.type IN ('contains', 'has_customer') UNION SELECT root, e.type, e.src, e.dst, e.k FROM e JOIN w ON e.src = w.node WHERE e.type IN ('places', 'contains_part')) GROUP BY ALL)"""

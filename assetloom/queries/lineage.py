@@ -32,7 +32,7 @@ CR = fx.g1_roots_sql("customer")
 @register("deep_call_chain", f"""WITH RECURSIVE {E}, {N}, r AS ({CR}), st AS (SELECT root, dst AS via FROM r JOIN e ON root = src WHERE type = 'places' UNION SELECT root, root FROM r WHERE root NOT IN (SELECT src FROM e WHERE type = 'places') UNION SELECT root, src FROM r JOIN e ON root = dst WHERE type = 'has_customer')
 SELECT DISTINCT st.root, via, e.dst AS node, 1 AS depth, 'internal' AS kind, coalesce(n.label, e.dst) AS label FROM st JOIN e ON via = src AND e.type = 'contains_part' LEFT JOIN n ON n.node = e.dst""")
 def _(s, d):
-    return traversal.deep_call_chain(fx.g1_nodes(s, d), fx.g1_edges(s, d), fx.g1_roots(s, d, "customer"), ["contains_part"], "places", "has_customer", 1)
+    return traversal.deep_call_chain(fx.g1_nodes(s, d), fx.g1_edges(s, d), fx.g1_roots(s, d, "customer"), ["contains_part"], "places", "has_customer")
 
 
 @register("composition_scope", f"""WITH {E}, r AS ({CR}), sc AS (SELECT root, type, src, dst, k FROM r JOIN e ON root = dst WHERE root LIKE '%00'),
@@ -76,8 +76,11 @@ def _(s, d):
     return traversal.value_trace(o.unionByName(later), fx.g1_roots(s, d, "customer").withColumn("expression", F.lit("segment.name")))
 
 
-@register("nested_dependency_chain", f"""WITH RECURSIVE {E}, w(root, node, depth) AS (SELECT 'region:' || r_regionkey, 'region:' || r_regionkey, 0 FROM region UNION SELECT root, dst, depth + 1 FROM w JOIN e ON node = src WHERE type IN ('contains', 'has_customer'))
-SELECT root, '17' AS field, depth::INTEGER AS ord, node FROM w WHERE depth > 0 AND (contains(split_part(node, ':', 2), '17') OR contains('17', substr(split_part(node, ':', 2), 1, 5)))""")
+@register("nested_dependency_chain", f"""WITH {E}, a AS (SELECT src AS root, dst AS node, contains(split_part(dst, ':', 2), '17') OR contains('17', substr(split_part(dst, ':', 2), 1, 5)) AS hit FROM e WHERE type = 'contains'),
+b AS (SELECT root, node FROM a QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY root)),
+c AS (SELECT root, node AS parent, dst AS node, contains(split_part(dst, ':', 2), '17') OR contains('17', substr(split_part(dst, ':', 2), 1, 5)) AS hit FROM b JOIN e ON node = src WHERE type = 'has_customer'),
+d AS (SELECT root, node FROM c QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY root, parent))
+SELECT root, '17' AS field, 1 AS ord, node FROM b UNION ALL SELECT root, '17', 2, node FROM d""")
 def _(s, d):
     roots = fx.read(s, d, "region").select(node("region", "r_regionkey").alias("root"), F.lit("17").alias("field"))
     return traversal.nested_dependency_chain(fx.g1_edges(s, d, ["contains", "has_customer"]), roots)

@@ -214,7 +214,7 @@ def _(s, d):
 @register("edges_imports", f"WITH {_ALL} SELECT DISTINCT 'page:' || page_id AS src, coalesce(path, target) AS dst, 'imports' AS type FROM rr LEFT JOIN hit USING (ref_id)")
 def _(s, d):
     r = _resolved(s, d)
-    return r.select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("src"), F.coalesce("path", "target").alias("dst"), F.lit("imports").alias("type")).distinct()
+    return graph.edges_imports(r.withColumn("owner", F.concat(F.lit("page:"), F.col("page_id").cast("string"))))
 
 
 @register("layer_dependency", f"WITH {_ALL} SELECT DISTINCT target AS module, CASE WHEN path IS NOT NULL THEN 'workspace' WHEN starts_with(target, '.') OR starts_with(target, '@/') THEN 'missing' ELSE 'external' END AS kind, path AS resolved FROM rr LEFT JOIN hit USING (ref_id)")
@@ -297,17 +297,12 @@ def _(s, d):
 
 @register("edges_renders", f"WITH {_REN} SELECT DISTINCT nr.source AS src, symbol AS dst, 'renders' AS type FROM ren JOIN nr USING (ref_id)")
 def _(s, d):
-    refs = name_refs(s, d)
-    t = resolution.resolve_render_target(refs, name_imports(s, d), part_symbols(s, d))
-    return refs.join(t, "ref_id").select(F.col("source").alias("src"), F.col("symbol").alias("dst"), F.lit("renders").alias("type")).distinct()
+    return graph.edges_renders(name_refs(s, d).withColumn("owner", F.col("source")), name_imports(s, d), part_symbols(s, d))
 
 
 @register("edges_uses", f"WITH {_REN} SELECT DISTINCT nr.source AS src, symbol AS dst, 'uses_hook' AS type FROM ren JOIN nr USING (ref_id) JOIN sy USING (symbol) WHERE sy.type = 'hook'")
 def _(s, d):
-    refs, sy = name_refs(s, d), part_symbols(s, d)
-    t = resolution.resolve_render_target(refs, name_imports(s, d), sy)
-    hooks = sy.where("type = 'hook'").select("symbol")
-    return refs.join(t, "ref_id").join(hooks, "symbol", "left_semi").select(F.col("source").alias("src"), F.col("symbol").alias("dst"), F.lit("uses_hook").alias("type")).distinct()
+    return graph.edges_uses(name_refs(s, d).withColumn("owner", F.col("source")), name_imports(s, d), part_symbols(s, d))
 
 
 _CALLR = ["service", "hook", "function", "component"]
@@ -324,11 +319,9 @@ def _(s, d):
 
 @register("edges_calls", f"WITH {_CT} SELECT source AS src, dst, ref_id % 8 AS k, min(kind) AS kind, 'calls' AS type FROM ct WHERE NOT (source = 'Brand#11' AND split_part(callee, '.', 1) = 'axios') GROUP BY ALL")
 def _(s, d):
-    refs = name_refs(s, d)
-    t = resolution.resolve_call_target(refs, name_imports(s, d), part_symbols(s, d))
-    calls = refs.join(t, "ref_id").select(F.col("source").alias("owner"), F.col("dst").alias("target"), "kind", (F.col("ref_id") % 8).alias("line"), F.col("callee").alias("name"))
+    calls = name_refs(s, d).withColumns({"owner": F.col("source"), "line": F.col("ref_id") % 8})
     hooks = fx.read(s, d, "part").where("p_brand = 'Brand#11'").select(F.col("p_brand").alias("owner"), F.lit("axios").alias("hook")).distinct()
-    return graph.edges_calls(calls, hooks)
+    return graph.resolved_calls(calls, name_imports(s, d), part_symbols(s, d), hooks)
 
 
 @register("first_import_for_name", f"WITH {_SY}, {_IM}, n AS (SELECT DISTINCT path AS source, name FROM sy) SELECT source, name, min(import_ord)::INTEGER AS import_ord, arg_min(module, import_ord) AS module FROM im JOIN n USING (source, name) GROUP BY ALL")
@@ -412,11 +405,12 @@ def _(s, d):
     return versioning.merge_chain(nodes, e, roots)[1]
 
 
-@register("anchor_of", """WITH n AS (SELECT 'nation:' || n_nationkey AS node FROM nation UNION ALL SELECT 'customer:' || c_custkey FROM customer UNION ALL SELECT 'exp:nation:' || c_nationkey || ':customer:' || c_custkey FROM customer UNION ALL SELECT 'exp:customer:' || o_custkey || ':order:' || o_orderkey FROM orders)
-SELECT a.node, arg_max(b.node, length(b.node)) AS anchor FROM n a JOIN n b ON starts_with(substr(a.node, 5), b.node || ':') OR substr(a.node, 5) = b.node WHERE starts_with(a.node, 'exp:') GROUP BY a.node""".replace("FROM orders)", "FROM orders WHERE o_orderkey % 10 = 0)"))
+@register("anchor_of", """WITH n AS (SELECT 'nation:' || n_nationkey AS node FROM nation UNION ALL SELECT 'customer:' || c_custkey FROM customer UNION ALL SELECT 'exp:nation:' || c_nationkey || ':customer:' || c_custkey FROM customer UNION ALL SELECT 'exp:customer:' || o_custkey || ':order:' || o_orderkey FROM orders),
+p AS (SELECT node, string_split(substr(node, 5), ':') AS l FROM n WHERE starts_with(node, 'exp:')), c AS (SELECT node, array_to_string(l[:k], ':') AS node_at FROM (SELECT node, l, unnest(range(1, len(l) + 1)) AS k FROM p))
+SELECT c.node, arg_max(n.node, length(n.node)) AS anchor FROM c JOIN n ON node_at = n.node GROUP BY c.node""")
 def _(s, d):
     t = lambda c: F.col(c).cast("string")
-    na, c, o = fx.read(s, d, "nation"), fx.read(s, d, "customer"), fx.read(s, d, "orders").where("o_orderkey % 10 = 0")
+    na, c, o = fx.read(s, d, "nation"), fx.read(s, d, "customer"), fx.read(s, d, "orders")
     n = na.select(F.concat(F.lit("nation:"), t("n_nationkey")).alias("node")).unionByName(c.select(F.concat(F.lit("customer:"), t("c_custkey")).alias("node")))
     n = n.unionByName(c.select(F.concat(F.lit("exp:nation:"), t("c_nationkey"), F.lit(":customer:"), t("c_custkey")).alias("node"))).unionByName(o.select(F.concat(F.lit("exp:customer:"), t("o_custkey"), F.lit(":order:"), t("o_orderkey")).alias("node")))
     return versioning.anchor_of(n)
@@ -427,8 +421,11 @@ z AS (SELECT page_id, k, lower(regexp_extract(e, '^([a-zA-Z][a-zA-Z0-9-]*)', 1))
 SELECT 'page:' || page_id AS src, 'tag:' || tag AS dst, 'passes_prop' AS type, k, array_to_string(list_transform(ats, lambda v: split_part(v, '=', 1) || '=' || CASE WHEN contains(v, '=') THEN substr(regexp_replace(v, '^[^=]*="|"$', '', 'g'), 1, 100) ELSE 'true' END), ', ') AS summary FROM z WHERE len(ats) > 0""")
 def _(s, d):
     e = extraction.element_attributes(fx.read(s, d, "pages"), "page_id", content="html")
-    summary = F.array_join(F.transform(F.arrays_zip("names", "values"), lambda x: F.concat(x["names"], F.lit("="), x["values"])), ", ")
-    return e.select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("tag:"), "tag").alias("dst"), F.lit("passes_prop").alias("type"), F.col("ord").alias("k"), summary.alias("summary"))
+    page = F.concat(F.lit("page:"), F.col("page_id").cast("string"))
+    passes = e.select(F.struct("page_id", "ord").alias("ref_id"), page.alias("owner"), page.alias("source"), F.col("tag").alias("name"), "ord", "names", "values")
+    tags = e.select("tag").distinct().select(F.concat(F.lit("tag:"), "tag").alias("symbol"), F.col("tag").alias("name"), F.lit("component").alias("type"), F.lit("tags").alias("path"), F.lit(0).alias("ord"))
+    imports = s.createDataFrame([], "source string, import_ord int, name string, module string, path string")
+    return graph.edges_passes(passes, imports, tags)
 
 
 @register("edges_dynamic", f"WITH {_SY}, fs AS (SELECT path, min({{'o': ord, 's': symbol}}).s AS s FROM sy WHERE type = 'component' GROUP BY path) SELECT 'order:' || l_orderkey AS src, coalesce(s, p_brand) AS dst, 'dynamic_imports' AS type, l_linenumber AS k FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN fs ON path = p_brand WHERE l_returnflag = 'R'")

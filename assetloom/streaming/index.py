@@ -13,28 +13,31 @@ ASSETS = "path string, content string, version long"
 STEPS = "owner long, ts timestamp, ord long, kind string"
 
 
-def current_snapshot(spark: SparkSession, snapshot_path: str) -> DataFrame | None:
-    """The snapshot that the pointer names; None before the first batch."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{snapshot_path}/current")
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    name = spark.read.text(f"{snapshot_path}/current").first()[0]
-    return spark.read.parquet(f"{snapshot_path}/{name}")
+def _batches(spark: SparkSession, snapshot_path: str) -> list[int]:
+    """Numbers of the batches whose snapshots are written to the end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{snapshot_path}/batch-*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
+    return sorted(int(x.getPath().getParent().getName().rpartition("-")[2]) for x in found)
 
 
-def stream_index(spark: SparkSession, input_path: str, snapshot_path: str, checkpoint_path: str, trigger: dict | None = None) -> StreamingQuery:
+def current_snapshot(spark: SparkSession, snapshot_path: str, before: int | None = None) -> DataFrame | None:
+    """The latest finished snapshot (of a batch ``before`` that one); None before the first batch."""
+    done = [n for n in _batches(spark, snapshot_path) if before is None or n < before]
+    return spark.read.parquet(f"{snapshot_path}/batch-{done[-1]}") if done else None
+
+
+def stream_index(spark: SparkSession, input_path: str, snapshot_path: str, checkpoint_path: str, trigger: dict | None = None, keep: int = 3) -> StreamingQuery:
     """New and changed assets (``ASSETS`` as JSON files) update a Parquet snapshot: path, hash, n_lines, version.
 
-    Each batch writes a new snapshot folder and then switches the pointer; a batch that is run again
-    writes the same folder, so a lost driver leaves no half a state. Unchanged assets keep their
-    rows; of several versions of a path the last counts."""
+    Each batch writes a snapshot folder of its own, built on the latest finished one of an earlier batch. A folder counts once
+    Spark has marked it as finished, so a driver lost at any point leaves the state as it was, and a batch that is run again
+    writes the same folder. The last ``keep`` snapshots stay. Unchanged assets keep their rows; of several versions of a path the last counts."""
 
     def apply(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
         last = first_by(batch, ["path"], [F.col("version").desc(), "content"])
         new = last.select("path", F.sha2("content", 256).alias("hash"), F.size(F.split("content", "\n")).alias("n_lines"), "version")
-        old = current_snapshot(s, snapshot_path)
+        old = current_snapshot(s, snapshot_path, number)
         if old is None:
             merged = new
         else:
@@ -42,7 +45,9 @@ def stream_index(spark: SparkSession, input_path: str, snapshot_path: str, check
             plan = change_plan(old, stale)
             merged = upsert_assets(old, stale.join(plan.where("status <> 'unchanged'").select("path"), "path", "left_semi"))
         merged.write.mode("overwrite").parquet(f"{snapshot_path}/batch-{number}")
-        s.createDataFrame([(f"batch-{number}",)], "name string").coalesce(1).write.mode("overwrite").text(f"{snapshot_path}/current")
+        for n in _batches(s, snapshot_path)[:-keep]:
+            gone = s._jvm.org.apache.hadoop.fs.Path(f"{snapshot_path}/batch-{n}")
+            gone.getFileSystem(s._jsc.hadoopConfiguration()).delete(gone, True)
 
     source = spark.readStream.schema(ASSETS).json(input_path)
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_path).trigger(**(trigger or {"availableNow": True})).start()

@@ -57,8 +57,13 @@ def test_rules(spark):
     get = lambda c: one.select(c.alias("x")).first().x
     assert get(rules.text_clip(F.lit("a  b\ncdef"), 5)) == "a b …" and get(rules.text_clip(F.lit("abcdef"), 5, "...")) == "ab..."
     assert get(rules.expression_inputs(F.lit("a.b + c(a.b, true) && d"))) == ["a.b", "c", "d"]
-    assert [get(rules.references_identifier(F.lit(e), "user")) for e in ("user", "user.name", "a.user", "users", "f(user)")] == [True, True, False, False, True]
-    assert [get(rules.value_kind(F.lit(x))) for x in ("'a'", "-1.5", "true", "[1]", "f()")] == ["string", "number", "boolean", "list", "unknown"]
+    assert [get(rules.references_identifier(F.lit(e), "user")) for e in ("user", "user.name", "a.user", "users", "f(user)")] == [True, True, True, False, True]
+    assert get(rules.references_identifier(F.lit("user.name"), "user.id")) and not get(rules.references_identifier(F.lit("id"), "user.id"))
+    assert [get(rules.value_kind(F.lit(x))) for x in ("'a'", "-1.5", "true", "x.map(f)", "plans", "[1]", "1e5", "f()")] == ["string", "number", "boolean", "list", "list", "unknown", "unknown", "unknown"]
+    assert get(rules.expression_inputs(F.lit("a.length + length + this.b"))) == ["a.length", "this.b"]
+    kinds = [("useX", "<a/>", "a.ts"), ("use1", "", "a.ts"), ("Card", "<a/>", "a.tsx"), ("Card", "<a/>", "a.ts"), ("Card_x", "<a/>", "a.tsx"), ("getIt", "", "a.ts"), ("myService", "", "a.ts")]
+    assert [get(rules.classify_symbol(*map(F.lit, x))) for x in kinds] == ["hook", "function", "component", "function", "function", "service", "function"]
+    assert [get(rules.source_library(F.lit(m), F.lit(n))) for m, n in (("", "useAppSelector"), ("x", "useAsObservableSource"), ("x", "observer"), ("lib/store", "useIt"), ("x", "useIt"))] == ["redux", "mobx", "mobx", "custom", None]
     assert get(rules.route_path(F.lit("src\\app\\(g)\\a\\page.ts"))) == "/a"
 
 
@@ -78,6 +83,9 @@ def test_streams_equal_batches(spark, tmp_path):
         (drops / f"{i}.json").write_text("\n".join(json.dumps({"path": p, "content": c, "version": v}) for p, c, v in b))
         stream_index(spark, str(drops), str(tmp_path / "snap"), str(tmp_path / "ck")).awaitTermination(60)
     assert rows(current_snapshot(spark, str(tmp_path / "snap")), "path", "n_lines") == [("a", 3), ("b", 1), ("c", 1)]
+    (tmp_path / "snap/batch-9").mkdir()  # a driver was lost before its snapshot was finished
+    assert current_snapshot(spark, str(tmp_path / "snap")).count() == 3
+    assert current_snapshot(spark, str(tmp_path / "snap"), 1).count() == 2 and current_snapshot(spark, str(tmp_path / "snap"), 0) is None
     steps = tmp_path / "steps"
     steps.mkdir()
     data = [(1, "2024-01-01T00:00:00Z", 1, "view"), (1, "2024-01-01T01:00:00Z", 2, "view"), (1, "2024-01-01T02:00:00Z", 3, "click"), (2, "2024-01-01T03:00:00Z", 4, "view")]

@@ -1,6 +1,7 @@
 """Literal and metamorphic tests of the graph operators, on a small graph with a cycle, a self-loop and an external leaf."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from assetloom.operators import graph, reports, traversal
 from assetloom.plans.components import components
@@ -116,7 +117,7 @@ def test_small_operators(spark, g):
     tree = spark.createDataFrame([(1, 1, None, 0, "await"), (1, 2, 1, 1, "member"), (1, 3, 1, 0, "x"), (1, 4, 3, 0, "call"), (1, 5, 2, 0, "call")], "tree_id int, node_id int, parent_id int, ord int, kind string")
     assert rows(traversal.first_of_kind_in_tree(tree, ["call"]), "tree_id", "node_id") == [(1, 4)]
     near = traversal.nested_dependency_chain(edges.where("type = 'uses_hook'"), spark.createDataFrame([("c:Shell", "counterValue"), ("c:Shell", "other")], "root string, field string"))
-    assert rows(near, "field", "node") == [("counterValue", "h:useCounter")]
+    assert rows(near, "field", "ord", "node") == [(f, i, n) for f in ("counterValue", "other") for i, n in ((1, "h:useData"), (2, "h:useCounter"))]  # none matches at first, so all are followed
     sites = spark.createDataFrame([("f:getStats", "count", "write", 4, "effect"), ("c:Lost", "count", "write", 5, "effect")], "owner string, field string, role string, line int, context string")
     assert rows(traversal.field_writers(edges, sites, spark.createDataFrame([("r:/dash", "count")], "root string, field string")), "owner", "line") == [("f:getStats", 4)]
     scopes = spark.createDataFrame([("c:Card", "renders", "c:Shell", "c:Card", 1)], "root string, type string, src string, dst string, k long")
@@ -141,3 +142,50 @@ def test_upstream_edges_of_a_long_chain(spark):
     found = traversal.upstream_edges(edges, seeds, seeds.where("false"), ["calls"])
     assert sorted(r.k for r in found.collect()) == list(range(19))
     assert sorted(r.k for r in traversal.upstream_edges(edges, seeds, seeds.where("false"), ["calls"], 5).collect()) == list(range(5))
+
+
+def test_walks_have_no_silent_end(spark):
+    n = 22
+    flows = spark.createDataFrame([(f"n{i + 1}", f"n{i}", "t", "t") for i in range(n)] + [("n0", f"n{n}", "t", "t")], "parent string, child string, prop string, expression string")
+    chain = traversal.pass_through_chain(flows, spark.createDataFrame([("n0", "t")], "root string, prop string"))
+    assert chain.agg(F.max("ord")).first()[0] == n and chain.count() == n  # and the cycle ends
+    e = spark.createDataFrame([("has", f"n{i}", f"n{(i + 1) % 5}", i) for i in range(5)], "type string, src string, dst string, k int")
+    nodes = spark.createDataFrame([(f"n{i}", "top" if i == 0 else "x") for i in range(5)], "node string, type string")
+    root = spark.createDataFrame([("n4",)], "root string")
+    assert rows(traversal.nearest_ancestor(e, nodes, root, "top"), "ancestor", "depth") == [("n0", 4)]
+    assert rows(traversal.nearest_ancestor(e, nodes, root, "none"), "ancestor") == []
+
+
+def test_nested_dependencies_follow_matches_or_all(spark):
+    e = spark.createDataFrame([("u", a, b, 0) for a, b in (("useA", "useCounter"), ("useA", "useTheme"), ("useCounter", "useXx"), ("useCounter", "useYy"), ("useTheme", "useZz"), ("useXx", "useA"))], "type string, src string, dst string, k int")
+    roots = spark.createDataFrame([("useA", "counterValue"), ("useA", None)], "root string, field string")
+    got = traversal.nested_dependency_chain(e, roots)
+    assert rows(got.where("field is not null"), "ord", "node") == [(1, "useCounter"), (2, "useXx"), (2, "useYy")]
+    assert rows(got.where("field is null"), "ord", "node") == [(1, "useCounter"), (1, "useTheme"), (2, "useXx"), (2, "useYy"), (2, "useZz")]
+
+
+def test_labels_categories_and_focus(spark):
+    e = spark.createDataFrame(
+        [("renders", "a", "b", None, None, None, None, None), ("passes_prop", "a", "b", None, "x=1, y=2", None, None, None), ("passes_prop", "a", "b", None, "x=" + "1" * 50, None, None, None), ("prop_source", "a", "b", None, None, "user", None, None), ("sequence", "a", "b", None, None, None, 2, "await"), ("calls", "a", "b", "fetches", None, None, None, None), ("uses_hook", "a", "b", "uses hook", None, None, None, None)],
+        "type string, src string, dst string, label string, props string, prop string, order int, step string",
+    )
+    got = [r.label for r in reports.edge_label(e).collect()]
+    assert got == ["render", "pass props: {x=1, y=2}", ("pass props: {x=" + "1" * 50)[:41] + "…", "→ user", "2. await", "fetches", "hook"]
+    n = spark.createDataFrame([("a", "store", None), ("b", "thing", None), ("c", "hook", "data"), ("d", "loop", "odd"), ("e", "page", None)], "node string, type string, category string")
+    assert rows(graph.node_category(n), "node", "category") == [("a", "data"), ("b", "ui"), ("c", "data"), ("d", "logic")]
+    f = spark.createDataFrame([("prop_source", "h", "kid", 1, "User", "me"), ("prop_source", "h", "kid", 2, "other", "me"), ("calls", "me", "getUser", 3, None, None), ("renders", "me", "kid", 4, None, None), ("calls", "x", "me", 5, None, None), ("uses_hook", "me", "useUser", 6, None, None)], "type string, src string, dst string, k int, prop string, passed_from string")
+    focus = spark.createDataFrame([("p", "me", "prop", "user"), ("c", "me", "call", "user"), ("h", "me", "hook", "user")], "root string, owner string, kind string, text string")
+    assert rows(traversal.focus_usage_edges(f, focus), "root", "k") == [("c", 3), ("h", 6), ("p", 1), ("p", 3), ("p", 6)]
+
+
+def test_edges_are_built_from_a_catalog(spark):
+    symbols = spark.createDataFrame([("component:Card@ui/card.tsx", "Card", "component", "ui/card.tsx", 1), ("component:Card@old/card.tsx", "Card", "component", "old/card.tsx", 1), ("hook:useCart@lib/cart.ts", "useCart", "hook", "lib/cart.ts", 1)], "symbol string, name string, type string, path string, ord int")
+    imports = spark.createDataFrame([("app/page.tsx", 0, "Card", "@/ui/card", "ui/card.tsx")], "source string, import_ord int, name string, module string, path string")
+    refs = spark.createDataFrame([("file:app/page.tsx", "@/ui/card", "ui/card.tsx"), ("file:app/page.tsx", "react", None)], "owner string, target string, path string")
+    one = lambda name: spark.createDataFrame([(1, "P", "app/page.tsx", name)], "ref_id int, owner string, source string, name string")
+    passes = spark.createDataFrame([(1, "P", "app/page.tsx", "Card", 0, ["a", "b"], ["1", "true"])], "ref_id int, owner string, source string, name string, ord int, names array<string>, values array<string>")
+    calls = spark.createDataFrame([(1, "P", "app/page.tsx", "useCart.add", 3), (2, "P", "app/page.tsx", "Math.max", 4)], "ref_id int, owner string, source string, callee string, line int")
+    got = graph.build_edges(symbols, imports, refs, one("Card"), one("useCart"), passes, calls)
+    card, hook = "component:Card@ui/card.tsx", "hook:useCart@lib/cart.ts"
+    assert rows(got, "type", "src", "dst", "k") == [("calls", "P", "builtin:Math.max", 4), ("calls", "P", hook, 3), ("imports", "file:app/page.tsx", "react", 0), ("imports", "file:app/page.tsx", "ui/card.tsx", 0), ("passes_prop", "P", card, 0), ("renders", "P", card, 0), ("uses_hook", "P", hook, 0)]
+    assert graph.edges_passes(passes, imports, symbols).first().summary == "a=1, b=true"
