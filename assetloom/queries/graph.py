@@ -251,11 +251,11 @@ def _(s, d):
     return traversal.upstream_edges(fx.g1_edges(s, d), roots.select("root", F.col("root").alias("node")), roots.crossJoin(F.broadcast(nations)), _UP)
 
 
-_FOCUS = f"f AS (SELECT root, root AS owner, CASE WHEN root LIKE '%0' THEN 'call' ELSE 'prop' END AS kind, CASE WHEN root LIKE '%0' THEN 'order:1' ELSE 'places' END AS text FROM ({_C}))"
+_FOCUS = f"f AS (SELECT root, root AS owner, CASE WHEN root LIKE '%40' OR root LIKE '%80' THEN 'call' ELSE 'prop' END AS kind, CASE WHEN root LIKE '%40' OR root LIKE '%80' THEN 'order:1' ELSE 'places' END AS text FROM ({_C}))"
 
 
 def _focus(s, d):
-    zero = F.col("root").endswith("0")
+    zero = F.col("root").endswith("40") | F.col("root").endswith("80")
     return fx.g1_roots(s, d, "customer").select("root", F.col("root").alias("owner"), F.when(zero, "call").otherwise("prop").alias("kind"), F.when(zero, "order:1").otherwise("places").alias("text"))
 
 
