@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, slices, table
 from .minhash import WordHashes
 
 BUCKETS, SHARE, MOST_TARGETS, SEED = 1 << 16, 0.8, 20_000, "2024"
@@ -48,7 +48,7 @@ def fit(docs: DataFrame, targets: DataFrame, buckets: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, raw, good = WordHashes(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n = np.bincount(ngrams(t, hashes, buckets), minlength=buckets) if t else 0
                 raw += n
@@ -83,11 +83,11 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float = SHARE
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             weight, key = np.zeros(b.num_rows), np.zeros(b.num_rows)
             for i, (doc, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 weight[i] = math.fsum(ratio[ngrams(t, hashes, buckets)])
-                u = (xxhash.xxh64_intdigest(f"{seed}:{doc}:".encode() + (t or b"")) >> 11) / (1 << 53) + 2.0**-54
+                u = ((xxhash.xxh64_intdigest(f"{seed}:{doc}:".encode() + (t or b"")) >> 12) + 0.5) / (1 << 52)  # never 0 or 1
                 key[i] = weight[i] - math.log(-math.log(u))
             order = sortable(key)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weight), pa.array(key), pa.array((order ^ np.uint64(1 << 63)).view(np.int64))], names=["doc", "log_weight", "gumbel_key", "ord"])
