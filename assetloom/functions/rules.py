@@ -198,5 +198,5 @@ def extract_target(query: Column, intent: Column, targets: dict[str, list[str]]
 
 
 def file_slug(name: Column) -> Column:
-    """A name that is safe for files: slashes to underscores, other runs of odd characters to hyphens."""
-    return F.regexp_replace(F.regexp_replace(name, r"[/\\]", "_"), r"[^A-Za-z0-9_-]+", "-")
+    """A name that is safe for files: runs of slashes to underscores, runs of other characters than letters, digits, dots and dashes to hyphens."""
+    return F.regexp_replace(F.regexp_replace(name, r"[/\\]+", "_"), "[^A-Za-z0-9_.-]+", "-")

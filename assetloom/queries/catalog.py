@@ -285,11 +285,6 @@ def _(s, d):
     return q.select("query_id", rules.extract_target(F.col("query"), rules.detect_intent(F.col("query"))).alias("target"))
 
 
-@register("save_trace_results", r"SELECT page_id, regexp_replace(regexp_replace(url, '[/\\]', '_', 'g'), '[^A-Za-z0-9_-]+', '-', 'g') AS slug FROM pages")
-def _(s, d):
-    return fx.read(s, d, "pages").select("page_id", rules.file_slug(F.col("url")).alias("slug"))
-
-
 @register("search_targets", f"""WITH n AS ({fx.G1_NODES_SQL}), q AS (SELECT n_nationkey AS query_id, lower(n_name) AS term FROM nation UNION ALL SELECT 1000, ' ' UNION ALL SELECT 1001, 'customer'),
 h AS (SELECT query_id, node AS id, row_number() OVER (PARTITION BY query_id ORDER BY type, node)::INTEGER AS rank FROM n JOIN q ON contains(lower(label || ' ' || path || ' ' || type), trim(term)) WHERE trim(term) <> '') SELECT query_id, rank, id FROM h WHERE rank <= 30""")
 def _(s, d):

@@ -44,6 +44,26 @@ def _(s, d):
     return s.read.schema("route string, page string, layouts array<string>").json(path).select("route", "page", F.array_join("layouts", ",").alias("layouts"))
 
 
+@register("export_symbols_json", f"""WITH {site._SY}, x AS (SELECT sy.*, p_size, p_brand, p_type FROM sy JOIN part ON ord = p_partkey)
+SELECT symbol AS id, name, type, path AS file, p_size AS "startLine", p_size + 10 AS "endLine", p_brand AS props, replace(p_type, ' ', ',') AS renders, CASE WHEN type = 'component' THEN 'use' || name END AS "usesHooks" FROM x""")
+def _(s, d):
+    path = folder(s)
+    p = fx.read(s, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_size").alias("start_line"), (F.col("p_size") + 10).alias("end_line"), F.array("p_brand").alias("props"), F.split("p_type", " ").alias("renders"))
+    hooks = F.when(F.col("type") == "component", F.array(F.concat(F.lit("use"), "name")))
+    src.export_symbols_json(site.part_symbols(s, d).join(p, "ord").withColumn("hooks", hooks), path)
+    kinds = fx.read(s, d, "part").schema["p_size"].dataType.simpleString()
+    back = s.read.schema(f"id string, name string, type string, file string, startLine {kinds}, endLine {kinds}, props array<string>, renders array<string>, usesHooks array<string>").json(path)
+    return back.select("id", "name", "type", "file", "startLine", "endLine", *(F.when(F.col(c).isNotNull(), F.array_join(c, ",")).alias(c) for c in ("props", "renders", "usesHooks")))
+
+
+@register("save_trace_results", rf"""WITH {site.P} SELECT page_id, regexp_replace(regexp_replace(host || '//' || split_part(path, '/', 2), '[/\\]+', '_', 'g'), '[^A-Za-z0-9_.-]+', '-', 'g') AS slug FROM p""")
+def _(s, d):
+    path = folder(s)
+    found = fx.pages(s, d).select("page_id", F.concat("host", F.lit("//"), F.split_part("path", F.lit("/"), F.lit(2))).alias("query"))
+    src.save_trace_results(found, path)
+    return s.read.schema("page_id long, slug string").parquet(path).select("page_id", "slug")
+
+
 @register("replace_edges", f"SELECT type, src, dst, k FROM ({fx.G1_SQL}) WHERE type IN ('places', 'contains')")
 def _(s, d):
     path = folder(s)

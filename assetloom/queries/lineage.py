@@ -237,11 +237,6 @@ for _name, _args in {
     register(_name, _sql)(_f)
 
 
-@register("export_symbols_json", f"WITH {N} SELECT node AS id, label AS name, type, path AS file FROM n WHERE type IN ('customer', 'supplier', 'part')")
-def _(s, d):
-    return fx.g1_nodes(s, d).where(F.col("type").isin("customer", "supplier", "part")).select(F.col("node").alias("id"), F.col("label").alias("name"), "type", F.col("path").alias("file"))
-
-
 @register("impact_routes", _walk_sql(["has_customer", "places", "contains_part"], fx.g1_roots_sql("part"), 6, "in", "SELECT DISTINCT root, '/nation/' || split_part(node, ':', 2) AS route FROM v WHERE starts_with(node, 'nation:')"))
 def _(s, d):
     e, r = fx.g1_edges(s, d, ["has_customer", "places", "contains_part"]), fx.g1_roots(s, d, "part")
