@@ -43,3 +43,26 @@ def test_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in whole) == [1, 2, 5]
     assert {r.doc_id: r.decoded_bytes for r in whole}[1] == len(para("red", 8).encode())
+
+
+def test_nulls_repeated_rows_and_giants(spark, tmp_path):
+    """Every stage is held against what it should keep; the long text is of more than one chunk of the encoder."""
+    giant, plain, other = para("giant", 900), para("plain", 8), para("other", 8)
+    rows = [(1, plain), (1, plain), (1, other), (None, para("none", 8)), (None, None), (2, giant), (3, giant + "\n" + para("tail", 2))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rev string, key string"
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", "y") for i, t in rows], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, str(tmp_path))
+        kept.append(sorted((r.doc_id is None, r.doc_id or 0) for r in at.select("doc_id").collect()))
+        assert name == "encoding" or at.columns == corpus_pipeline.COLUMNS
+    every = [(False, 1), (False, 1), (False, 1), (False, 2), (False, 3), (True, 0)]
+    assert kept[:2] == [every, every]
+    assert kept[2:] == [every] * 3  # of document 3 line_dedup has left the tail, which is no copy
+    sizes = sorted(r.decoded_bytes for r in at.collect())
+    assert sizes[-1] == len(giant.encode()) > 32_768
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
