@@ -238,14 +238,13 @@ def visible_tree(edges: DataFrame, nodes: DataFrame, hidden: list[str]) -> DataF
     inner = e.where("from_hidden").select("src", "dst", F.col("to_hidden").alias("onward"))
     reach = cut(e.where("not from_hidden").select(F.col("src").alias("top"), F.col("dst").alias("at"), F.lit(1).alias("d"), "to_hidden"))
     out, frontier, d = reach.where("not to_hidden"), reach.where("to_hidden"), 1
-    seen = frontier
-    while True:
+    seen, n = frontier, frontier.count()
+    while n:
         d += 1
-        nxt = frontier.join(inner, F.col("at") == F.col("src")).select("top", F.col("dst").alias("at"), F.lit(d).alias("d"), F.col("onward").alias("to_hidden")).distinct()
+        nxt = few(frontier, n).join(inner, F.col("at") == F.col("src")).select("top", F.col("dst").alias("at"), F.lit(d).alias("d"), F.col("onward").alias("to_hidden")).distinct()
         nxt = cut(nxt.join(seen.select("top", "at"), ["top", "at"], "left_anti"))
-        if nxt.isEmpty():
-            break
         out, frontier = out.unionByName(nxt.where("not to_hidden")), nxt.where("to_hidden")
+        n = frontier.count()
         seen = grown(seen, frontier, d)
     best = out.where("top <> at").groupBy(F.col("at").alias("node")).agg(F.min(F.struct("d", "top")).alias("x")).select("node", F.col("x.top").alias("parent"))
     shown = nodes.where(~F.col("type").isin(hidden)).select("node")
