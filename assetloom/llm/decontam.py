@@ -1,10 +1,12 @@
 """Benchmark decontamination by SimHash windows, with DataFrame functions only.
 
 Windows of a document as long as a benchmark item are fingerprinted with SimHash (63 bits over the
-words of the window, weighted by their counts). Fingerprints are cut into ``radius + 1`` blocks; two
-fingerprints within ``radius`` bits of each other agree in a block, so an equi-join on (item size,
-block number, block) finds every item within the radius. Each candidate is verified by the exact
-weighted Jaccard similarity of the bags of five-word shingles.
+words of the window, weighted by their counts). Fingerprints are cut into four blocks of 15 or 16
+bits. Two fingerprints within ``radius`` bits of each other differ in at most ``radius // 4`` bits of
+some block, so every block of an item is indexed with all values that near to it, and an equi-join on
+(item size, block number, block) finds every item within the radius. Equal fingerprints are looked up
+once. Each candidate is verified by the exact weighted Jaccard similarity of the bags of five-word
+shingles.
 
 A window can only reach the similarity if it shares a shingle with the item, so windows are laid
 only where a document has a shingle of some item, with that shingle at the item's offset: nothing
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 WIDTH, RADIUS, LEAST = 5, 12, 0.75
-#: Rows of narrow columns (32 bytes) that may be broadcast.
-FEW = 1_000_000
+#: Blocks of a fingerprint.
+BLOCKS = 4
+#: Rows of narrow columns (32 bytes) that may be broadcast; index rows, which are wider in memory.
+FEW, FEW_PROBES = 1_000_000, 200_000
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -51,21 +55,29 @@ def simhash(win: str) -> Column:
     return F.expr(inner.replace("sums[b % 21]", "sums[cast(b % 21 AS int)]").replace("21 * (b div 21)", "cast(21 * (b div 21) AS int)"))
 
 
-def _blocks(radius: int) -> Column:
-    """(number, bits) of every block of the column ``bits``."""
-    edges = [63 * i // (radius + 1) for i in range(radius + 2)]
+def _blocks() -> Column:
+    """(no, block) of every block of the column ``bits``."""
+    edges = [63 * i // BLOCKS for i in range(BLOCKS + 1)]
     return F.explode(F.array(*(F.struct(F.lit(i).alias("no"), F.shiftright("bits", a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("block")) for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False)))))
 
 
+def _probes(radius: int) -> Column:
+    """All values that differ from the column ``block`` in at most ``radius // BLOCKS`` bits: by counting, two fingerprints within the radius are that near in some block."""
+    width = -(-63 // BLOCKS)
+    return F.explode(F.transform(F.lit([m for m in range(1 << width) if m.bit_count() <= radius // BLOCKS]), lambda m: F.col("block").bitwiseXOR(m.cast("long"))))
+
+
 def _bag(win: str) -> Column:
-    """Shingles of a window with their occurrence numbers."""
-    shingles = f"transform(sequence(1, size({win}) - {WIDTH - 1}), i -> array_join(slice({win}, i, {WIDTH}), ' '))"
-    return F.expr(f"transform(array({shingles}), g -> transform(g, (x, i) -> concat(x, ' ', size(filter(slice(g, 1, i), y -> y = x)))))[0]")
+    """Shingles of a window with their occurrence numbers. Sorted, equal shingles are neighbours, so they are numbered by runs."""
+    shingles = f"sort_array(transform(sequence(1, size({win}) - {WIDTH - 1}), i -> array_join(slice({win}, i, {WIDTH}), ' ')))"
+    starts = "filter(transform(g, (x, i) -> CASE WHEN get(g, i - 1) IS DISTINCT FROM x THEN i END), i -> i IS NOT NULL)"
+    numbered = "flatten(transform(s, (a, j) -> transform(sequence(1, coalesce(get(s, j + 1), size(g)) - a), k -> concat(get(g, a), ' ', k))))"
+    return F.expr(f"transform(array({shingles}), g -> transform(array({starts}), s -> {numbered})[0])[0]")
 
 
-def _few(df: DataFrame) -> DataFrame:
+def _few(df: DataFrame, most: int = FEW) -> DataFrame:
     """Broadcast while proven small; else a shuffle join."""
-    return F.broadcast(df) if df.count() <= FEW else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def contaminated(docs: DataFrame, items: DataFrame, radius: int = RADIUS, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -84,11 +96,12 @@ def contaminated(docs: DataFrame, items: DataFrame, radius: int = RADIUS, least:
     windows = again.select("doc", "rev", words(F.col("text")).alias("w"), "laid").select("doc", "rev", "w", F.explode("laid").alias("x"))
     windows = windows.select("doc", "rev", F.col("x.size").alias("size"), F.col("x.start").alias("start"), F.slice("w", F.col("x.start") + 1, F.col("x.len")).alias("win")).distinct()
     windows = cut(windows.withColumn("bits", simhash("win")))
-    keyed = windows.select("doc", "rev", "size", "start", "bits", _blocks(radius).alias("b")).select("doc", "rev", "size", "start", F.col("bits"), "b.no", "b.block")
-    of_items = known.select("item", "size", "bits", _blocks(radius).alias("b")).select("item", "size", F.col("bits").alias("item_bits"), "b.no", "b.block")
-    near = keyed.join(of_items, ["size", "no", "block"]).withColumn("hamming", F.bit_count(F.col("bits").bitwiseXOR(F.col("item_bits"))))
-    near = near.where(F.col("hamming") <= radius).select("doc", "rev", "size", "start", "item", "hamming").distinct()
-    found = near.join(known.select("item", "bag"), "item").join(windows.select(F.col("doc").alias("of"), F.col("rev").alias("of_rev"), F.col("size").alias("of_size"), F.col("start").alias("of_start"), "win"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("rev") == F.col("of_rev")) & (F.col("size") == F.col("of_size")) & (F.col("start") == F.col("of_start")))
+    prints = windows.select("size", "bits").distinct().select("size", "bits", _blocks().alias("b")).select("size", "bits", "b.no", "b.block")
+    index = known.select("item", "size", "bits", _blocks().alias("b")).select("item", "size", F.col("bits").alias("item_bits"), "b.no", "b.block")
+    index = index.select("item", "size", "item_bits", "no", _probes(radius).alias("block"))
+    near = prints.join(_few(index, FEW_PROBES), ["size", "no", "block"]).withColumn("hamming", F.bit_count(F.col("bits").bitwiseXOR(F.col("item_bits"))))
+    near = cut(near.where(F.col("hamming") <= radius).select("size", "bits", "item", "hamming").distinct())
+    found = windows.join(_few(near), ["size", "bits"]).join(known.select("item", "bag"), "item")
     found = found.withColumn("own", _bag("win")).withColumn("both", F.size(F.array_intersect("own", "bag")))
     found = found.select("doc", "rev", "item", "start", F.size("win").alias("n_words"), "hamming", (F.col("both") / (F.size("own") + F.size("bag") - F.col("both"))).alias("similarity"))
     best = found.where(F.col("similarity") >= least).groupBy("doc", "rev", "item").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "hamming")).alias("x"))

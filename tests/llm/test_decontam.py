@@ -65,3 +65,31 @@ def test_repeated_rows_and_null_ids(spark):
     b = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
     assert sorted(((r.doc, r.item, r.start) for r in contaminated(a, b).collect()), key=str) == sorted([(1, 1, 1), (1, 2, 1), (None, 1, 0), (None, 2, 0)], key=str)
     assert [r.text for r in remove_contaminated(a, b).collect()] == ["clean words here only now"]
+
+
+def test_blocks_find_every_fingerprint_within_the_radius(spark):
+    from pyspark.sql import functions as F
+
+    from assetloom.llm.decontam import RADIUS, _blocks, _probes
+
+    rng = random.Random(3)
+    pairs = []
+    for i in range(400):
+        a = b = rng.getrandbits(63)
+        for bit in rng.sample(range(63), i % 16):
+            b ^= 1 << bit
+        pairs.append((i, a, b))
+    df = spark.createDataFrame(pairs, "i long, a long, b long")
+    left = df.select("i", F.col("a").alias("bits")).select("i", _blocks().alias("x")).select("i", "x.no", "x.block")
+    right = df.select("i", F.col("b").alias("bits")).select("i", _blocks().alias("x")).select("i", "x.no", "x.block").select("i", "no", _probes(RADIUS).alias("block"))
+    met = {r.i for r in left.join(right, ["i", "no", "block"]).select("i").distinct().collect()}
+    assert {i for i, a, b in pairs if (a ^ b).bit_count() <= RADIUS} <= met
+
+
+def test_bags_number_repeated_shingles(spark):
+    from assetloom.llm.decontam import _bag
+
+    texts = ["r r r r r r r r r", "a b c d e", "a b a b a b a b a b a b"]
+    df = spark.createDataFrame([(t.split(),) for t in texts], "w array<string>")
+    for r in df.select("w", _bag("w").alias("bag")).collect():
+        assert {tuple(x.rsplit(" ", 1)) for x in r.bag} == {(" ".join(g), str(n)) for g, n in bag(r.w)} and len(r.bag) == len(r.w) - 4
