@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions import rules
@@ -20,14 +20,28 @@ def extract_refs(assets: DataFrame, pattern: str, *keys: str, content: str = "co
     return found.where("target <> ''")
 
 
+def _breaks(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.translate(text, "\n", ""))
+
+
 def extract_symbols(assets: DataFrame, rules_: dict[str, str], *keys: str, content: str = "content", clip: int = 120) -> DataFrame:
-    """(*keys, type, name, ord, hash): entities found by a pattern for each type; the first of a name counts in an asset."""
+    """(*keys, type, name, ord, start_line, end_line, signature, hash): entities found by a pattern for each type; the first of a name counts in an asset.
+
+    Lines count from 1 and are those of the whole match; the body is the pattern's first group, the signature its first line, clipped.
+    Each match is marked with a control character (removed from the text before), so that the text falls into pieces that begin with a match;
+    only numbers, names and hashes are ordered by piece."""
     out = None
     for i, (kind, pattern) in enumerate(rules_.items()):
-        found = assets.select(*keys, F.lit(kind).alias("type"), F.lit(i).alias("rule"), F.posexplode(F.regexp_extract_all(content, F.lit(pattern), F.lit(1))).alias("ord", "body"))
+        marked = F.regexp_replace(F.translate(content, "\x01", ""), pattern, "\x01$0")
+        found = assets.select(*keys, F.posexplode(F.split(marked, "\x01")).alias("pos", "piece"))
+        body = F.regexp_extract("piece", f"^(?:{pattern})", 1)
+        first_line = F.substring(F.split_part(body, F.lit("\n"), F.lit(1)), 1, clip)
+        found = found.select(*keys, F.lit(kind).alias("type"), F.lit(i).alias("rule"), "pos", _breaks(F.col("piece")).alias("breaks"), _breaks(F.regexp_extract("piece", f"^(?:{pattern})", 0)).alias("inside"), F.substring(rules.one_line(body), 1, clip).alias("name"), first_line.alias("signature"), F.sha2(body, 256).alias("hash"))
         out = found if out is None else out.unionByName(found)
-    out = out.withColumn("name", F.substring(rules.one_line(F.col("body")), 1, clip)).where("name <> ''")
-    return first_by(out, [*keys, "name"], ["rule", "ord"]).select(*keys, "type", "name", "ord", F.sha2("body", 256).alias("hash"))
+    before = Window.partitionBy(*keys, "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("start_line", (F.sum("breaks").over(before) + 1).cast("int")).where("pos > 0 AND name <> ''")
+    out = out.withColumns({"ord": F.col("pos") - 1, "end_line": (F.col("start_line") + F.col("inside")).cast("int")})
+    return first_by(out, [*keys, "name"], ["rule", "ord"]).select(*keys, "type", "name", "ord", "start_line", "end_line", "signature", "hash")
 
 
 def element_sites(assets: DataFrame, *keys: str, content: str = "content") -> DataFrame:
@@ -84,8 +98,6 @@ def slice_lines(assets: DataFrame, ranges: DataFrame, key: str, content: str = "
 
 def source_snippets(symbols: DataFrame, assets: DataFrame, key: str, n: int) -> DataFrame:
     """One slice for each distinct range (key, start, end) of the first ``n`` assets of each owner; a warning where there is no asset."""
-    from pyspark.sql import Window
-
     s = symbols.select("owner", key, "start", "end").distinct()
     s = s.withColumn("rank", F.dense_rank().over(Window.partitionBy("owner").orderBy(key))).where(F.col("rank") <= n)
     cut_ = slice_lines(assets.select(key, "content"), s.select(key, "start", "end").distinct().select(key, "start", "end", F.col("start").alias("from"), F.col("end").alias("to")), key)

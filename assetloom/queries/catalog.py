@@ -135,7 +135,13 @@ def page_symbols(s, d):
     return extraction.extract_symbols(fx.read(s, d, "pages"), _RULES, "page_id", content="html")
 
 
-@register("extract_symbols", f"WITH {_SYMS} SELECT page_id, type, name, ord, hash FROM sy")
+_LINED = r"""pc AS (SELECT page_id, type, string_split(regexp_replace(html, pat, chr(1) || '\0', 'g'), chr(1)) AS l, pat FROM pages, (VALUES ('title', '<title>[^<]*</title>'), ('heading', '<h1>[^<]*</h1>')) t(type, pat)),
+pn AS (SELECT page_id, type, pat, unnest(l) AS piece, unnest(range(0, len(l))) AS pos FROM pc),
+br AS (SELECT page_id, type, pos - 1 AS ord, regexp_extract(piece, '^' || pat) AS whole, sum(length(piece) - length(replace(piece, chr(10), ''))) OVER (PARTITION BY page_id, type ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS line FROM pn),
+li AS (SELECT page_id, type, ord, line::INTEGER AS start_line, (line + length(whole) - length(replace(whole, chr(10), '')))::INTEGER AS end_line, substr(split_part(regexp_extract(whole, '>([^<]*)<', 1), chr(10), 1), 1, 120) AS signature FROM br WHERE ord >= 0)"""
+
+
+@register("extract_symbols", f"WITH {_SYMS}, {_LINED} SELECT page_id, type, name, ord, start_line, end_line, signature, hash FROM sy JOIN li USING (page_id, type, ord)")
 def _(s, d):
     return page_symbols(s, d)
 
