@@ -106,8 +106,18 @@ def sections(**frames: DataFrame) -> DataFrame:
     return out
 
 
-def trace_symbol(nodes: DataFrame, edges: DataFrame, roots: DataFrame, down_types: list[str], up_types: list[str], call_types: list[str], depth: int = 3) -> DataFrame:
-    """The report on a symbol in long form: entry, tree, calls, usage, related assets and warnings."""
+def trace_symbol(nodes: DataFrame, edges: DataFrame, roots: DataFrame, down_types: list[str], up_types: list[str], call_types: list[str], depth: int = 3, passing: tuple[str, ...] = (), hooks: tuple[str, ...] = (), lazy: tuple[str, ...] = (), flags: DataFrame | None = None) -> DataFrame:
+    """The report on a symbol in long form: entry, boundary, tree, passed and received properties, calls, dynamic references, hooks, usage, related assets and warnings.
+
+    ``passing``, ``hooks`` and ``lazy`` are the edge types of handed down properties, dependencies and dynamic references. ``flags``
+    (path, client) tells which assets are marked for clients; a symbol with dependencies in an asset without the mark is warned of."""
+    own, given = edges.join(roots, F.col("src") == F.col("root")), edges.join(roots, F.col("dst") == F.col("root"))
+    labels = nodes.select(F.col("node").alias("subject"), "label")
+    passed = own.where(F.col("type").isin(*passing)).select("root", F.col("k").alias("ord"), F.col("dst").alias("subject"), F.col("type").alias("value"))
+    received = given.where(F.col("type").isin(*passing)).select("root", F.col("k").alias("ord"), F.col("src").alias("subject"), F.col("type").alias("value"))
+    dynamic = given.where(F.col("type").isin(*lazy)).select("root", F.col("k").alias("ord"), F.col("src").alias("subject"), F.col("type").alias("value"))
+    uses = own.where(F.col("type").isin(*hooks)).select("root", F.col("dst").alias("subject")).distinct()
+    hooked = uses.join(labels, "subject", "left").select("root", F.lit(0).alias("ord"), "subject", F.col("label").alias("value"))
     entry = roots.join(nodes, F.col("root") == F.col("node")).select("root", F.lit(0).alias("ord"), F.col("node").alias("subject"), F.col("label").alias("value"))
     tree = traversal.containment_tree(edges.where(F.col("type").isin(down_types)), roots, depth)
     tree = tree.select("root", F.row_number().over(Window.partitionBy("root").orderBy("path")).alias("ord"), F.col("node").alias("subject"), F.col("line").alias("value"))
@@ -116,8 +126,16 @@ def trace_symbol(nodes: DataFrame, edges: DataFrame, roots: DataFrame, down_type
     usage = saved(traversal.impact(edges, roots, up_types))
     used = usage.select("root", F.col("depth").alias("ord"), F.col("node").alias("subject"), F.col("depth").cast("string").alias("value"))
     related = traversal.related_assets(nodes, edges, roots).select("root", F.lit(0).alias("ord"), F.col("path").alias("subject"), F.col("path").alias("value"))
-    unused = roots.join(usage.select("root").distinct(), "root", "left_anti").select("root", F.lit(0).alias("ord"), F.col("root").alias("subject"), F.lit("nothing uses it").alias("value"))
-    return sections(entry=entry, tree=tree, calls=calls, usage=used, related=related, warnings=unused)
+    needed = usage.select("root").unionByName(dynamic.select("root")).distinct()
+    unused = roots.join(needed, "root", "left_anti").select("root", F.lit(0).alias("ord"), F.col("root").alias("subject"), F.lit("nothing uses it").alias("value"))
+    more = {}
+    if flags is not None:
+        at = roots.join(nodes, F.col("root") == F.col("node")).join(flags.select("path", "client"), "path", "left").join(uses.select("root", F.lit(True).alias("uses")).distinct(), "root", "left")
+        client, using = F.coalesce("client", F.lit(False)), F.coalesce("uses", F.lit(False))
+        more["boundary"] = at.select("root", F.lit(0).alias("ord"), F.col("path").alias("subject"), F.when(client, "client").when(using, "client by use").otherwise("server").alias("value"))
+        unmarked = at.where(using & ~client).select("root", F.lit(1).alias("ord"), F.col("root").alias("subject"), F.lit("uses hooks without a client mark").alias("value"))
+        unused = unused.unionByName(unmarked)
+    return sections(entry=entry, tree=tree, passed=passed, received=received, calls=calls, dynamic=dynamic, hooks=hooked, usage=used, related=related, warnings=unused, **more)
 
 
 def received_properties(passes: DataFrame, declared: DataFrame) -> DataFrame:

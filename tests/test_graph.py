@@ -87,6 +87,15 @@ def test_reports(spark, g):
     got = rows(reports.trace_symbol(nodes, edges, roots(spark, "c:Shell", "c:Lost"), ["renders"], ["renders", "uses_hook", "calls"], ["calls", "uses_hook"]), "root", "section", "subject")
     assert ("c:Shell", "usage", "r:/dash") in got and ("c:Shell", "tree", "c:Card") in got and ("c:Shell", "calls", "h:useCounter") in got
     assert ("c:Lost", "warnings", "c:Lost") in got and ("c:Shell", "warnings", "c:Shell") not in got
+    flags = spark.createDataFrame([(r.path, False) for r in nodes.select("path").distinct().collect()], "path string, client boolean")
+    more = rows(reports.trace_symbol(nodes, edges, roots(spark, "c:Shell"), ["renders"], ["renders", "uses_hook", "calls"], ["calls"], passing=("renders",), hooks=("uses_hook",), lazy=("renders",), flags=flags), "section", "subject", "value")
+    direct = edges.where("type = 'renders'").select("src", "dst").collect()
+    assert {x[1] for x in more if x[0] == "passed"} == {r.dst for r in direct if r.src == "c:Shell"}
+    assert {x[1] for x in more if x[0] == "received"} == {x[1] for x in more if x[0] == "dynamic"} == {r.src for r in direct if r.dst == "c:Shell"}
+    uses = {r.dst for r in edges.where("type = 'uses_hook' and src = 'c:Shell'").collect()}
+    assert {x[1] for x in more if x[0] == "hooks"} == uses
+    assert [x[2] for x in more if x[0] == "boundary"] == ["client by use" if uses else "server"]
+    assert (("warnings", "c:Shell", "uses hooks without a client mark") in more) == bool(uses)
     passes = spark.createDataFrame([("c:Card", "c:Shell", "title", "t"), ("c:Card", "c:Shell", "odd", "data.t"), ("c:Card", "c:Shell", "onClick", "data")], "node string, giver string, prop string, value string")
     declared = spark.createDataFrame([("c:Card", "title")], "node string, prop string")
     assert rows(reports.received_properties(passes, declared), "prop", "declared") == [("odd", False), ("onClick", False), ("title", True)]
