@@ -150,13 +150,16 @@ def resolve_flow_target(tree: DataFrame, sources: DataFrame, imports: DataFrame,
 
 
 def resolve_symbol_hint(queries: DataFrame, symbols: DataFrame) -> DataFrame:
-    """queries: query_id, name, type, hint (part of a path, or null). The first fitting symbol, how many fit, and the others."""
-    q = queries.join(symbols, ["name", "type"])
+    """queries: query_id, name, type, hint (part of a path, or null). The first fitting symbol, how many fit, and the others.
+
+    Queries that ask the same are answered once, so a hot name is listed once for each of its hints."""
+    q = queries.select("name", "type", "hint").distinct().join(symbols, ["name", "type"])
     q = q.where(F.col("hint").isNull() | F.col("path").contains(F.col("hint")))
     fit = F.when(F.col("path") == F.col("hint"), 0).when(F.col("path").endswith(F.col("hint")), 1).otherwise(2)
-    all_ = F.sort_array(F.collect_list(F.struct(fit.alias("fit"), "path", "ord", "symbol")))
-    g = q.groupBy("query_id").agg(all_.alias("x"))
-    return g.select("query_id", F.col("x")[0]["symbol"].alias("symbol"), F.size("x").alias("n"), F.array_join(F.transform(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(1))), lambda y: y["symbol"]), ",").alias("others"))
+    g = q.groupBy("name", "type", "hint").agg(F.sort_array(F.collect_list(F.struct(fit.alias("fit"), "path", "ord", "symbol"))).alias("x"))
+    others = F.transform(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(1))), lambda y: y["symbol"])
+    g = g.select(F.col("name").alias("n_"), F.col("type").alias("t_"), F.col("hint").alias("h_"), F.col("x")[0]["symbol"].alias("symbol"), F.size("x").alias("n"), F.array_join(others, ",").alias("others"))
+    return queries.join(g, (F.col("name") == F.col("n_")) & (F.col("type") == F.col("t_")) & F.col("hint").eqNullSafe(F.col("h_"))).select("query_id", "symbol", "n", "others")
 
 
 def ambiguous_symbols(symbols: DataFrame) -> DataFrame:
@@ -164,12 +167,66 @@ def ambiguous_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "ord", "symbol")).alias("x")).where("n > 1").select("name", "n", F.col("x.symbol").alias("kept"))
 
 
+_ENTRIES = "array<struct<by: string, key: string, tier: int>>"
+
+
+def expression_lookup(nodes: DataFrame, hook_inputs: bool = True, condition_inputs: bool = True) -> DataFrame:
+    """(by, key, tier, ord, node): what finds a node, from the least tier to the greatest: outputs and inputs of hooks, fetches, contexts, stores, conditions, loops, labels.
+
+    nodes: node, ord, type, label, name, outputs and reads (lists), inputs (list of name and source), expression. ``by`` tells
+    whether the key is an expression's ``whole``, its ``root``, or a text of which the root is a ``part``. Nulls find nothing."""
+
+    def entry(by: str, key: Column, tier: int) -> Column:
+        return F.struct(F.lit(by).alias("by"), key.alias("key"), F.lit(tier).alias("tier"))
+
+    def given(kind: str, *lists: Column) -> Column:
+        return F.when(F.col("type") == kind, F.concat(*(F.coalesce(x, F.array().cast(_ENTRIES)) for x in lists))).otherwise(F.array().cast(_ENTRIES))
+
+    def each(names: str, tier: int, field: str | None = None, by: str = "root") -> Column:
+        return F.transform(names, lambda x: entry(by, x[field] if field else x, tier))
+
+    label, name, expr = F.col("label"), F.col("name"), F.col("expression")
+    tiers = [given("hook", each("outputs", 0))]
+    if hook_inputs:
+        tiers.append(given("hook", each("inputs", 1, "source", "whole"), each("inputs", 1, "source"), each("inputs", 1, "name")))
+    tiers.append(given("data-fetch", each("outputs", 2), F.array(entry("part", label, 2), entry("root", name, 2))))
+    tiers += [given(kind, each("outputs", t), F.array(entry("root", name, t))) for kind, t in (("context", 3), ("store", 4))]
+    tiers.append(given("condition", F.array(entry("whole", expr, 5), entry("whole", label, 5)), *([each("reads", 5)] if condition_inputs else [])))
+    below = F.when(expr.contains("."), F.split_part(expr, F.lit("."), F.lit(1)))
+    tiers.append(given("loop", F.array(entry("whole", expr, 6), entry("root", below, 6))))
+    tiers.append(F.array(entry("whole", label, 7), entry("root", label, 7)))
+    return nodes.select("node", "ord", F.explode(F.concat(*tiers)).alias("x")).select("x.by", "x.key", "x.tier", "ord", "node").where("key <> ''")
+
+
+def _pieces(text: str, sizes: str) -> Column:
+    return F.expr(f"array_distinct(flatten(transform({sizes}, n -> transform(sequence(1, greatest(char_length({text}) - n + 1, 1)), i -> substring({text}, i, n)))))")
+
+
+def _holders(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, x): the first of the texts (key, x) of which a root is a part.
+
+    A text offers its pieces of one to three characters, and a root asks by the one of its longest that the fewest texts offer, so all texts that hold the root are met without comparing all with all."""
+    offered = texts.groupBy("key").agg(F.min("x").alias("x")).select("key", "x", F.explode(_pieces("key", "array(1, 2, 3)")).alias("piece"))
+    counts = offered.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    asked = roots.select("root", F.explode(_pieces("root", "array(least(3, char_length(root)))")).alias("piece")).join(counts, "piece", "left")
+    asked = asked.groupBy("root").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest")).where("rarest.n > 0")
+    met = asked.select("root", F.col("rarest.piece").alias("piece")).join(offered, "piece").where(F.col("key").contains(F.col("root")))
+    return met.groupBy("root").agg(F.min("x").alias("x"))
+
+
 def resolve_expression(expressions: DataFrame, lookup: DataFrame) -> DataFrame:
-    """expressions: expr_id, expression; lookup: key, tier, ord, node. By the whole expression, else by its root; the least tier, then order."""
-    e = expressions.select("expr_id", F.trim("expression").alias("whole"), F.split_part(F.trim("expression"), F.lit("."), F.lit(1)).alias("root"))
-    keys = e.select("expr_id", F.explode(F.array_distinct(F.array("whole", "root"))).alias("key"))
-    first = lookup.groupBy("key").agg(F.min(F.struct("tier", "ord", "node")).alias("x"))
-    return keys.join(first, "key").groupBy("expr_id").agg(F.min("x").alias("x")).select("expr_id", "x.node", "x.tier")
+    """(expr_id, node, tier): the least tier, then order, of what an expression (expr_id, expression) finds by its whole or by its root, the part before the first dot.
+
+    lookup: that of ``expression_lookup``, or (key, tier, ord, node) for keys that may be either. Blank expressions and those with a blank root find nothing by the root."""
+    e = expressions.select("expr_id", F.trim("expression").alias("whole"), F.trim(F.split_part(F.trim("expression"), F.lit("."), F.lit(1))).alias("root"))
+    keyed = lookup if "by" in lookup.columns else lookup.withColumn("by", F.explode(F.array(F.lit("whole"), F.lit("root"))))
+    keyed = keyed.select("by", "key", F.struct("tier", "ord", "node").alias("x"))
+    asked = e.select("expr_id", F.explode(F.array(F.struct(F.lit("whole").alias("by"), F.col("whole").alias("key")), F.struct(F.lit("root").alias("by"), F.col("root").alias("key")))).alias("a")).select("expr_id", "a.by", "a.key").where("key <> ''")
+    hits = asked.join(keyed.where("by <> 'part'").groupBy("by", "key").agg(F.min("x").alias("x")), ["by", "key"]).select("expr_id", "x")
+    if "by" in lookup.columns:
+        held = _holders(keyed.where("by = 'part'"), e.where("root <> ''").select("root").distinct())
+        hits = hits.unionByName(e.join(held, "root").select("expr_id", "x"))
+    return hits.groupBy("expr_id").agg(F.min("x").alias("x")).select("expr_id", "x.node", "x.tier")
 
 
 def first_import_for_name(names: DataFrame, imports: DataFrame) -> DataFrame:

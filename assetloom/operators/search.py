@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.operators import traversal
@@ -11,19 +13,30 @@ from assetloom.plans.frontier import incident
 from assetloom.plans.ranked import top_by
 
 
+#: Queries that are broadcast at a time.
+BLOCK = 10_000
+
+
+def _against(entries: DataFrame, queries: DataFrame, hit: Column) -> DataFrame:
+    """Entries and queries that meet the condition. Each block of queries is broadcast, and its number is counted first."""
+    blocks = -(-2 * queries.count() // BLOCK) if queries.count() > BLOCK else 1
+    part = F.pmod(F.xxhash64("query_id", "term"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (entries.join(F.broadcast(queries.where(part == i)), hit) for i in range(blocks)))
+
+
 def search_targets(catalog: DataFrame, queries: DataFrame, limit: int = 30) -> DataFrame:
     """(query_id, rank, id): entries (id, rank_key, text) whose text holds the query, the first ``limit`` of each; blank queries find nothing.
 
-    The queries are a stated set of search terms; they are broadcast against all entries."""
+    The queries are a stated set of search terms, held against all entries in blocks."""
     q = queries.select("query_id", F.lower(F.trim("query")).alias("term")).where("term <> ''")
-    hits = catalog.join(F.broadcast(q), F.lower("text").contains(F.col("term")))
+    hits = _against(catalog, q, F.lower("text").contains(F.col("term")))
     return top_by(hits, ["query_id"], ["rank_key", "id"], limit).select("query_id", "rank", "id")
 
 
 def search_graph(corpus: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
     """As ``search_targets`` over entries of several kinds (kind, kind_rank, id, text); queries may name a scope, an id counts once."""
     q = queries.select("query_id", F.lower(F.trim("query")).alias("term"), "scope").where("term <> ''")
-    hits = corpus.join(F.broadcast(q), F.lower("text").contains(F.col("term")) & (F.col("scope").isNull() | (F.col("scope") == F.col("kind"))))
+    hits = _against(corpus, q, F.lower("text").contains(F.col("term")) & (F.col("scope").isNull() | (F.col("scope") == F.col("kind"))))
     once = hits.groupBy("query_id", "id").agg(F.min(F.struct("kind_rank", "kind")).alias("x")).select("query_id", "id", "x.kind_rank", "x.kind")
     return top_by(once, ["query_id"], ["kind_rank", "id"], limit).select("query_id", "rank", "kind", "id")
 

@@ -109,19 +109,32 @@ def _(s, d):
     return graph.edges_value_source(flows, o.select(F.col("o_orderkey").alias("flow_id"), node("customer", "o_custkey").alias("dst")))
 
 
-_LOOK = "l AS (SELECT * FROM (VALUES ('view', 2, 0, 'n:view'), ('click', 1, 1, 'n:click'), ('click.target', 0, 7, 'n:target'), ('purchase', 5, 0, 'n:buy')) t(key, tier, ord, node))"
-LOOKUP = [("view", 2, 0, "n:view"), ("click", 1, 1, "n:click"), ("click.target", 0, 7, "n:target"), ("purchase", 5, 0, "n:buy")]
+def _v(i, tail=""):
+    return f"'v' || (k + {i}) || 'x{tail}'"
 
 
-def _expressions(s, d):
-    e = fx.read(s, d, "events")
-    return e.select(F.col("event_id").alias("expr_id"), F.concat(F.lit(" "), "event_type", F.when(F.col("event_id") % 2 == 0, ".target").otherwise("")).alias("expression"))
+_TIERS = [  # kind, by, key, tier
+    (0, "root", _v(2), 0), (0, "whole", _v(5, ".f"), 1), (0, "root", _v(4), 1), (1, "root", _v(2), 2), (1, "root", _v(1), 2),
+    (2, "root", _v(2), 3), (2, "root", _v(1), 3), (3, "root", _v(2), 4), (3, "root", _v(1), 4),
+    (4, "whole", _v(1, ".f"), 5), (4, "root", _v(2), 5), (5, "whole", _v(6, ".f.g"), 6), (5, "root", _v(6), 6), (6, "whole", _v(3), 7), (6, "root", _v(3), 7),
+]
 
 
-@register("resolve_expression", f"""WITH {_LOOK}, x AS (SELECT event_id AS expr_id, event_type || CASE WHEN event_id % 2 = 0 THEN '.target' ELSE '' END AS whole, event_type AS root FROM events),
-h AS (SELECT expr_id, min({{'t': tier, 'o': ord, 'n': node}}) AS m FROM x JOIN l ON key = whole OR key = root GROUP BY expr_id) SELECT expr_id, m.n AS node, m.t AS tier FROM h""")
+@register("resolve_expression", f"""WITH n AS (SELECT p_partkey AS k, p_partkey % 7 AS m, 'part:' || p_partkey AS node FROM part),
+x AS (SELECT k AS expr_id, 'v' || k || 'x' AS root, 'v' || k || 'x' || CASE WHEN k % 2 = 0 THEN '.f' ELSE '' END AS whole FROM n),
+l AS ({" UNION ALL ".join(f"SELECT '{by}' AS kind, {key} AS key, {t} AS tier, k, node FROM n WHERE m = {m}" for m, by, key, t in _TIERS)}),
+h AS (SELECT expr_id, tier, k, node FROM x JOIN l ON kind = 'whole' AND key = whole UNION ALL SELECT expr_id, tier, k, node FROM x JOIN l ON kind = 'root' AND key = root
+UNION ALL SELECT expr_id, 2, k, node FROM x JOIN n ON m = 1 AND contains('load ' || {_v(0)} || ' now', root))
+SELECT expr_id, node, tier::INTEGER AS tier FROM h QUALIFY row_number() OVER (PARTITION BY expr_id ORDER BY tier, k) = 1""")
 def _(s, d):
-    return resolution.resolve_expression(_expressions(s, d), s.createDataFrame(LOOKUP, "key string, tier int, ord int, node string"))
+    k, m = F.col("p_partkey"), F.col("p_partkey") % 7
+    v = lambda i, tail="": F.concat(F.lit("v"), (k + i).cast("string"), F.lit(f"x{tail}"))
+    kinds = F.array(*map(F.lit, ["hook", "data-fetch", "context", "store", "condition", "loop", "view"]))
+    label = F.when(m == 1, F.concat(F.lit("load "), v(0), F.lit(" now"))).when(m == 6, v(3)).otherwise(F.concat(F.lit("n"), k.cast("string")))
+    part = fx.read(s, d, "part")
+    nodes = part.select(node("part", "p_partkey").alias("node"), k.alias("ord"), kinds[m.cast("int")].alias("type"), label.alias("label"), v(1).alias("name"), F.array(v(2)).alias("outputs"), F.array(F.struct(v(4).alias("name"), v(5, ".f").alias("source"))).alias("inputs"), F.when(m == 4, v(1, ".f")).when(m == 5, v(6, ".f.g")).alias("expression"), F.array(v(2)).alias("reads"))
+    asked = part.select(k.alias("expr_id"), F.concat(F.lit(" "), v(0), F.when(k % 2 == 0, ".f").otherwise("")).alias("expression"))
+    return resolution.resolve_expression(asked, resolution.expression_lookup(nodes))
 
 
 def _attributes(s, d):
@@ -215,23 +228,36 @@ t(root, node, depth, path) AS (SELECT root, root, 0, root FROM r UNION ALL SELEC
 tree AS (SELECT root, 'tree', row_number() OVER (PARTITION BY root ORDER BY path), node, repeat('  ', depth) || node FROM t),
 cl(root, node, depth) AS (SELECT root, root, 0 FROM r UNION SELECT root, dst, depth + 1 FROM cl JOIN e ON node = src WHERE depth < 6 AND type IN ({call})),
 calls AS (SELECT root, 'calls', min(depth), cl.node, coalesce(any_value(label), cl.node) FROM cl LEFT JOIN n ON n.node = cl.node WHERE depth > 0 GROUP BY root, cl.node),
+ps AS (SELECT root, 'passed', k, dst, type FROM r JOIN e ON root = src WHERE type IN ({passing})),
+rc AS (SELECT root, 'received', k, src, type FROM r JOIN e ON root = dst WHERE type IN ({passing})),
+dy AS (SELECT root, 'dynamic', k, src, type FROM r JOIN e ON root = dst WHERE type IN ({lazy})),
+hk AS (SELECT DISTINCT root, 'hooks', 0, dst, n.label FROM r JOIN e ON root = src LEFT JOIN n ON dst = n.node WHERE e.type IN ({hooks})),
+bd AS (SELECT root, 'boundary', 0, path, CASE WHEN length(path) % 2 = 0 THEN 'client' WHEN root IN (SELECT root FROM hk) THEN 'client by use' ELSE 'server' END FROM r JOIN n ON root = node),
+uc AS (SELECT root, 'warnings', 1, root, 'uses hooks without a client mark' FROM r JOIN n ON root = node WHERE length(path) % 2 <> 0 AND root IN (SELECT root FROM hk)),
 us(root, node, depth) AS (SELECT root, root, 0 FROM r UNION SELECT root, src, depth + 1 FROM us JOIN e ON node = dst WHERE depth < 6 AND type IN ({up})),
 usage AS (SELECT root, 'usage', min(depth), node, min(depth)::VARCHAR FROM us WHERE node <> root GROUP BY root, node),
 rel AS (SELECT DISTINCT root, 'related', 0, path, path FROM (SELECT root, root AS node FROM r UNION SELECT root, dst FROM r JOIN e ON root = src UNION SELECT root, src FROM r JOIN e ON root = dst) JOIN n USING (node)),
-warn AS (SELECT root, 'warnings', 0, root, 'nothing uses it' FROM r WHERE root NOT IN (SELECT root FROM usage))
-SELECT * FROM entry UNION ALL SELECT * FROM tree UNION ALL SELECT * FROM calls UNION ALL SELECT * FROM usage UNION ALL SELECT * FROM rel UNION ALL SELECT * FROM warn"""
+warn AS (SELECT root, 'warnings', 0, root, 'nothing uses it' FROM r WHERE root NOT IN (SELECT root FROM usage) AND root NOT IN (SELECT root FROM dy))
+SELECT * FROM entry UNION ALL SELECT * FROM tree UNION ALL SELECT * FROM calls UNION ALL SELECT * FROM usage UNION ALL SELECT * FROM rel UNION ALL SELECT * FROM warn
+UNION ALL SELECT * FROM ps UNION ALL SELECT * FROM rc UNION ALL SELECT * FROM dy UNION ALL SELECT * FROM hk UNION ALL SELECT * FROM bd UNION ALL SELECT * FROM uc"""
 
 
-def _report(kind, down, up, call):
+def _report(kind, down, up, call, passing, hooks, lazy):
     q = lambda x: ", ".join(repr(t) for t in x)
-    sql = f"WITH RECURSIVE {E}, {N}, r AS ({fx.g1_roots_sql(kind)}), " + _SECT.format(down=q(down), up=q(up), call=q(call))
-    return sql, lambda s, d: reports.trace_symbol(fx.g1_nodes(s, d), fx.g1_edges(s, d), fx.g1_roots(s, d, kind), down, up, call)
+    sql = f"WITH RECURSIVE {E}, {N}, r AS ({fx.g1_roots_sql(kind)}), " + _SECT.format(down=q(down), up=q(up), call=q(call), passing=q(passing), hooks=q(hooks), lazy=q(lazy))
+
+    def run(s, d):
+        n = fx.g1_nodes(s, d)
+        flags = n.select("path", (F.char_length("path") % 2 == 0).alias("client")).distinct()
+        return reports.trace_symbol(n, fx.g1_edges(s, d), fx.g1_roots(s, d, kind), down, up, call, passing=passing, hooks=hooks, lazy=lazy, flags=flags)
+
+    return sql, run
 
 
 for _name, _args in {
-    "trace_component": ("customer", ["places", "contains_part"], ["contains", "has_customer"], ["places", "contains_part"]),
-    "trace_hook": ("part", ["supplies"], ["places", "contains_part"], ["supplies"]),
-    "trace_route": ("nation", ["has_customer"], ["contains"], ["has_customer", "has_supplier"]),
+    "trace_component": ("customer", ["places", "contains_part"], ["contains", "has_customer"], ["places", "contains_part"], ("places", "has_customer"), ("places",), ("has_supplier",)),
+    "trace_hook": ("part", ["supplies"], ["places", "contains_part"], ["supplies"], ("contains_part",), ("places",), ("supplies",)),
+    "trace_route": ("nation", ["has_customer"], ["contains"], ["has_customer", "has_supplier"], ("has_customer", "contains"), ("has_supplier",), ("contains",)),
 }.items():
     _sql, _f = _report(*_args)
     register(_name, _sql)(_f)

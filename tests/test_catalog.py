@@ -45,6 +45,27 @@ def test_resolution(spark):
     lookup = spark.createDataFrame([("data", 1, 0, "n1"), ("data.items", 0, 5, "n2"), ("data", 0, 9, "n3")], "key string, tier int, ord int, node string")
     exprs = spark.createDataFrame([(1, "data.items"), (2, "data.x"), (3, "zip")], "expr_id int, expression string")
     assert rows(resolution.resolve_expression(exprs, lookup), "expr_id", "node") == [(1, "n2"), (2, "n3")]
+    node = "node string, ord int, type string, label string, name string, outputs array<string>, reads array<string>, inputs array<struct<name: string, source: string>>, expression string"
+    nodes = spark.createDataFrame([
+        ("hook", 1, "hook", "useQuery", None, ["rows"], None, [("key", "page.id")], None),
+        ("fetch", 2, "data-fetch", "load orders", "getAll", None, None, None, None),
+        ("fetch2", 3, "data-fetch", "reload orders", None, ["rows", "ab"], None, None, None),
+        ("ctx", 4, "context", "c", "Theme", ["colour"], None, None, None),
+        ("store", 5, "store", "s", "cart", ["colour", "sum"], None, None, None),
+        ("cond", 6, "condition", "is open", None, None, ["open"], None, "open && ready"),
+        ("loop", 7, "loop", "l", None, None, None, None, "items.all"),
+        ("view", 8, "view", "items", None, None, None, None, None),
+    ], node)
+    asked = ["rows.length", "page.id", "page.x", "key", "ders", "ab", "zz", " colour", "sum", "open", "open && ready", "items", "items.all", "is open", "Theme.x", "", ".x", None]
+    exprs = spark.createDataFrame(list(enumerate(asked)), "expr_id int, expression string")
+    by_number = lambda df: {asked[r.expr_id]: r.node for r in df.collect()}
+    full = {"rows.length": "hook", "page.id": "hook", "key": "hook", "ders": "fetch", "ab": "fetch2", " colour": "ctx", "sum": "store", "open": "cond", "open && ready": "cond", "items": "loop", "items.all": "loop", "is open": "cond", "Theme.x": "ctx"}
+    assert by_number(resolution.resolve_expression(exprs, resolution.expression_lookup(nodes))) == full
+    bare = {k: v for k, v in full.items() if k not in {"page.id", "key", "open"}}
+    assert by_number(resolution.resolve_expression(exprs, resolution.expression_lookup(nodes, hook_inputs=False, condition_inputs=False))) == bare
+    same = spark.createDataFrame([(1, "a", "t", None), (2, "a", "t", None), (3, "a", "t", "q.ts")], "query_id int, name string, type string, hint string")
+    syms = spark.createDataFrame([("a", "t", "p.ts", 1, "s1"), ("a", "t", "q.ts", 2, "s2")], "name string, type string, path string, ord int, symbol string")
+    assert rows(resolution.resolve_symbol_hint(same, syms), "query_id", "symbol", "n", "others") == [(1, "s1", 2, "s2"), (2, "s1", 2, "s2"), (3, "s2", 1, "")]
     tree = spark.createDataFrame([(1, 1, None, 0, "await", "x"), (1, 2, 1, 0, "call", "getIt.all"), (2, 1, None, 0, "identifier", "JSON")], "tree_id int, node_id int, parent_id int, ord int, kind string, name string")
     symbols = spark.createDataFrame([("s1", "getIt", "function", "p.ts", 1)], "symbol string, name string, type string, path string, ord int")
     imports = spark.createDataFrame([], "source string, import_ord int, name string, module string, path string")
@@ -92,3 +113,14 @@ def test_streams_equal_batches(spark, tmp_path):
     (steps / "0.json").write_text("\n".join(json.dumps(dict(zip(("owner", "ts", "ord", "kind"), r))) for r in data))
     stream_steps(spark, str(steps), str(tmp_path / "out"), str(tmp_path / "ck2")).awaitTermination(60)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "owner", "kind") == [(1, "click"), (1, "view"), (2, "view")]
+
+
+def test_symbol_lines(spark):
+    from assetloom.operators import extraction
+
+    text = "x\nfn one() {\n  a\n}\n\nfn two(b) { }\nfn one() {again}\x01fn three() {\n}"
+    assets = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "fn one() {}")], "id int, content string")
+    got = extraction.extract_symbols(assets, {"function": r"fn ([a-z]+\([a-z]*\) \{[^}]*)\}"}, "id", clip=20)
+    assert rows(got, "id", "ord", "start_line", "end_line", "signature", "name") == [
+        (1, 0, 2, 4, "one() {", "one() { a"), (1, 1, 6, 6, "two(b) { ", "two(b) {"), (1, 2, 7, 7, "one() {again", "one() {again"), (1, 3, 7, 8, "three() {", "three() {"), (4, 0, 1, 1, "one() {", "one() {"),
+    ]
