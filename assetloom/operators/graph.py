@@ -189,6 +189,25 @@ def node_category(nodes: DataFrame, categories: dict[str, list[str]] = CATEGORIE
     return nodes.where(~F.col("type").isin(list(without))).select("node", c.alias("category"))
 
 
+def layer_dependency(refs: DataFrame, internal: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files and the modules they refer to, as nodes (node, type, label) and edges (src, dst, type).
+
+    refs: owner (a file), target (as it is written), path (of the file it leads to, or null). A module that leads to a file from any
+    owner is of the workspace, one that looks ``internal`` is a module, others are external; each is linked to all files it leads to."""
+    if internal is None:
+        internal = F.col("target").startswith(".") | F.col("target").startswith("@/")
+    r = refs.where("target IS NOT NULL").select("owner", "target", "path").distinct()
+    file, module = (lambda c: F.concat(F.lit("file:"), c)), F.concat(F.lit("module:"), "target")
+    files = r.select(F.explode(F.array("owner", "path")).alias("path")).where("path IS NOT NULL").distinct()
+    kind = F.when(F.max(F.col("path").isNotNull()), "workspace").when(F.max(internal), "module").otherwise("external")
+    modules = r.groupBy("target").agg(kind.alias("type"))
+    nodes = files.select(file(F.col("path")).alias("node"), F.lit("file").alias("type"), F.element_at(F.split("path", "/"), -1).alias("label"))
+    nodes = nodes.unionByName(modules.select(module.alias("node"), "type", F.col("target").alias("label")))
+    used = r.select(file(F.col("owner")).alias("src"), module.alias("dst"), F.lit("imports").alias("type"))
+    led = r.where("path IS NOT NULL").select(module.alias("src"), file(F.col("path")).alias("dst"), F.lit("resolved-to").alias("type"))
+    return nodes, used.where("src IS NOT NULL").unionByName(led).distinct()
+
+
 def layer_data_source(fetches: DataFrame, calls: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fetch nodes (node, label), who calls them first (calls: src, dst, awaited, k) and their outputs (node, name), as nodes and edges; the first write of an id wins."""
     p = "data-source:"

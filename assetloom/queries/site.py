@@ -217,11 +217,15 @@ def _(s, d):
     return graph.edges_imports(r.withColumn("owner", F.concat(F.lit("page:"), F.col("page_id").cast("string"))))
 
 
-@register("layer_dependency", f"WITH {_ALL} SELECT DISTINCT target AS module, CASE WHEN path IS NOT NULL THEN 'workspace' WHEN starts_with(target, '.') OR starts_with(target, '@/') THEN 'missing' ELSE 'external' END AS kind, path AS resolved FROM rr LEFT JOIN hit USING (ref_id)")
-def _(s, d):
-    r = _resolved(s, d)
-    kind = F.when(F.col("path").isNotNull(), "workspace").when(F.col("target").startswith(".") | F.col("target").startswith("@/"), "missing").otherwise("external")
-    return r.select(F.col("target").alias("module"), kind.alias("kind"), F.col("path").alias("resolved")).distinct()
+@register("layer_dependency", f"""WITH {_ALL}, z AS (SELECT DISTINCT 'page:' || page_id AS owner, target, path FROM rr LEFT JOIN hit USING (ref_id))
+SELECT 'file:' || p AS src, NULL AS dst, 'file' AS type FROM (SELECT owner AS p FROM z UNION SELECT path FROM z WHERE path IS NOT NULL)
+UNION ALL SELECT 'module:' || target, NULL, CASE WHEN count(path) > 0 THEN 'workspace' WHEN starts_with(target, '.') OR starts_with(target, '@/') THEN 'module' ELSE 'external' END FROM z GROUP BY target
+UNION ALL SELECT DISTINCT 'file:' || owner, 'module:' || target, 'imports' FROM z
+UNION ALL SELECT DISTINCT 'module:' || target, 'file:' || path, 'resolved-to' FROM z WHERE path IS NOT NULL""")
+def _(s, d):
+    r = _resolved(s, d).withColumn("owner", F.concat(F.lit("page:"), F.col("page_id").cast("string")))
+    nodes, edges = graph.layer_dependency(r)
+    return nodes.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), "type").unionByName(edges)
 
 
 # Names: symbols are words of link texts by page; a page imports its link targets' first words from the host's other pages.

@@ -198,3 +198,20 @@ def test_edges_are_built_from_a_catalog(spark):
     card, hook = "component:Card@ui/card.tsx", "hook:useCart@lib/cart.ts"
     assert rows(got, "type", "src", "dst", "k") == [("calls", "P", "builtin:Math.max", 4), ("calls", "P", hook, 3), ("imports", "file:app/page.tsx", "react", 0), ("imports", "file:app/page.tsx", "ui/card.tsx", 0), ("passes_prop", "P", card, 0), ("renders", "P", card, 0), ("uses_hook", "P", hook, 0)]
     assert graph.edges_passes(passes, imports, symbols).first().summary == "a=1, b=true"
+
+
+def test_dependency_layer(spark):
+    from assetloom.operators.graph import layer_dependency
+
+    refs = spark.createDataFrame([("a/x.ts", "./y", "a/y.ts"), ("b/x.ts", "./y", "b/y.ts"), ("a/x.ts", "react", None), ("a/x.ts", "@/gone", None), ("a/x.ts", "react", None), ("c.ts", None, None), (None, "zod", None)], "owner string, target string, path string")
+    nodes, edges = layer_dependency(refs)
+    assert rows(nodes, "node", "type", "label") == [
+        ("file:a/x.ts", "file", "x.ts"), ("file:a/y.ts", "file", "y.ts"), ("file:b/x.ts", "file", "x.ts"), ("file:b/y.ts", "file", "y.ts"),
+        ("module:./y", "workspace", "./y"), ("module:@/gone", "module", "@/gone"), ("module:react", "external", "react"), ("module:zod", "external", "zod"),
+    ]
+    assert rows(edges, "src", "dst", "type") == [
+        ("file:a/x.ts", "module:./y", "imports"), ("file:a/x.ts", "module:@/gone", "imports"), ("file:a/x.ts", "module:react", "imports"), ("file:b/x.ts", "module:./y", "imports"),
+        ("module:./y", "file:a/y.ts", "resolved-to"), ("module:./y", "file:b/y.ts", "resolved-to"),
+    ]
+    empty = layer_dependency(refs.where("false"))
+    assert empty[0].count() == empty[1].count() == 0
