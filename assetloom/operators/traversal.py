@@ -109,10 +109,13 @@ def hook_usage(edges: DataFrame, roots: DataFrame, edge_type: str, up_types: lis
     return uses.join(above.select(F.col("root").alias("consumer"), F.col("node").alias("route")), "consumer", "left").select("root", "consumer", "route")
 
 
-def related_assets(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, path): the paths of a root and of all its neighbours."""
+def related_assets(nodes: DataFrame, edges: DataFrame, roots: DataFrame, affected: DataFrame | None = None, route_files: DataFrame | None = None) -> DataFrame:
+    """(root, path): the paths of a root and of all its neighbours, and the page and layout files (route, path) of the routes that it affects (root, route)."""
     near = roots.select("root", F.col("root").alias("node")).unionByName(neighbors(edges, roots, "both"))
-    return near.join(nodes.select("node", "path"), "node").select("root", "path").distinct()
+    paths = near.join(nodes.select("node", "path"), "node").select("root", "path")
+    if affected is not None and route_files is not None:
+        paths = paths.unionByName(affected.select("root", "route").distinct().join(route_files, "route").select("root", "path"))
+    return paths.where("path IS NOT NULL").distinct()
 
 
 def composition_neighborhood(edges: DataFrame, roots: DataFrame, up_types: list[str], down_types: list[str], up: int = 4, down: int = 2) -> DataFrame:

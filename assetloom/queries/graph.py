@@ -224,10 +224,16 @@ def _(s, d):
     return traversal.hook_usage(fx.g1_edges(s, d, ["has_customer", "places", "contains_part"]), fx.g1_roots(s, d, "part"), "contains_part", ["has_customer", "places"], lambda c: c.startswith("nation:"), 4)
 
 
-@register("related_assets", f"""WITH {E}, {N}, r AS ({_P}), m AS (SELECT root, root AS node FROM r UNION SELECT root, dst FROM e JOIN r ON root = src UNION SELECT root, src FROM e JOIN r ON root = dst)
-SELECT DISTINCT root, path FROM m JOIN n USING (node)""")
+_PART_UP = ["has_customer", "places", "contains_part"]
+
+
+@register("related_assets", _walk_sql(_PART_UP, _P, 6, "in", f""", {N}, al AS ({fx.G1_SQL}), m AS (SELECT root, root AS node FROM r UNION SELECT root, dst FROM al JOIN r ON root = src UNION SELECT root, src FROM al JOIN r ON root = dst)
+SELECT root, path FROM m JOIN n USING (node) UNION SELECT root, '/nation/' || split_part(node, ':', 2) || '/page' FROM v WHERE starts_with(node, 'nation:')"""))
 def _(s, d):
-    return traversal.related_assets(fx.g1_nodes(s, d), fx.g1_edges(s, d), fx.g1_roots(s, d, "part"))
+    e, r, n = fx.g1_edges(s, d), fx.g1_roots(s, d, "part"), fx.g1_nodes(s, d)
+    nations = n.where("type = 'nation'").select("node", F.concat(F.lit("/nation/"), F.split_part("node", F.lit(":"), F.lit(2))).alias("route"))
+    used = traversal.impact(fx.g1_edges(s, d, _PART_UP), r)
+    return traversal.related_assets(n, e, r, used.join(nations, "node").select("root", "route"), nations.select("route", F.concat("route", F.lit("/page")).alias("path")))
 
 
 _CUST_UP, _CUST_DOWN = ["contains", "has_customer"], ["places", "contains_part"]
