@@ -49,3 +49,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+#: DuckDB has no CRC-32: a relation ``crc`` (l) with the table of 256 entries, built from the polynomial. Needs WITH RECURSIVE.
+SQL_CRC = """bit(i, k, v) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM bit WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS l FROM bit WHERE k = 8)"""
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8, where ``crc`` is joined."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda a, b: xor(a >> 8, l[xor(a & 255, b) + 1])), 4294967295::BIGINT)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, extract, fertility, linechunks, minhash, resample, sharding, spm_scan, warc
+from . import chat, decontam, extract, fertility, linechunks, minhash, recipes, repair, resample, sharding, spm_scan, variants, warc
 from .common import ship
 
 
@@ -33,6 +33,10 @@ QUERIES = {
         "op4_chat_snapshots": chat.op4_chat_snapshots,
         "op5_rendezvous_shards": sharding.op5_rendezvous_shards,
         "op6_tokeniser_fertility": fertility.op6_tokeniser_fertility,
+        "op11_chunk_recipes": recipes.op11_chunk_recipes,
+        "op12_survivor_repair": repair.op12_survivor_repair,
+        "op13_trie_frontier": variants.op13_trie_frontier,
     }.items()
 }
 ORACLE_SQL = {"op3_simhash_decontamination": decontam.OP3_SQL, "op10_minmax_near_duplicates": minhash.OP10_SQL, "op4_chat_snapshots": chat.OP4_SQL, "op5_rendezvous_shards": sharding.OP5_SQL}
+ORACLE_SQL |= {"op11_chunk_recipes": recipes.OP11_SQL, "op12_survivor_repair": repair.OP12_SQL, "op13_trie_frontier": variants.OP13_SQL}
