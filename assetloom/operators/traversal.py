@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assetloom.plans.components import components
 from assetloom.plans.durable import cut, saved
 from assetloom.plans.frontier import adjacency, few, grown, incident, induced, walk, walk_with_parents
+from assetloom.plans.pointers import ancestors, nearest, preorder
 from assetloom.plans.ranked import first_by
 
 
@@ -86,13 +87,14 @@ def impact_routes(impacted: DataFrame, roots: DataFrame, assets: DataFrame, touc
 
 
 def impact_chains(edges: DataFrame, roots: DataFrame, types: list[str], ends: DataFrame, depth: int = 6) -> DataFrame:
-    """(root, node, depth, chain): the way from the root to each of ``ends`` (node) beyond depth 1, as text."""
-    found = saved(walk_with_parents(edges.where(F.col("type").isin(types)), roots, depth, against=True))
-    chain = found.join(ends, "node", "left_semi").where("depth > 1").select("root", F.col("node").alias("end"), F.col("depth").alias("n"), "parent", F.col("node").alias("chain"))
-    for _ in range(depth):
-        up = found.select("root", F.col("node").alias("at"), F.col("parent").alias("up"))
-        chain = chain.join(up, (chain["parent"] == up["at"]) & (chain["root"] == up["root"]), "left").select(chain["root"], "end", "n", F.col("up").alias("parent"), F.when(F.col("parent").isNull(), F.col("chain")).otherwise(F.concat("parent", F.lit(" <- "), "chain")).alias("chain"))
-    return chain.select("root", F.col("end").alias("node"), F.col("n").alias("depth"), "chain")
+    """(root, node, depth, chain): the way from the root to each of ``ends`` (node) beyond depth 1, as text. The ways double in every round."""
+    found = walk_with_parents(edges.where(F.col("type").isin(types)), roots, depth, against=True)
+    at = saved(found.select("root", "node", "depth", F.col("parent").alias("far"), F.col("node").alias("chain")))
+    while not at.where("far is not null").isEmpty():
+        on = at.select(F.col("root").alias("r"), F.col("node").alias("n"), F.col("far").alias("n_far"), F.col("chain").alias("n_chain"))
+        joined = at.join(on, (F.col("root") == F.col("r")) & (F.col("far") == F.col("n")), "left")
+        at = saved(joined.select("root", "node", "depth", F.col("n_far").alias("far"), F.concat_ws(" <- ", "n_chain", "chain").alias("chain")))
+    return at.join(ends.select("node").distinct(), "node", "left_semi").where("depth > 1").select("root", "node", "depth", "chain")
 
 
 def unused_symbols(nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
@@ -196,42 +198,27 @@ def prune_to_sink(edges: DataFrame, sinks: DataFrame) -> DataFrame:
 
 
 def nearest_ancestor(edges: DataFrame, nodes: DataFrame, roots: DataFrame, wanted: str) -> DataFrame:
-    """(root, ancestor, depth): walking up each node's first parent (by type, then id) until a node of the wanted type, the top or a node seen before."""
-    parent = saved(edges.groupBy("dst").agg(F.min(F.struct("type", "src")).alias("x")).select(F.col("dst").alias("child"), F.col("x.src").alias("up")))
-    kinds = saved(nodes.select(F.col("node").alias("id"), F.col("type").alias("kind")))
-    at = cut(roots.select("root", F.col("root").alias("node")))
-    done, seen = None, at
-    for d in count(1):
-        moved = at.join(parent, F.col("node") == F.col("child")).select("root", F.col("up").alias("node")).join(kinds, F.col("node") == F.col("id")).select("root", "node", "kind")
-        moved = cut(moved.join(seen, ["root", "node"], "left_anti"))
-        hit = moved.where(F.col("kind") == wanted).select("root", F.col("node").alias("ancestor"), F.lit(d).alias("depth"))
-        done = hit if done is None else done.unionByName(hit)
-        at = moved.where(F.col("kind") != wanted).select("root", "node")
-        if at.isEmpty():
-            break
-        seen = grown(seen, at, d)
-    return done
+    """(root, ancestor, depth): going up each node's first parent (by type, then id) to a node of the wanted type, unless the top or the root itself is met before."""
+    first = edges.groupBy("dst").agg(F.min(F.struct("type", "src")).alias("x")).select(F.col("dst").alias("node"), F.col("x.src").alias("up"))
+    parents = first.join(nodes.select(F.col("node").alias("id"), F.col("type").alias("kind")), F.col("up") == F.col("id"))
+    found = nearest(parents, F.col("kind") == wanted).where("hit <> node")
+    return roots.select("root").join(found, F.col("root") == F.col("node")).select("root", F.col("hit").alias("ancestor"), F.col("dist").cast("int").alias("depth"))
 
 
 def visibility_gates(edges: DataFrame, nodes: DataFrame, roots: DataFrame, priority: dict[str, int], gate: str) -> DataFrame:
-    """(root, ord, gate, branch): gates on the way up the best parent of each node, nearest first."""
+    """(root, ord, gate, branch): gates on the way up the best parent of each node, nearest first.
+
+    Every node points at its nearest gate; the ways of the roots then lead from gate to gate."""
     p = F.create_map(*(x for t, n in priority.items() for x in (F.lit(t), F.lit(n))))
     best = edges.groupBy("dst").agg(F.min(F.struct(F.coalesce(F.try_element_at(p, F.col("type")), F.lit(99)).alias("p"), "k", "src", "type")).alias("x"))
     kinds = nodes.select(F.col("node").alias("id"), F.col("type").alias("kind"))
-    parent = saved(best.select(F.col("dst").alias("child"), F.col("x.src").alias("up"), F.col("x.type").alias("branch")).join(kinds, F.col("up") == F.col("id")).drop("id"))
-    at, seen, out = cut(roots.select("root", F.col("root").alias("node"))), None, None
-    for d in count(1):
-        moved = at.join(parent, F.col("node") == F.col("child")).select("root", F.col("up").alias("node"), "kind", "branch")
-        if seen is not None:
-            moved = moved.join(seen, ["root", "node"], "left_anti")
-        moved = cut(moved)
-        if moved.isEmpty():
-            break
-        hit = moved.where(F.col("kind") == gate).select("root", F.lit(d).alias("ord"), F.col("node").alias("gate"), "branch")
-        out = hit if out is None else out.unionByName(hit)
-        at = moved.select("root", "node")
-        seen = at if seen is None else grown(seen, at, d)
-    return out if out is not None else at.where("false").select("root", F.lit(0).alias("ord"), F.col("node").alias("gate"), F.lit("").alias("branch"))
+    parents = best.select(F.col("dst").alias("node"), F.col("x.src").alias("up"), F.col("x.type").alias("branch")).join(kinds, F.col("up") == F.col("id"))
+    near = saved(nearest(parents, F.col("kind") == gate, "branch"))
+    starts = roots.select("root", F.col("root").alias("node")).distinct()
+    holders = near.select(F.col("hit").alias("node")).unionByName(starts.select("node")).distinct()
+    above = ancestors(near.join(holders, "node", "left_semi").select("node", F.col("hit").alias("up"), F.col("dist").alias("steps")), starts)
+    way = above.select("root", F.col("node").alias("at"), F.col("dist").alias("before")).join(near, F.col("at") == F.col("node"))
+    return way.select("root", (F.col("before") + F.col("dist")).cast("int").alias("ord"), F.col("hit").alias("gate"), "branch")
 
 
 def visible_tree(edges: DataFrame, nodes: DataFrame, hidden: list[str]) -> DataFrame:
@@ -255,17 +242,9 @@ def visible_tree(edges: DataFrame, nodes: DataFrame, hidden: list[str]) -> DataF
 
 
 def tree_path(tree: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, ord, node): ancestors of a node in a tree (node, parent), top first; ord counts up to 0 at the node."""
-    up = saved(tree.where("parent is not null").select(F.col("node").alias("child"), "parent"))
-    at = cut(roots.select("root", F.lit(0).alias("ord"), F.col("root").alias("node")))
-    out = at
-    for d in count(1):
-        above = at.join(up, F.col("node") == F.col("child")).select("root", F.lit(-d).alias("ord"), F.col("parent").alias("node"))
-        at = cut(above.join(out.select("root", "node"), ["root", "node"], "left_anti").select("root", "ord", "node"))  # a cycle ends where it closes
-        if at.isEmpty():
-            break
-        out = grown(out, at, d)
-    return out
+    """(root, ord, node): ancestors of a node in a tree (node, parent), top first; ord counts up to 0 at the node. A cycle ends where it closes."""
+    above = ancestors(tree.select("node", F.col("parent").alias("up")), roots.select("root", F.col("root").alias("node")).distinct())
+    return above.select("root", (-F.col("dist")).cast("int").alias("ord"), "node")
 
 
 def tree_descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
@@ -314,15 +293,9 @@ def trace_origin(steps: DataFrame, priority: list[str]) -> DataFrame:
 def first_of_kind_in_tree(tree: DataFrame, kinds: list[str]) -> DataFrame:
     """(tree_id, node_id): the first node in preorder of one of the kinds. tree: tree_id, node_id, parent_id, ord, kind."""
     t = saved(tree)
-    level = cut(t.where("parent_id is null").select("tree_id", "node_id", "kind", F.array("ord").alias("key")))
-    out = level
-    while True:  # a node has one parent, so what hangs from a top has no cycles
-        child = t.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("parent_id").alias("p"), "ord", F.col("kind").alias("c"))
-        level = cut(level.join(child, (F.col("tree_id") == F.col("t")) & (F.col("node_id") == F.col("p"))).select("tree_id", F.col("n").alias("node_id"), F.col("c").alias("kind"), F.concat("key", F.array("ord")).alias("key")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.where(F.col("kind").isin(kinds)).groupBy("tree_id").agg(F.min(F.struct("key", "node_id")).alias("x")).select("tree_id", "x.node_id")
+    wanted = t.where(F.col("kind").isin(kinds)).select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"))
+    placed = preorder(t).join(wanted, (F.col("tree_id") == F.col("t")) & (F.col("node_id") == F.col("n")))
+    return placed.groupBy("tree_id").agg(F.min(F.struct("first", "node_id")).alias("x")).select("tree_id", "x.node_id")
 
 
 def nested_dependency_chain(edges: DataFrame, roots: DataFrame, stem: int = 5) -> DataFrame:
