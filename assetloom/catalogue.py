@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetloom.queries import catalog, graph, io, lineage, site
+from assetloom.queries import catalog, graph, io, lineage, site, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (graph, catalog, site, lineage, io):
+for _module in (graph, catalog, site, lineage, values, io):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)

@@ -338,22 +338,6 @@ def pass_through_chain(flows: DataFrame, roots: DataFrame) -> DataFrame:
     return out if out is not None else at.where("false").select("root", "prop", F.lit(0).alias("ord"), "node", F.col("name").alias("expression"))
 
 
-def property_lineage(flows: DataFrame, roots: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(root, prop, depth, owner, source, kind): where a property comes from. flows: child, prop, owner, kind (literal, local, hook, parameter), source; a parameter source is the owner's property of that name, whose origin is sought in turn."""
-    f = saved(flows)
-    at = cut(roots.select("root", "prop", F.col("root").alias("node"), F.col("prop").alias("name")))
-    seen, out = at, None
-    for d in range(1, max_depth + 1):
-        found = cut(at.join(f.withColumnRenamed("prop", "p"), (F.col("node") == F.col("child")) & (F.col("name") == F.col("p"))).select("root", "prop", F.lit(d).alias("depth"), "owner", "source", "kind").distinct())
-        if found.isEmpty():
-            break
-        out = found if out is None else out.unionByName(found)
-        nxt = found.where("kind = 'parameter'").select("root", "prop", F.col("owner").alias("node"), F.col("source").alias("name")).distinct()
-        at = cut(nxt.join(seen, ["root", "prop", "node", "name"], "left_anti"))
-        seen = seen.unionByName(at)
-    return out if out is not None else at.where("false").select("root", "prop", F.lit(0).alias("depth"), F.col("node").alias("owner"), F.col("name").alias("source"), F.lit("").alias("kind"))
-
-
 def field_writers(edges: DataFrame, sites: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, role, owner, line, context): sites (owner, field, role, line, context) of a field whose owner is reachable from the root. roots: root, field."""
     scope = walk(adjacency(edges), roots.select("root").distinct())
@@ -379,35 +363,3 @@ def node_context(edges: DataFrame, nodes: DataFrame, roots: DataFrame, priority:
     below = roots.join(edges.where(F.col("type").isin(renders)), F.col("root") == F.col("src")).select("root", F.lit("children").alias("section"), F.col("k").alias("ord"), F.col("dst").alias("related"))
     every = gates.unionByName(into(passing, "properties")).unionByName(into(sources, "sources")).unionByName(below)
     return every.distinct().join(label, "related").select("root", "section", "ord", "label", "related")
-
-
-def focus_steps(edges: DataFrame, nodes: DataFrame, roots: DataFrame, up_types: list[str], down_types: list[str], down_depth: int = 6) -> DataFrame:
-    """(root, ord, node, depth, role, next): upstream inputs, farthest first, the focus and what is below it, each linked to the next."""
-    up = trace(edges, nodes, roots, up_types, None, True)
-    down = trace(edges, nodes, roots, down_types, down_depth).where("depth > 0")
-    w = Window.partitionBy("root").orderBy("depth", "node")
-    every = up.unionByName(down).withColumns({"ord": F.row_number().over(w), "next": F.lead("node").over(w)})
-    return every.select("root", "ord", "node", "depth", "role", "next")
-
-
-def value_trace(origins: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, expression, ord, owner, name, kind): the chain of an expression at a consumer, over bindings by kind.
-
-    origins: owner, name, kind (hook, local, fetch, module, loop, context, store), from_owner, from_name;
-    of several origins of a name the first kind in this order counts. A chain ends at a name without origin or one seen before."""
-    order = ["hook", "local", "fetch", "module", "loop", "context", "store"]
-    rank = F.array_position(F.array(*(F.lit(x) for x in order)), F.col("kind"))
-    best = saved(first_by(origins.where(rank > 0).withColumn("rank", rank), ["owner", "name"], ["rank", "from_owner", "from_name"]).drop("rank"))
-    at = cut(roots.select("root", "expression", F.col("root").alias("owner_at"), F.split_part("expression", F.lit("."), F.lit(1)).alias("name_at")))
-    seen, out = at, None
-    for d in count(1):
-        step = at.join(best, (F.col("owner_at") == F.col("owner")) & (F.col("name_at") == F.col("name")))
-        step = cut(step.select("root", "expression", F.lit(d).alias("ord"), "owner", "name", "kind", "from_owner", "from_name"))
-        if step.isEmpty():
-            break
-        part = step.select("root", "expression", "ord", "owner", "name", "kind")
-        out = part if out is None else out.unionByName(part)
-        nxt = step.select("root", "expression", F.col("from_owner").alias("owner_at"), F.col("from_name").alias("name_at"))
-        at = cut(nxt.join(seen, ["root", "expression", "owner_at", "name_at"], "left_anti"))
-        seen = grown(seen, at, d)
-    return out if out is not None else at.where("false").select("root", "expression", F.lit(0).alias("ord"), F.col("owner_at").alias("owner"), F.col("name_at").alias("name"), F.lit("").alias("kind"))

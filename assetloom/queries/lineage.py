@@ -53,12 +53,6 @@ def _segment_flows(s, d):
     return one.unionByName(two)
 
 
-@register("property_lineage", """WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 20 = 0)
-SELECT 'customer:' || c_custkey AS root, 'segment' AS prop, 1 AS depth, 'nation:' || c_nationkey AS owner, 'segment' AS source, 'parameter' AS kind FROM c UNION ALL SELECT 'customer:' || c_custkey, 'segment', 2, 'region:' || r_regionkey, r_name, 'literal' FROM c""")
-def _(s, d):
-    return traversal.property_lineage(_segment_flows(s, d), fx.g1_roots(s, d, "customer").withColumn("prop", F.lit("segment")))
-
-
 @register("pass_through_chain", """WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0)
 SELECT 'customer:' || c_custkey AS root, 'segment' AS prop, 1 AS ord, 'nation:' || c_nationkey AS node, 'segment' AS expression FROM c UNION ALL SELECT 'customer:' || c_custkey, 'segment', 2, 'region:' || n_regionkey, 'region.segment' FROM c""")
 def _(s, d):
@@ -66,16 +60,6 @@ def _(s, d):
     return traversal.pass_through_chain(f, fx.g1_roots(s, d, "customer").withColumn("prop", F.lit("segment")))
 
 
-@register("value_trace", """WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0)
-SELECT 'customer:' || c_custkey AS root, 'segment.name' AS expression, 1 AS ord, 'customer:' || c_custkey AS owner, 'segment' AS name, 'hook' AS kind FROM c UNION ALL SELECT 'customer:' || c_custkey, 'segment.name', 2, 'nation:' || c_nationkey, 'segment', 'store' FROM c""")
-def _(s, d):
-    f = _segment_flows(s, d)
-    kind = F.when(F.col("kind") == "literal", "store").otherwise("hook")
-    o = f.select(F.col("child").alias("owner"), F.col("prop").alias("name"), kind.alias("kind"), F.col("owner").alias("from_owner"), F.col("source").alias("from_name"))
-    later = o.where("kind = 'hook'").withColumns({"kind": F.lit("loop"), "from_name": F.lit("other")})
-    return traversal.value_trace(o.unionByName(later), fx.g1_roots(s, d, "customer").withColumn("expression", F.lit("segment.name")))
-
-
 @register("nested_dependency_chain", f"""WITH {E}, a AS (SELECT src AS root, dst AS node, contains(split_part(dst, ':', 2), '17') OR contains('17', substr(split_part(dst, ':', 2), 1, 5)) AS hit FROM e WHERE type = 'contains'),
 b AS (SELECT root, node FROM a QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY root)),
 c AS (SELECT root, node AS parent, dst AS node, contains(split_part(dst, ':', 2), '17') OR contains('17', substr(split_part(dst, ':', 2), 1, 5)) AS hit FROM b JOIN e ON node = src WHERE type = 'has_customer'),
@@ -180,14 +164,6 @@ def _(s, d):
     return traversal.node_context(fx.g1_edges(s, d), fx.g1_nodes(s, d), fx.g1_roots(s, d, "order"), fx.G1_PRIORITY, "customer", ["supplies"], ["places"], ["contains_part"])
 
 
-@register("focus_steps", f"""WITH RECURSIVE {E}, {N}, r AS ({CR}), u(root, node, depth) AS (SELECT root, root, 0 FROM r UNION SELECT root, src, depth - 1 FROM u JOIN e ON node = dst WHERE type IN ('contains', 'has_customer')),
-w(root, node, depth) AS (SELECT root, root, 0 FROM r UNION SELECT root, dst, depth + 1 FROM w JOIN e ON node = src WHERE type IN ('places', 'contains_part')),
-v AS (SELECT * FROM u UNION SELECT * FROM w WHERE depth > 0)
-SELECT root, row_number() OVER q::INTEGER AS ord, v.node, depth::INTEGER AS depth, n.type AS role, lead(v.node) OVER q AS next FROM v JOIN n ON v.node = n.node WINDOW q AS (PARTITION BY root ORDER BY depth, v.node)""".replace("row_number() OVER q::INTEGER", "(row_number() OVER q)::INTEGER"))
-def _(s, d):
-    return traversal.focus_steps(fx.g1_edges(s, d), fx.g1_nodes(s, d), fx.g1_roots(s, d, "customer"), ["contains", "has_customer"], ["places", "contains_part"])
-
-
 @register("trace_identifier", f"""WITH RECURSIVE {E}, {N}, r AS ({CR}), w(root, node, depth, via) AS (SELECT root, root, 0, NULL::VARCHAR FROM r UNION SELECT root, src, depth - 1, type FROM w JOIN e ON node = dst WHERE type IN ('contains', 'has_customer'))
 SELECT split_part(root, ':', 2)::BIGINT AS expr_id, 'c' || split_part(root, ':', 2) || '.name' AS identifier, w.node, depth::INTEGER AS depth, via, n.type AS role FROM w JOIN n ON w.node = n.node""")
 def _(s, d):

@@ -110,13 +110,6 @@ def test_reports(spark, g):
 
 
 def test_properties(spark, g):
-    flows = spark.createDataFrame(
-        [("c:Card", "title", "c:Shell", "parameter", "heading"), ("c:Shell", "heading", "c:Page", "parameter", "heading"), ("c:Page", "heading", "c:App", "literal", "'Hi'"), ("c:App", "x", "c:App", "parameter", "x")],
-        "child string, prop string, owner string, kind string, source string",
-    )
-    asked = spark.createDataFrame([("c:Card", "title"), ("c:App", "x")], "root string, prop string")
-    got = rows(traversal.property_lineage(flows, asked), "root", "depth", "owner", "kind")
-    assert got == [("c:App", 1, "c:App", "parameter"), ("c:Card", 1, "c:Shell", "parameter"), ("c:Card", 2, "c:Page", "parameter"), ("c:Card", 3, "c:App", "literal")]
     passed = spark.createDataFrame([("c:Shell", "c:Card", "t", "t"), ("c:Page", "c:Shell", "t", "data.t"), ("c:X", "c:Page", "t", "t")], "parent string, child string, prop string, expression string")
     assert rows(traversal.pass_through_chain(passed, spark.createDataFrame([("c:Card", "t")], "root string, prop string")), "ord", "node", "expression") == [(1, "c:Shell", "t"), (2, "c:Page", "data.t")]
 
