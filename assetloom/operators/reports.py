@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assetloom.operators import traversal
 from assetloom.plans.durable import saved
 from assetloom.plans.frontier import adjacency, walk
+from assetloom.plans.reach import members_of, reach
 
 
 def degree_badges(edges: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
@@ -106,8 +107,10 @@ def sections(**frames: DataFrame) -> DataFrame:
     return out
 
 
-def trace_symbol(nodes: DataFrame, edges: DataFrame, roots: DataFrame, down_types: list[str], up_types: list[str], call_types: list[str], depth: int = 3, passing: tuple[str, ...] = (), hooks: tuple[str, ...] = (), lazy: tuple[str, ...] = (), flags: DataFrame | None = None) -> DataFrame:
-    """The report on a symbol in long form: entry, boundary, tree, passed and received properties, calls, dynamic references, hooks, usage, related assets and warnings.
+def trace_symbol(nodes: DataFrame, edges: DataFrame, roots: DataFrame, down_types: list[str], up_types: list[str], call_types: list[str], depth: int = 3, passing: tuple[str, ...] = (), hooks: tuple[str, ...] = (), lazy: tuple[str, ...] = (), flags: DataFrame | None = None, used_by: tuple[str, ...] = (), routes: tuple[str, list[str]] | None = None) -> DataFrame:
+    """The report on a symbol in long form: entry, boundary, tree, passed and received properties, calls, dynamic references, hooks, usage, consumers and their routes, related assets and warnings.
+
+    ``used_by`` are the edge types from consumers. ``routes`` is the type of route nodes and the edge types along which they lead to what they show: a row for each consumer and route, from one propagation for all routes.
 
     ``passing``, ``hooks`` and ``lazy`` are the edge types of handed down properties, dependencies and dynamic references. ``flags``
     (path, client) tells which assets are marked for clients; a symbol with dependencies in an asset without the mark is warned of."""
@@ -135,6 +138,15 @@ def trace_symbol(nodes: DataFrame, edges: DataFrame, roots: DataFrame, down_type
         more["boundary"] = at.select("root", F.lit(0).alias("ord"), F.col("path").alias("subject"), F.when(client, "client").when(using, "client by use").otherwise("server").alias("value"))
         unmarked = at.where(using & ~client).select("root", F.lit(1).alias("ord"), F.col("root").alias("subject"), F.lit("uses hooks without a client mark").alias("value"))
         unused = unused.unionByName(unmarked)
+    if used_by:
+        consumers = saved(edges.where(F.col("type").isin(*used_by)).join(roots, F.col("dst") == F.col("root")).groupBy("root", F.col("src").alias("subject")).agg(F.min("k").alias("ord")))
+        more["consumers"] = consumers.join(labels, "subject").select("root", "ord", "subject", F.col("label").alias("value"))
+        if routes is not None:
+            kind, along = routes
+            starts = nodes.where(F.col("type") == kind).select(F.col("node").alias("member"), "node")
+            sets, numbers = reach(edges.where(F.col("type").isin(along)), starts)
+            at = consumers.join(sets, F.col("subject") == F.col("node")).select("root", "subject", "word", "bits")
+            more["routes"] = members_of(at, numbers, "root", "subject").select("root", F.lit(0).alias("ord"), "subject", F.col("member").alias("value"))
     return sections(entry=entry, tree=tree, passed=passed, received=received, calls=calls, dynamic=dynamic, hooks=hooked, usage=used, related=related, warnings=unused, **more)
 
 

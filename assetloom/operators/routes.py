@@ -122,3 +122,27 @@ def route_subgraph(routes: DataFrame, edges: DataFrame, types: list[str]) -> Dat
 
 def first_route(routes: DataFrame, key: str, order: list[str]) -> DataFrame:
     return first_by(routes, [key], order)
+
+
+def route_scopes(nodes: DataFrame, edges: DataFrame, roots: DataFrame, routes: DataFrame, types: list[str], given: tuple[str, ...] = ("renders", "passes_prop")) -> DataFrame:
+    """(root, type, src, dst, k): the edges of the types in the subgraphs of all routes that show a root.
+
+    A route shows a root if one of its files is the root's, or holds a node that renders the root or passes properties to it. What the routes reach is
+    propagated once, as sets of bits; an edge is in a root's scope where the set of its source and that of the root's routes have a bit in common."""
+    from assetloom.plans.durable import saved
+    from assetloom.plans.reach import members_of, reach
+
+    own = saved(edges_route(routes))
+    e = saved(edges.where(F.col("type").isin(types)).select("type", "src", "dst", "k"))
+    sets, numbers = reach(e, own.select(F.col("route").alias("member"), F.col("dst").alias("node")))
+    paths = nodes.select(F.col("node").alias("consumer"), F.col("path").alias("consumer_path"))
+    consumers = roots.join(edges.where(F.col("type").isin(*given)), F.col("root") == F.col("dst")).select("root", F.col("src").alias("consumer")).join(paths, "consumer")
+    shown = consumers.join(own.select("route", F.col("dst").alias("file")), F.col("consumer_path") == F.col("file")).select("root", "route")
+    pages = roots.join(own.where("type = 'routes_to'"), F.col("root") == F.col("dst")).select("root", "route")
+    by = shown.unionByName(pages).distinct().join(numbers, F.col("route") == F.col("member"))
+    by = saved(by.groupBy("root", F.col("word").alias("r_word")).agg(F.expr("bit_or(bit)").alias("r_bits")))
+    there = e.join(sets, F.col("src") == F.col("node")).select("type", "src", "dst", "k", "word", "bits")
+    scope = by.join(there, (F.col("r_word") == F.col("word")) & (F.col("r_bits").bitwiseAND(F.col("bits")) != 0)).select("root", "type", "src", "dst", "k")
+    wrapping = own.where(F.col("type").isin(types)).select(F.col("route").alias("member"), "type", "src", "dst", F.lit(0).cast("long").alias("k"))
+    around = members_of(by.select("root", F.col("r_word").alias("word"), F.col("r_bits").alias("bits")), numbers, "root").join(wrapping, "member").select("root", "type", "src", "dst", "k")
+    return scope.unionByName(around).distinct()

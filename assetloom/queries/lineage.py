@@ -35,7 +35,7 @@ def _(s, d):
     return traversal.deep_call_chain(fx.g1_nodes(s, d), fx.g1_edges(s, d), fx.g1_roots(s, d, "customer"), ["contains_part"], "places", "has_customer")
 
 
-@register("composition_scope", f"""WITH {E}, r AS ({CR}), sc AS (SELECT root, type, src, dst, k FROM r JOIN e ON root = dst WHERE root LIKE '%00'),
+@register("composition_scope_given", f"""WITH {E}, r AS ({CR}), sc AS (SELECT root, type, src, dst, k FROM r JOIN e ON root = dst WHERE root LIKE '%00'),
 rest AS (SELECT root FROM r WHERE root NOT IN (SELECT root FROM sc)), u AS (SELECT root, type, src, dst, k FROM rest JOIN e ON dst = root WHERE type = 'has_customer'),
 v AS (SELECT rest.root, e.type, e.src, e.dst, e.k FROM rest JOIN e p ON p.src = root AND p.type = 'places' JOIN e ON e.src = p.dst AND e.type = 'places' UNION SELECT root, type, src, dst, k FROM rest JOIN e ON src = root WHERE type = 'places')
 SELECT * FROM sc UNION SELECT * FROM u UNION SELECT * FROM v""")
@@ -218,21 +218,29 @@ SELECT * FROM entry UNION ALL SELECT * FROM tree UNION ALL SELECT * FROM calls U
 UNION ALL SELECT * FROM ps UNION ALL SELECT * FROM rc UNION ALL SELECT * FROM dy UNION ALL SELECT * FROM hk UNION ALL SELECT * FROM bd UNION ALL SELECT * FROM uc"""
 
 
-def _report(kind, down, up, call, passing, hooks, lazy):
+_SHOWN = """cons AS (SELECT root, src AS subject, min(k) AS ord FROM r JOIN e ON root = dst WHERE type IN ({used_by}) GROUP BY ALL),
+sh(member, node) AS (SELECT node, node FROM n WHERE type = '{route}' UNION SELECT member, dst FROM sh JOIN e ON node = src WHERE type IN ({along})),
+"""
+
+
+def _report(kind, down, up, call, passing, hooks, lazy, used_by=(), shows=None):
     q = lambda x: ", ".join(repr(t) for t in x)
     sql = f"WITH RECURSIVE {E}, {N}, r AS ({fx.g1_roots_sql(kind)}), " + _SECT.format(down=q(down), up=q(up), call=q(call), passing=q(passing), hooks=q(hooks), lazy=q(lazy))
+    if used_by:
+        sql = sql.replace("entry AS (", _SHOWN.format(used_by=q(used_by), route=shows[0], along=q(shows[1])) + "entry AS (", 1)
+        sql += "\nUNION ALL SELECT root, 'consumers', ord, subject, label FROM cons JOIN n ON subject = node UNION ALL SELECT root, 'routes', 0, subject, member FROM cons JOIN sh ON subject = node"
 
     def run(s, d):
         n = fx.g1_nodes(s, d)
         flags = n.select("path", (F.char_length("path") % 2 == 0).alias("client")).distinct()
-        return reports.trace_symbol(n, fx.g1_edges(s, d), fx.g1_roots(s, d, kind), down, up, call, passing=passing, hooks=hooks, lazy=lazy, flags=flags)
+        return reports.trace_symbol(n, fx.g1_edges(s, d), fx.g1_roots(s, d, kind), down, up, call, passing=passing, hooks=hooks, lazy=lazy, flags=flags, used_by=used_by, routes=shows)
 
     return sql, run
 
 
 for _name, _args in {
     "trace_component": ("customer", ["places", "contains_part"], ["contains", "has_customer"], ["places", "contains_part"], ("places", "has_customer"), ("places",), ("has_supplier",)),
-    "trace_hook": ("part", ["supplies"], ["places", "contains_part"], ["supplies"], ("contains_part",), ("places",), ("supplies",)),
+    "trace_hook": ("part", ["supplies"], ["places", "contains_part"], ["supplies"], ("contains_part",), ("places",), ("supplies",), ("contains_part",), ("nation", ["has_customer", "places"])),
     "trace_route": ("nation", ["has_customer"], ["contains"], ["has_customer", "has_supplier"], ("has_customer", "contains"), ("has_supplier",), ("contains",)),
 }.items():
     _sql, _f = _report(*_args)

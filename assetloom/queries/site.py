@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assetloom import fixtures as fx
 from assetloom.functions import rules
-from assetloom.operators import extraction, graph, resolution, routes, versioning
+from assetloom.operators import extraction, graph, resolution, routes, traversal, versioning
 from assetloom.sources import assets as src
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -146,6 +146,30 @@ def _(s, d):
     return routes.route_subgraph(site_routes(s, d), e, ["renders"])
 
 
+@register("composition_scope", f"""WITH RECURSIVE {R}, {_ER}, {_HREFS}, g AS (SELECT DISTINCT 'src/app' || CASE WHEN path = '/' THEN '' ELSE path END || '/page.tsx' AS src, 'src/app' || target || '/page.tsx' AS dst FROM p JOIN h USING (page_id)),
+w(root, node) AS (SELECT route, dst FROM er UNION SELECT root, g.dst FROM w JOIN g ON node = g.src),
+have AS (SELECT DISTINCT 'src/app' || CASE WHEN path = '/' THEN '' ELSE path END || '/page.tsx' AS node FROM p),
+ask AS (SELECT DISTINCT 'src/app' || CASE WHEN path = '/' THEN '' ELSE path END || '/page.tsx' AS root FROM p WHERE page_id % {fx.EVERY} = 0 UNION SELECT 'src/app' || target || '/page.tsx' FROM p JOIN h USING (page_id) WHERE page_id % {fx.EVERY} = 0),
+shows AS (SELECT ask.root, er.route FROM ask JOIN g ON g.dst = ask.root JOIN have ON have.node = g.src JOIN er ON er.dst = g.src UNION SELECT ask.root, route FROM ask JOIN er ON er.dst = ask.root WHERE type = 'routes_to'),
+sc AS (SELECT shows.root, 'renders' AS type, g.src, g.dst, 1::BIGINT AS k FROM shows JOIN w ON w.root = shows.route JOIN g ON g.src = w.node UNION SELECT shows.root, type, src, dst, 0 FROM shows JOIN er USING (route) WHERE type = 'wraps'),
+rest AS (SELECT root FROM ask WHERE root NOT IN (SELECT root FROM sc)),
+above4(root, node, d) AS (SELECT root, root, 0 FROM rest UNION SELECT root, g.src, d + 1 FROM above4 JOIN g ON node = g.dst WHERE d < 3),
+below2(root, node, d) AS (SELECT root, root, 0 FROM rest UNION SELECT root, g.dst, d + 1 FROM below2 JOIN g ON node = g.src WHERE d < 1)
+SELECT * FROM sc UNION SELECT root, 'renders', g.src, g.dst, 1 FROM above4 JOIN g ON g.dst = node UNION SELECT root, 'renders', g.src, g.dst, 1 FROM below2 JOIN g ON g.src = node""")
+def _(s, d):
+    p = fx.pages(s, d)
+    page = lambda c: F.concat(F.lit("src/app"), F.when(F.col(c) == "/", "").otherwise(F.col(c)), F.lit("/page.tsx"))
+    refs = extraction.extract_refs(p, 'href="([^"]*)"', "page_id", "path", content="html")
+    target = F.concat(F.lit("src/app"), "target", F.lit("/page.tsx"))
+    e = refs.select("page_id", F.lit("renders").alias("type"), page("path").alias("src"), target.alias("dst"), F.lit(1).cast("long").alias("k"))
+    some = F.col("page_id") % fx.EVERY == 0
+    roots = p.where(some).select(page("path").alias("root")).unionByName(e.where(some).select(F.col("dst").alias("root"))).distinct()
+    e = e.drop("page_id").distinct()
+    nodes = p.select(page("path").alias("node"), page("path").alias("path")).distinct()
+    scopes = routes.route_scopes(nodes, e, roots, site_routes(s, d), ["renders", "wraps"])
+    return traversal.composition_scope(e, roots, scopes, ["renders"], ["renders"])
+
+
 # Resolution: references are links of pages; assets are files named after pages.
 
 _AS = "ar AS (SELECT DISTINCT 'src/app' || CASE WHEN path = '/' THEN '/index' ELSE path END || CASE page_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.tsx' ELSE '.jsx' END AS path FROM p)"

@@ -208,3 +208,20 @@ def test_dependency_layer(spark):
     ]
     empty = layer_dependency(refs.where("false"))
     assert empty[0].count() == empty[1].count() == 0
+
+
+def test_route_scopes(spark):
+    """Two routes with a layout in common; a component of one, one of both, and one of none, which has its neighbourhood."""
+    from assetloom.operators import routes as R
+
+    none = None
+    schema = "route string, page string, layouts array<string>, loading string, error string, not_found string, handlers array<string>"
+    sites = spark.createDataFrame([("/a", "app/a/page.tsx", ["app/layout.tsx"], none, none, none, []), ("/b", "app/b/page.tsx", ["app/layout.tsx"], none, none, none, [])], schema)
+    steps = [("renders", "app/a/page.tsx", "c:A", 1), ("renders", "app/b/page.tsx", "c:B", 2), ("renders", "c:A", "c:Deep", 3), ("renders", "app/a/page.tsx", "c:Both", 4), ("renders", "app/b/page.tsx", "c:Both", 5), ("renders", "c:X", "c:Y", 6)]
+    edges = spark.createDataFrame(steps, "type string, src string, dst string, k long")
+    nodes = spark.createDataFrame([(n, n) for n in {x for e in steps for x in e[1:3]}], "node string, path string")
+    asked = roots(spark, "c:A", "c:Both", "c:Y", "c:Deep")
+    scopes = R.route_scopes(nodes, edges, asked, sites, ["renders"])
+    assert rows(scopes, "root", "k") == [("c:A", 1), ("c:A", 3), ("c:A", 4)] + [("c:Both", i) for i in range(1, 6)]
+    every = traversal.composition_scope(edges, asked, scopes, ["renders"], ["renders"])
+    assert [k for r, k in rows(every, "root", "k") if r == "c:Y"] == [6] and {k for r, k in rows(every, "root", "k") if r == "c:Deep"} == {1, 3}

@@ -81,3 +81,25 @@ def test_preorder(spark):
     chain = spark.range(10_000).selectExpr("1 as tree_id", "10000 - id as node_id", "if(id = 0, null, 10001 - id) as parent_id", "0 as ord", "if(id > 7000, 'call', 'x') as kind")
     assert [tuple(r) for r in traversal.first_of_kind_in_tree(chain, ["call"]).collect()] == [(1, 10000 - 7001)]
     assert durable.saved(pointers.preorder(chain)).where("last = 9999 and first = 10000 - node_id").count() == 10_000
+
+
+def test_sets_of_members(spark):
+    """Bits along random steps with cycles against a walk from each member; blocks of over 64 members take several words."""
+    from assetloom.plans import reach
+
+    rng = random.Random(6)
+    steps = {(rng.randrange(80), rng.randrange(80)) for _ in range(120)}
+    starts = [(f"r{i}", rng.randrange(80)) for i in range(300)]
+    want = set()
+    for member, node in starts:
+        met, todo = set(), [node]
+        while todo:
+            at = todo.pop()
+            if at not in met:
+                met.add(at)
+                todo += [b for a, b in steps if a == at]
+        want |= {(x, member) for x in met}
+    sets, numbers = reach.reach(spark.createDataFrame(sorted(steps), "src long, dst long"), spark.createDataFrame(starts, "member string, node long"))
+    got = reach.members_of(sets, numbers, "node").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and sets.count() < len(want) / 5
+    assert numbers.groupBy("word", "bit").count().where("count > 1").isEmpty()
