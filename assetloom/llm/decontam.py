@@ -4,19 +4,18 @@ Windows of a document as long as a benchmark item are fingerprinted with SimHash
 words of the window, weighted by their counts). Fingerprints are cut into four blocks of 15 or 16
 bits. Two fingerprints within ``radius`` bits of each other differ in at most ``radius // 4`` bits of
 some block, so every block of an item is indexed with all values that near to it, and an equi-join on
-(item size, block number, block) finds every item within the radius. Equal fingerprints are looked up
-once. Each candidate is verified by the exact weighted Jaccard similarity of the bags of five-word
-shingles.
+(item size, block number, block) finds every item within the radius; what is similar enough but
+farther off is lost (the README has the share). Equal fingerprints are looked up once. Each candidate
+is verified by the exact weighted Jaccard similarity of the bags of five-word shingles.
 
-A window can only reach the similarity if it shares a shingle with the item, so windows are laid
-only where a document has a shingle of some item, with that shingle at the item's offset: nothing
-that would be verified is lost, and texts without benchmark shingles cost one pass.
+A window can only reach the similarity if most of its places begin a shingle that items of its size have, whatever the order there: of a
+window and an item of n shingles each, 6/7 of n at the default similarity. Windows are laid where so many are, beginning at such a place, or at the end of the text.
+A window that begins elsewhere holds no more of an item than the one that begins at the next such place, so the best window of a document and an
+item is among them. Moved parts, swapped halves and shifted copies are met like others, and texts without benchmark shingles cost one pass.
 
 Cases: words are lower-cased and split at ASCII white space; items of fewer than five words are no
-evidence and match nothing; a window that would leave the text is moved to its edge, and a text
-shorter than the item is one window; null and empty texts match nothing; rows that agree in id and
-text are one document; of equal windows the first is reported; empty tables give no rows; further
-columns are ignored (``remove_contaminated`` returns them as they were).
+evidence and match nothing; a text shorter than the item is one window; null and empty texts match
+nothing; rows that agree in id and text are one document; empty tables give no rows; further columns are ignored (``remove_contaminated`` returns them as they were).
 """
 
 from __future__ import annotations
@@ -86,11 +85,15 @@ def contaminated(docs: DataFrame, items: DataFrame, radius: int = RADIUS, least:
     spread = d.select("doc", F.xxhash64("text").alias("rev"), words(F.col("text")).alias("w"))
     known = items.select(items[item_col].alias("item"), words(items[item_text_col]).alias("w")).withColumn("size", F.size("w")).where(F.col("size") >= WIDTH)
     known = cut(known.withColumn("bits", simhash("w")).withColumn("bag", _bag("w")))
-    marks = cut(known.select("size", "w", _places().alias("q")).select("size", "q", _key("q").alias("key")).distinct())
+    marks = cut(known.select("size", "w", _places().alias("q")).select("size", _key("q").alias("key")).distinct())
     positions = spread.select("doc", "rev", "w", _places().alias("p")).select("doc", "rev", F.size("w").alias("n"), "p", _key("p").alias("key"))
+    met = positions.join(_few(marks), "key").groupBy("doc", "rev", "n", "size").agg(F.sort_array(F.collect_set("p")).alias("at"))
     length = F.least("size", "n")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - length))
-    laid = cut(positions.join(_few(marks), "key").select("doc", "rev", "size", start.alias("start"), length.alias("len")).distinct())
+    needed = F.greatest(F.lit(1), F.ceil(F.lit(least / (1 + least)) * (length + F.col("size") - 2 * (WIDTH - 1)) - F.lit(1e-9)))
+    met = met.withColumns({"len": length, "last": F.col("n") - length, "needed": needed.cast("int")})
+    begins = f"filter(at, (p, i) -> p <= last and get(at, i + needed - 1) <= p + len - {WIDTH})"
+    ending = "if(size(filter(at, p -> p >= last)) >= needed, array(last), array())"
+    laid = cut(met.select("doc", "rev", "size", F.explode(F.expr(f"array_union({begins}, {ending})")).alias("start"), "len"))
     by_doc = laid.groupBy(F.col("doc").alias("of"), F.col("rev").alias("of_rev")).agg(F.collect_set(F.struct("size", "start", "len")).alias("laid"))
     again = d.withColumn("rev", F.xxhash64("text")).join(_few(by_doc), F.col("doc").eqNullSafe(F.col("of")) & (F.col("rev") == F.col("of_rev")))
     windows = again.select("doc", "rev", words(F.col("text")).alias("w"), "laid").select("doc", "rev", "w", F.explode("laid").alias("x"))
@@ -126,9 +129,9 @@ OP3_SQL = f"""
 WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
 k AS (SELECT item_id, w, len(w) AS size, list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) AS g FROM i WHERE len(w) >= 5),
-m AS (SELECT item_id, size, unnest(g) AS x, unnest(range(0, size - 4)) AS q FROM k),
+m AS (SELECT DISTINCT size, unnest(g) AS x FROM k),
 e AS (SELECT doc_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS x, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5),
-h AS (SELECT DISTINCT doc_id, size, greatest(0, least(p - q, n - least(size, n))) AS start, least(size, n) AS l FROM e JOIN m USING (x)),
+h AS (SELECT DISTINCT doc_id, size, least(p, n - least(size, n)) AS start, least(size, n) AS l FROM e JOIN m USING (x)),
 c AS (SELECT h.doc_id, k.item_id, start, l, k.g AS b, list_transform(range(start + 1, start + l - 3), lambda p: array_to_string(d.w[p:p + 4], ' ')) AS a
       FROM h JOIN d USING (doc_id) JOIN k USING (size)),
 s AS (SELECT doc_id, item_id, start, l, len(list_intersect({_SQL_BAG.format(g="a")}, {_SQL_BAG.format(g="b")})) AS shared, len(a) AS na, len(b) AS nb FROM c),

@@ -47,6 +47,10 @@ def test_against_brute_force(spark):
             at = rng.randint(0, len(body))
             body[at:at] = [x.upper() for x in w] if d % 7 == 0 else w
         docs.append((d, ("\n" if d % 3 else " ").join(body)))
+    for k in range(25):  # halves that have changed places, a part moved to the end, and a copy of the item's end at the end of the text
+        w = items[k][1].split()
+        half, third = len(w) // 2, len(w) // 3
+        docs += [(300 + k, text(20) + " " + " ".join(w[half:] + w[:half]) + " " + text(20)), (400 + k, " ".join(w[:third] + w[2 * third :] + w[third : 2 * third])), (500 + k, text(9) + " " + " ".join(w[1:]))]
     docs += [(200, None), (201, ""), (202, "  "), (203, items[4][1]), (204, " ".join(items[5][1].split()[:-1])), (205, "r " * 30)]
     a = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, size int")
     b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, size int")
@@ -59,6 +63,15 @@ def test_against_brute_force(spark):
     assert contaminated(a.where("false"), b).count() == 0 and contaminated(a, b.where("false")).count() == 0
 
 
+def test_swapped_halves_of_a_long_item(spark):
+    item = [f"k{i}" for i in range(60)]
+    rng = random.Random(1)
+    other = lambda: " ".join(f"o{rng.randrange(999)}" for _ in range(50))
+    docs = [(1, f"{other()} {' '.join(item[30:] + item[:30])} {other()}"), (2, f"{other()} {' '.join(item[:25])} {other()}")]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc, r.item, r.start, r.n_words, round(r.similarity, 4)) for r in got] == [(1, 7, 50, 60, round(52 / 60, 4))]
+
+
 def test_repeated_rows_and_null_ids(spark):
     item = " ".join(f"k{i}" for i in range(20))
     a = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (1, "clean words here only now"), (None, item)], "doc_id long, text string")
