@@ -93,9 +93,15 @@ def _(s, d):
     return current_snapshot(s, f"{path}/snapshot").select("path", "hash", "n_lines")
 
 
-@register("stream_steps", "SELECT user_id AS owner, event_type AS kind FROM events GROUP BY ALL")
+@register("stream_steps", f"""WITH f AS (SELECT owner, kind, ts, ord FROM ({fx.STEPS_SQL}) WHERE kind <> 'error' QUALIFY row_number() OVER (PARTITION BY owner, kind ORDER BY ts, ord) = 1)
+SELECT owner, kind, ord, (row_number() OVER (PARTITION BY owner ORDER BY ts, ord))::INTEGER AS rank FROM f""")
 def _(s, d):
+    """The steps as they are stored, and then a row without owner, far later, that moves the watermark past all owners."""
     path = folder(s)
-    fx.steps(s, d).select("owner", "ts", "ord", "kind").write.json(f"{path}/in")
-    stream_steps(s, f"{path}/in", f"{path}/out", f"{path}/state", delay="3650 days").awaitTermination()
-    return s.read.parquet(f"{path}/out").select("owner", "kind")
+    steps = fx.steps(s, d).select("owner", "ts", "ord", "kind")
+    steps.write.json(f"{path}/in")
+    stream_steps(s, f"{path}/in", f"{path}/out", f"{path}/state", delay="1 day", idle_hours=24 * 365, drop_kinds=("error",)).awaitTermination()
+    end = steps.agg((F.max("ts") + F.expr("interval 800 days")).alias("ts")).select(F.lit(None).cast("long").alias("owner"), "ts", F.lit(0).cast("long").alias("ord"), F.lit("end").alias("kind"))
+    end.write.mode("append").json(f"{path}/in")
+    stream_steps(s, f"{path}/in", f"{path}/out", f"{path}/state", delay="1 day", idle_hours=24 * 365, drop_kinds=("error",)).awaitTermination()
+    return s.read.parquet(f"{path}/out").select("owner", "kind", "ord", "rank")

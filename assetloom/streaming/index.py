@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from assetloom.operators.incremental import change_plan, upsert_assets
 from assetloom.plans.ranked import first_by
@@ -53,8 +55,49 @@ def stream_index(spark: SparkSession, input_path: str, snapshot_path: str, check
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_path).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_steps(spark: SparkSession, input_path: str, output_path: str, checkpoint_path: str, delay: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
-    """The first occurrence of each (owner, kind) within the watermark, appended as Parquet. State is bounded by the watermark."""
+_STATE = "kinds array<string>, us array<long>, ords array<long>, last long"
+_CLOSED = "owner long, kind string, us long, ord long, rank int"
+
+
+def _first_steps(idle_ms: int):
+    """State of one owner: the first step of each kind by event time, whatever order they come in; emitted and forgotten when the owner has been idle."""
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            kinds, us, ords, _ = state.get
+            state.remove()
+            found = sorted(zip(us, ords, kinds, strict=True))
+            yield pd.DataFrame({"owner": [key[0]] * len(found), "kind": [x[2] for x in found], "us": [x[0] for x in found], "ord": [x[1] for x in found], "rank": range(1, len(found) + 1)})
+            return
+        first, last = {}, None
+        if state.exists:
+            kinds, us, ords, last = state.get
+            first = dict(zip(kinds, zip(us, ords, strict=True), strict=True))
+        for f in frames:
+            f = f[f["counts"]]
+            if f.empty:
+                continue
+            last = max(int(f["us"].max()), last or 0)
+            for kind, at in f.sort_values(["us", "ord"]).groupby("kind").first()[["us", "ord"]].iterrows():
+                at = (int(at["us"]), int(at["ord"]))
+                first[kind] = min(at, first.get(kind, at))
+        if last is None:
+            return
+        state.update(([*first], [x[0] for x in first.values()], [x[1] for x in first.values()], last))
+        state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+
+    return run
+
+
+def stream_steps(spark: SparkSession, input_path: str, output_path: str, checkpoint_path: str, delay: str = "1 day", idle_hours: int = 24, drop_kinds: tuple[str, ...] = (), trigger: dict | None = None) -> StreamingQuery:
+    """The first step of each kind of an owner, in order of event time: (owner, kind, ts, ord, rank), appended as Parquet.
+
+    A step may come late and out of order by ``delay``; later ones are dropped by the watermark. An owner is closed once the watermark is ``idle_hours`` past its last step, and
+    its rows are written then, ranked from 1 as in ``edges_sequence``; what comes afterwards begins anew. State is one entry for each kind of an open owner.
+    Rows without owner, kind or time move the watermark only, as do those of ``drop_kinds``."""
     steps = spark.readStream.schema(STEPS).json(input_path).withWatermark("ts", delay)
-    once = steps.dropDuplicatesWithinWatermark(["owner", "kind"])
-    return once.writeStream.format("parquet").option("path", output_path).option("checkpointLocation", checkpoint_path).trigger(**(trigger or {"availableNow": True})).start()
+    counts = F.col("owner").isNotNull() & F.col("kind").isNotNull() & F.col("ts").isNotNull() & ~F.coalesce(F.col("kind").isin(*drop_kinds), F.lit(False))
+    keyed = steps.select("owner", "kind", "ts", F.unix_micros("ts").alias("us"), F.coalesce("ord", F.lit(0)).alias("ord"), counts.alias("counts"))  # a filter would be pushed below the watermark
+    closed = keyed.groupBy("owner").applyInPandasWithState(_first_steps(idle_hours * 3_600_000), _CLOSED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = closed.select("owner", "kind", F.timestamp_micros("us").alias("ts"), "ord", "rank")
+    return rows.writeStream.format("parquet").option("path", output_path).option("checkpointLocation", checkpoint_path).trigger(**(trigger or {"availableNow": True})).start()

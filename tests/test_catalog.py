@@ -107,12 +107,29 @@ def test_streams_equal_batches(spark, tmp_path):
     (tmp_path / "snap/batch-9").mkdir()  # a driver was lost before its snapshot was finished
     assert current_snapshot(spark, str(tmp_path / "snap")).count() == 3
     assert current_snapshot(spark, str(tmp_path / "snap"), 1).count() == 2 and current_snapshot(spark, str(tmp_path / "snap"), 0) is None
-    steps = tmp_path / "steps"
+
+
+def test_steps_by_event_time(spark, tmp_path):
+    """Out of order and late rows, owners that close at different times and one that comes back; equal to the batch operator."""
+    from assetloom.operators import graph
+
+    steps, out = tmp_path / "steps", str(tmp_path / "out")
     steps.mkdir()
-    data = [(1, "2024-01-01T00:00:00Z", 1, "view"), (1, "2024-01-01T01:00:00Z", 2, "view"), (1, "2024-01-01T02:00:00Z", 3, "click"), (2, "2024-01-01T03:00:00Z", 4, "view")]
-    (steps / "0.json").write_text("\n".join(json.dumps(dict(zip(("owner", "ts", "ord", "kind"), r))) for r in data))
-    stream_steps(spark, str(steps), str(tmp_path / "out"), str(tmp_path / "ck2")).awaitTermination(60)
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "owner", "kind") == [(1, "click"), (1, "view"), (2, "view")]
+    batches = [
+        [(1, "2024-01-02T10:00:00Z", 5, "view"), (1, "2024-01-02T08:00:00Z", 9, "click"), (2, "2024-01-02T00:00:00Z", 4, "view"), (2, "2024-01-02T00:00:00Z", 3, "buy"), (1, "2024-01-02T07:00:00Z", 1, "noise")],
+        [(1, "2024-01-02T09:00:00Z", 2, "view"), (1, "2024-01-02T10:30:00Z", 6, "click"), (3, "2024-01-04T00:00:00Z", 7, "view")],  # earlier than the first batch's, within the delay
+        [(1, "2024-01-01T00:00:00Z", 0, "buy"), (3, "2024-01-04T01:00:00Z", 8, "buy"), (None, "2024-01-05T00:00:00Z", 0, "end")],  # too late: the watermark stands at the third of January
+        [(1, "2024-01-09T00:00:00Z", 10, "view"), (None, "2024-01-20T00:00:00Z", 0, "end")],
+        [(None, "2024-02-20T00:00:00Z", 0, "end")],
+    ]
+    for i, b in enumerate(batches):
+        (steps / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("owner", "ts", "ord", "kind"), r))) for r in b))
+        stream_steps(spark, str(steps), out, str(tmp_path / "ck2"), idle_hours=12, drop_kinds=("noise",)).awaitTermination(60)
+    got = rows(spark.read.parquet(out), "owner", "ord", "kind", "rank")
+    assert got == [(1, 2, "view", 2), (1, 9, "click", 1), (1, 10, "view", 1), (2, 3, "buy", 1), (2, 4, "view", 2), (3, 7, "view", 1), (3, 8, "buy", 2)]
+    kept = spark.createDataFrame([r for b in batches[:2] for r in b], "owner long, ts string, ord long, kind string").selectExpr("owner", "cast(ts as timestamp) ts", "ord", "kind", "kind as target")
+    whole = graph.edges_sequence(kept.where("owner < 3"), ["noise"])
+    assert rows(whole, "owner", "ord", "kind", "rank") == [r for r in got if r[0] < 3 and r[1] < 10]
 
 
 def test_symbol_lines(spark):

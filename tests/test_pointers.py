@@ -103,3 +103,37 @@ def test_sets_of_members(spark):
     got = reach.members_of(sets, numbers, "node").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and sets.count() < len(want) / 5
     assert numbers.groupBy("word", "bit").count().where("count > 1").isEmpty()
+
+
+def test_implied_edges_of_chains_trees_and_cycles(spark):
+    from assetloom.operators import graph
+
+    rng = random.Random(8)
+    schema = "type string, src string, dst string, k long"
+    for shape in ("tree", "graph"):
+        steps = [("next", f"n{i}" if rng.random() < 0.5 else f"n{rng.randrange(i + 1)}", f"n{i + 1}", i) for i in range(40)]
+        steps += [("next", "x", "y", 50), ("next", "y", "x", 51)] + [("next", f"n{rng.randrange(41)}", f"n{rng.randrange(41)}", 60 + i) for i in range(12 if shape == "graph" else 0)]
+        names = [f"n{i}" for i in range(41)] + ["x", "y", "z"]
+        calls = [("calls", a, b, i) for i, (a, b) in enumerate({(rng.choice(names), rng.choice(names)) for _ in range(300)} | {("x", "y"), ("z", "x")})]
+        reached = {}
+        for n in names:
+            met, todo = set(), [d for _, s, d, _ in steps if s == n]
+            while todo:
+                at = todo.pop()
+                if at not in met:
+                    met.add(at)
+                    todo += [d for _, s, d, _ in steps if s == at]
+            reached[n] = met - {n}
+        got = graph.drop_implied_edges(spark.createDataFrame(steps + calls, schema), ["next"], ["calls"]).where("type = 'calls'").collect()
+        assert {(r.src, r.dst) for r in got} == {(a, b) for _, a, b, _ in calls if b not in reached[a]}
+
+
+def test_implied_edges_of_one_long_chain(spark):
+    """A hundred thousand steps of one owner: the closure would have five thousand million rows."""
+    from assetloom.operators import graph
+
+    n = 100_000
+    steps = spark.range(n).selectExpr("'next' as type", "concat('n', id) as src", "concat('n', id + 1) as dst", "id as k")
+    calls = spark.range(n).selectExpr("'calls' as type", "concat('n', id) as src", f"concat('n', (id * 7919 + 13) % {n}) as dst", "id as k")
+    got = graph.drop_implied_edges(steps.unionByName(calls), ["next"], ["calls"]).where("type = 'calls'")
+    assert got.count() == sum((i * 7919 + 13) % n <= i for i in range(n))
