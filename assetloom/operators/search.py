@@ -2,41 +2,64 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.operators import traversal
+from assetloom.operators import extraction, traversal
 from assetloom.plans.durable import saved
 from assetloom.plans.frontier import incident
 from assetloom.plans.ranked import top_by
 
 
-#: Queries that are broadcast at a time.
-BLOCK = 10_000
+#: Characters of the pieces that an index holds.
+SIZES = (1, 2, 3)
+
+
+def _pieces(text: str, sizes: str) -> Column:
+    return F.expr(f"array_distinct(flatten(transform({sizes}, n -> if(char_length({text}) < n, array(), transform(sequence(1, char_length({text}) - n + 1), i -> substring({text}, i, n))))))")
+
+
+def piece_index(entries: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """(piece, id): the pieces of one to three characters of the texts (id, text), in lower case; to be stored with the catalog."""
+    low = entries.select("id", F.lower("text").alias("low"))
+    return low.select(F.explode(_pieces("low", f"array({', '.join(map(str, sizes))})")).alias("piece"), "id").distinct()
 
 
-def _against(entries: DataFrame, queries: DataFrame, hit: Column) -> DataFrame:
-    """Entries and queries that meet the condition. Each block of queries is broadcast, and its number is counted first."""
-    blocks = -(-2 * queries.count() // BLOCK) if queries.count() > BLOCK else 1
-    part = F.pmod(F.xxhash64("query_id", "term"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (entries.join(F.broadcast(queries.where(part == i)), hit) for i in range(blocks)))
+def update_index(index: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The index with the pieces of changed and new entries (id, text) instead of their old ones, and without those of ids that are gone."""
+    ids = changed.select("id").unionByName(gone.select("id")).distinct()
+    return index.join(ids, "id", "left_anti").unionByName(piece_index(changed).select(*index.columns))
 
 
-def search_targets(catalog: DataFrame, queries: DataFrame, limit: int = 30) -> DataFrame:
-    """(query_id, rank, id): entries (id, rank_key, text) whose text holds the query, the first ``limit`` of each; blank queries find nothing.
+def _against(entries: DataFrame, queries: DataFrame, index: DataFrame | None) -> DataFrame:
+    """Entries and queries (term) whose text holds the term. Each term is looked up by the one of its longest pieces that the fewest entries have, and verified there.
 
-    The queries are a stated set of search terms, held against all entries in blocks."""
+    Without a stored index the asked pieces are indexed first. A term one of whose pieces no entry has finds nothing, at no cost."""
+    terms = queries.select("term").distinct()
+    asked = saved(terms.select("term", F.explode(_pieces("term", "array(least(3, char_length(term)))")).alias("piece")))
+    wanted = asked.select("piece").distinct()
+    if index is None:
+        sizes = sorted(r.n for r in wanted.select(F.char_length("piece").alias("n")).distinct().collect())  # three at most
+        index = piece_index(entries, tuple(sizes) or SIZES)
+    held = saved(index.join(wanted, "piece", "left_semi").select("piece", "id"))
+    counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "piece", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("x")).where("x.n > 0")
+    met = rarest.select("term", F.col("x.piece").alias("piece")).join(held, "piece").select("term", F.col("id").alias("met"))
+    hits = entries.join(met, F.col("id") == F.col("met")).where(F.lower("text").contains(F.col("term"))).drop("met").withColumnRenamed("term", "found")
+    return hits.join(queries, F.col("found") == F.col("term")).drop("found")
+
+
+def search_targets(catalog: DataFrame, queries: DataFrame, limit: int = 30, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, id): entries (id, rank_key, text) whose text holds the query, the first ``limit`` of each; blank queries find nothing. ``index``: a stored ``piece_index``."""
     q = queries.select("query_id", F.lower(F.trim("query")).alias("term")).where("term <> ''")
-    hits = _against(catalog, q, F.lower("text").contains(F.col("term")))
+    hits = _against(catalog, q, index)
     return top_by(hits, ["query_id"], ["rank_key", "id"], limit).select("query_id", "rank", "id")
 
 
-def search_graph(corpus: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
+def search_graph(corpus: DataFrame, queries: DataFrame, limit: int = 40, index: DataFrame | None = None) -> DataFrame:
     """As ``search_targets`` over entries of several kinds (kind, kind_rank, id, text); queries may name a scope, an id counts once."""
     q = queries.select("query_id", F.lower(F.trim("query")).alias("term"), "scope").where("term <> ''")
-    hits = _against(corpus, q, F.lower("text").contains(F.col("term")) & (F.col("scope").isNull() | (F.col("scope") == F.col("kind"))))
+    hits = _against(corpus, q, index).where(F.col("scope").isNull() | (F.col("scope") == F.col("kind")))
     once = hits.groupBy("query_id", "id").agg(F.min(F.struct("kind_rank", "kind")).alias("x")).select("query_id", "id", "x.kind_rank", "x.kind")
     return top_by(once, ["query_id"], ["kind_rank", "id"], limit).select("query_id", "rank", "kind", "id")
 
@@ -50,6 +73,73 @@ def retrieve_context(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth
     return ranked.join(nodes.select("node", "label", "path"), "node").select("root", "ord", "node", "label", "path")
 
 
+#: Intents that ask for a symbol, and its type.
+SYMBOL_INTENTS = {"component_trace": "component", "hook_trace": "hook"}
+ROUTE_INTENT = "route_trace"
+
+
+def retrieval(requests: DataFrame, nodes: DataFrame, edges: DataFrame, assets: DataFrame, route_files: DataFrame, depth: int = 2, limit: int = 8) -> DataFrame:
+    """(query_id, section, ord, subject, value) for each request (query_id, intent, target): symbols, edges, snippets and warnings.
+
+    A component or hook is the first node (node, type, label, path, start, end) of that name; its edges are those within ``depth``, its symbols the nodes around it, the first ``limit``. A
+    route (route, asset), with or without a slash at its beginning and end, has the nodes of its files and all their edges. Snippets are the lines of
+    the first ``limit`` files (path, content) of the symbols. Targets that aren't found, files that can't be read and other intents give warnings."""
+    r = saved(requests.select("query_id", "intent", "target"))
+    kind = F.create_map(*(F.lit(x) for p in SYMBOL_INTENTS.items() for x in p))
+    named = nodes.groupBy(F.col("type").alias("n_type"), F.col("label").alias("n_label")).agg(F.min("node").alias("root"))
+    found = r.where(F.col("intent").isin(*SYMBOL_INTENTS)).join(named, (F.try_element_at(kind, F.col("intent")) == F.col("n_type")) & (F.col("target") == F.col("n_label"))).select("query_id", "root")
+    found = saved(found)
+    roots = found.select("root").distinct()
+    bare = lambda c: F.concat(F.lit("/"), F.btrim(c, F.lit("/")))
+    files = route_files.select("route", "asset").distinct()
+    asked = r.where(F.col("intent") == ROUTE_INTENT).select("query_id", F.explode(F.array_distinct(F.array("target", bare(F.col("target"))))).alias("route"))
+    named_route = saved(asked.join(files, "route").select("query_id", "asset").distinct())
+    of_route = saved(named_route.join(nodes, F.col("asset") == F.col("path")).select("query_id", "node").distinct())
+
+    near = retrieve_context(nodes, edges, roots, depth, limit).select(F.col("root").alias("of"), "ord", "node")
+    numbered = of_route.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("node")))
+    symbols = saved(found.join(near, F.col("root") == F.col("of")).select("query_id", "ord", "node").unionByName(numbered.select("query_id", "ord", "node")).join(nodes, "node"))
+    lines = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("-"), F.col(b).cast("string"))
+    listed = symbols.select("query_id", F.lit("symbols").alias("section"), F.col("ord").cast("long").alias("ord"), F.col("node").alias("subject"), F.concat(F.lit("- "), "label", F.lit("\n  - id: "), "node", F.lit("\n  - type: "), "type", F.lit("\n  - file: "), "path", F.lit("\n  - lines: "), lines("start", "end")).alias("value"))
+    around = traversal.expand_khop(edges, roots, depth).select(F.col("root").alias("of"), "type", "src", "dst", "k")
+    met = found.join(around, F.col("root") == F.col("of")).select("query_id", "type", "src", "dst", "k")
+    met = met.unionByName(incident(edges, of_route, "query_id").select("query_id", "type", "src", "dst", "k")).distinct()
+    arrows = met.select("query_id", F.lit("edges").alias("section"), F.col("k").alias("ord"), F.col("src").alias("subject"), F.concat(F.lit("- "), "src", F.lit(" --"), "type", F.lit("--> "), "dst").alias("value"))
+    cuts = saved(extraction.source_snippets(symbols.where(F.col("ord") <= limit).select(F.col("query_id").alias("owner"), "path", "start", "end"), assets.select("path", "content"), "path", limit))
+    snippets = cuts.where("warning is null").select(F.col("owner").alias("query_id"), F.lit("snippets").alias("section"), F.col("start").cast("long").alias("ord"), F.col("path").alias("subject"), F.concat(F.lit("### "), "path", F.lit(":"), lines("start", "end"), F.lit("\n\n```tsx\n"), "text", F.lit("\n```")).alias("value"))
+    warn = lambda df, text: df.select("query_id", F.lit("warnings").alias("section"), F.lit(0).cast("long").alias("ord"), F.col("subject").alias("subject"), text.alias("value"))
+    unread = warn(cuts.where("warning is not null").select(F.col("owner").alias("query_id"), F.col("path").alias("subject")).distinct(), F.concat(F.lit("- "), "subject", F.lit(" can't be read")))
+    hit = found.select("query_id").unionByName(named_route.select("query_id")).distinct()
+    missing = r.join(hit, "query_id", "left_anti").withColumn("subject", F.coalesce("target", F.lit("unknown")))
+    known = F.col("intent").isin(*SYMBOL_INTENTS, ROUTE_INTENT)
+    missing = warn(missing, F.when(known, F.concat(F.lit("- "), "subject", F.lit(" not found"))).otherwise(F.concat(F.lit("- intent "), F.coalesce("intent", F.lit("none")), F.lit(" isn't supported"))))
+    return listed.unionByName(arrows).unionByName(snippets).unionByName(unread).unionByName(missing)
+
+
+#: Entries of a part of a document.
+PART = 500
+
+
+def retrieval_document(requests: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(query_id, part, text): the document of each request in parts, to be read one after the other: intent and target, then symbols, edges, snippets and warnings.
+
+    A part has ``PART`` entries at most, so a hub's edges are never in one row; sections with very many entries are divided by a hash of their subject before they are numbered."""
+    names = ["symbols", "edges", "snippets", "warnings"]
+    number = F.array_position(F.array(*(F.lit(x) for x in names)), F.col("section"))
+    counted = retrieved.groupBy("query_id", "section").agg(F.count(F.lit(1)).alias("n"))
+    rows = retrieved.join(counted, ["query_id", "section"]).withColumn("bucket", F.pmod(F.xxhash64("subject"), F.ceil(F.col("n") / (10 * PART))))
+    w = Window.partitionBy("query_id", "section", "bucket").orderBy("ord", "subject", "value")
+    rows = rows.withColumn("rn", F.row_number().over(w)).withColumn("block", F.floor((F.col("rn") - 1) / PART))
+    parts = rows.groupBy("query_id", number.cast("int").alias("no"), "section", "bucket", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    every = requests.select("query_id", F.explode(F.array(*(F.struct(F.lit(i + 1).alias("no"), F.lit(x).alias("section")) for i, x in enumerate(names)))).alias("x")).select("query_id", "x.*")
+    titles = F.element_at(F.create_map(*(F.lit(x) for p in zip(names, ["Symbols", "Graph Edges", "Source Snippets", "Warnings"], strict=True) for x in p)), F.col("section"))
+    heads = every.select("query_id", "no", F.lit(-1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("block"), F.concat(F.lit("## "), titles).alias("text"))
+    empty = every.join(parts.select("query_id", "section").distinct(), ["query_id", "section"], "left_anti").select("query_id", "no", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("block"), F.lit("- none").alias("text"))
+    top = requests.select("query_id", F.lit(0).alias("no"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("block"), F.concat(F.lit("# Code Trace Context\n\n## Intent\n\n"), F.coalesce("intent", F.lit("unknown")), F.lit("\n\n## Target\n\n"), F.coalesce("target", F.lit("unknown"))).alias("text"))
+    whole = top.unionByName(heads).unionByName(empty).unionByName(parts.select("query_id", "no", "bucket", "block", "text"))
+    return whole.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("no", "bucket", "block")).alias("part"), "text")
+
+
 def context_document(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, document): a text on a root, its type and its edges."""
     e = incident(edges, roots.select(F.col("root").alias("node"), "root"), "root")

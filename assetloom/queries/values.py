@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assetloom import fixtures as fx
-from assetloom.operators import lineage
+from assetloom.operators import lineage, search, traversal
 from assetloom.operators.resolution import expression_lookup
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -204,3 +204,73 @@ def _(s, d):
     calls = orders.select(key("order", "o_orderkey").alias("node"), F.lit(0).alias("ord"), F.lit("api").alias("kind"), text("GET ", "o_orderkey").alias("label"))
     depends = nation.select(F.lit("uses_hook").alias("type"), key("nation", "n_nationkey").alias("src"), key("region", "n_regionkey").alias("dst"), F.col("n_nationkey").cast("long").alias("k"))
     return lineage.value_trace(roots, nodes, depends, expression_lookup(nodes), expression_lookup(nodes, hook_inputs=False), locals_, flows, bindings, loops, parents, returns, calls)
+
+
+def _retrieval_tables(s, d):
+    """Customers are components, orders hooks, a nation is a route with its own file and its region's as layout. Orders have no file. Every fifth kind of request asks for what isn't there."""
+    c, n, r, o = (fx.read(s, d, t) for t in ("customer", "nation", "region", "orders"))
+
+    def nodes_of(df, kind, column, type_, label):
+        return df.select(key(kind, column).alias("node"), F.lit(type_).alias("type"), label.alias("label"), text(f"/{kind}/", column).alias("path"), F.lit(2).alias("start"), F.lit(3).alias("end"))
+
+    nodes = nodes_of(c, "customer", "c_custkey", "component", F.col("c_name")).unionByName(nodes_of(n, "nation", "n_nationkey", "layout", F.col("n_name"))).unionByName(nodes_of(r, "region", "r_regionkey", "layout", F.col("r_name"))).unionByName(nodes_of(o, "order", "o_orderkey", "hook", text("useOrder", "o_orderkey")))
+    file = lambda df, kind, column, label: df.select(text(f"/{kind}/", column).alias("path"), F.concat(F.lit("first\n"), F.col(label), F.lit("\nthird\nfourth")).alias("content"))
+    assets = file(c, "customer", "c_custkey", "c_name").unionByName(file(n, "nation", "n_nationkey", "n_name")).unionByName(file(r, "region", "r_regionkey", "r_name"))
+    routes = n.select(text("/n/", "n_nationkey").alias("route"), F.explode(F.array(text("/nation/", "n_nationkey"), text("/region/", "n_regionkey"))).alias("asset"))
+    q = _customers(s, d).withColumn("kind", F.col("m") % 5)
+    intent = F.when(F.col("kind") < 1, "component_trace").when(F.col("kind") == 1, "hook_trace").when(F.col("kind") == 2, "route_trace").when(F.col("kind") == 3, "component_trace").otherwise("other")
+    target = F.when(F.col("kind") < 1, F.col("c_name")).when(F.col("kind") == 1, text("useOrder", "o_first")).when(F.col("kind") == 2, text("n/", "c_nationkey", "/")).otherwise("nobody")
+    requests = q.select(F.col("c_custkey").alias("query_id"), intent.alias("intent"), target.alias("target"))
+    return requests, nodes, fx.g1_edges(s, d, ["contains", "has_customer", "places"]), assets, routes
+
+
+_RET = f"""{_C}, e AS (SELECT * FROM ({fx.G1_SQL}) WHERE type IN ('contains', 'has_customer', 'places')),
+nd AS (SELECT 'customer:' || c_custkey AS node, 'component' AS type, c_name AS label, '/customer/' || c_custkey AS path FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'layout', n_name, '/nation/' || n_nationkey FROM nation
+  UNION ALL SELECT 'region:' || r_regionkey, 'layout', r_name, '/region/' || r_regionkey FROM region UNION ALL SELECT 'order:' || o_orderkey, 'hook', 'useOrder' || o_orderkey, '/order/' || o_orderkey FROM orders),
+fs AS (SELECT '/customer/' || c_custkey AS path, c_name AS line FROM customer UNION ALL SELECT '/nation/' || n_nationkey, n_name FROM nation UNION ALL SELECT '/region/' || r_regionkey, r_name FROM region),
+q AS (SELECT c_custkey AS query_id, m % 5 AS kind, CASE m % 5 WHEN 1 THEN 'hook_trace' WHEN 2 THEN 'route_trace' WHEN 4 THEN 'other' ELSE 'component_trace' END AS intent, CASE m % 5 WHEN 0 THEN c_name WHEN 1 THEN 'useOrder' || o_first WHEN 2 THEN 'n/' || n_nationkey || '/' ELSE 'nobody' END AS target,
+  CASE m % 5 WHEN 0 THEN 'customer:' || c_custkey WHEN 1 THEN 'order:' || o_first END AS root, n_nationkey, r_regionkey FROM c),
+v AS (SELECT query_id, root, root AS node FROM q WHERE root IS NOT NULL UNION SELECT query_id, root, dst FROM q JOIN e ON src = root UNION SELECT query_id, root, src FROM q JOIN e ON dst = root),
+x AS (SELECT DISTINCT query_id, root, type, src, dst, k FROM v JOIN e ON node = src OR node = dst),
+y AS (SELECT query_id, root, src AS node, min({{'t': type, 'k': k}}) AS o FROM x GROUP BY ALL UNION ALL SELECT query_id, root, dst, min({{'t': type, 'k': k}}) FROM x GROUP BY ALL),
+z AS (SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY node <> root, min(o), node) AS ord FROM y GROUP BY query_id, root, node),
+rt AS (SELECT query_id, unnest(['nation:' || n_nationkey, 'region:' || r_regionkey]) AS node, unnest([1, 2]) AS ord FROM q WHERE kind = 2),
+sy AS (SELECT query_id, node, ord FROM z WHERE ord <= 8 UNION ALL FROM (SELECT query_id, node, ord FROM rt)),
+ff AS (SELECT DISTINCT query_id, path, dense_rank() OVER (PARTITION BY query_id ORDER BY path) AS rank FROM sy JOIN nd USING (node)),
+ret AS (
+  SELECT query_id, 'symbols' AS section, ord::BIGINT AS ord, node AS subject, '- ' || label || chr(10) || '  - id: ' || node || chr(10) || '  - type: ' || type || chr(10) || '  - file: ' || path || chr(10) || '  - lines: 2-3' AS value FROM sy JOIN nd USING (node)
+  UNION ALL SELECT query_id, 'edges', k, src, '- ' || src || ' --' || type || '--> ' || dst FROM (SELECT query_id, type, src, dst, k FROM x UNION SELECT query_id, type, src, dst, k FROM rt JOIN e ON node = src OR node = dst)
+  UNION ALL SELECT query_id, 'snippets', 2, path, '### ' || path || ':2-3' || chr(10) || chr(10) || '```tsx' || chr(10) || line || chr(10) || 'third' || chr(10) || '```' FROM ff JOIN fs USING (path)
+  UNION ALL SELECT query_id, 'warnings', 0, path, '- ' || path || ' can''t be read' FROM ff WHERE path NOT IN (SELECT path FROM fs)
+  UNION ALL SELECT query_id, 'warnings', 0, coalesce(target, 'unknown'), CASE WHEN kind = 4 THEN '- intent other isn''t supported' ELSE '- ' || coalesce(target, 'unknown') || ' not found' END FROM q WHERE kind > 2 OR (kind = 1 AND root IS NULL))"""
+
+
+@register("retrieval", f"WITH {_RET} SELECT * FROM ret")
+def _(s, d):
+    return search.retrieval(*_retrieval_tables(s, d))
+
+
+@register(
+    "retrieval_document",
+    f"""WITH {_RET}, p AS (SELECT query_id, list_position(['symbols', 'edges', 'snippets', 'warnings'], section) AS no, string_agg(value, chr(10) ORDER BY ord, subject, value) AS text FROM ret GROUP BY ALL)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY no, body))::INTEGER AS part, text FROM (
+  SELECT query_id, 0 AS no, 0 AS body, '# Code Trace Context' || chr(10) || chr(10) || '## Intent' || chr(10) || chr(10) || intent || chr(10) || chr(10) || '## Target' || chr(10) || chr(10) || coalesce(target, 'unknown') AS text FROM q
+  UNION ALL SELECT query_id, no, 0, '## ' || title FROM q, (VALUES (1, 'Symbols'), (2, 'Graph Edges'), (3, 'Source Snippets'), (4, 'Warnings')) t(no, title)
+  UNION ALL SELECT query_id, t.no, 1, coalesce(p.text, '- none') FROM q CROSS JOIN (VALUES (1), (2), (3), (4)) t(no) LEFT JOIN p USING (query_id, no))""",
+)
+def _(s, d):
+    tables = _retrieval_tables(s, d)
+    return search.retrieval_document(tables[0], search.retrieval(*tables))
+
+
+@register(
+    "impact_chains",
+    """WITH lo AS (SELECT DISTINCT l_partkey AS p, 'order:' || l_orderkey AS o FROM lineitem WHERE l_partkey % 20 = 0),
+w2 AS (SELECT p, 'customer:' || o_custkey AS c, min(lo.o) AS o FROM lo JOIN orders ON lo.o = 'order:' || o_orderkey GROUP BY ALL),
+w3 AS (SELECT p, 'nation:' || c_nationkey AS n, min(w2.c) AS c FROM w2 JOIN customer ON w2.c = 'customer:' || c_custkey GROUP BY ALL)
+SELECT 'part:' || p AS root, n AS node, 3 AS depth, 'part:' || p || ' <- ' || w2.o || ' <- ' || w3.c || ' <- ' || n AS chain FROM w3 JOIN w2 USING (p, c)""",
+)
+def _(s, d):
+    types = ["has_customer", "places", "contains_part"]
+    ends = fx.read(s, d, "nation").select(key("nation", "n_nationkey").alias("node"))
+    return traversal.impact_chains(fx.g1_edges(s, d, types), fx.g1_roots(s, d, "part"), types, ends)
