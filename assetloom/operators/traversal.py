@@ -345,6 +345,19 @@ def field_writers(edges: DataFrame, sites: DataFrame, roots: DataFrame) -> DataF
     return sites.join(scope, F.col("owner") == F.col("node")).join(wanted, (F.col("root") == F.col("of")) & (F.col("field") == F.col("wanted"))).select("root", "role", "owner", "line", "context").distinct()
 
 
+def traced_field_writers(edges: DataFrame, calls: DataFrame, effects: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, field, role, owner, line, context): what writes a field (role write) or reacts to it (trigger) in what a root reaches. roots: root, field.
+
+    calls: sites as for ``write_sites``; effects: owner, deps, context, line. Setters and lists of dependencies are compared within a root's scope only."""
+    from assetloom.operators.extraction import reactive_triggers, write_sites
+
+    scope = saved(walk(adjacency(edges), roots.select("root").distinct()).select("root", F.col("node").alias("owner")).join(roots.select("root", "field").distinct(), "root"))
+    written = write_sites(calls.join(scope, "owner"), F.col("field"), "root", "field").withColumn("role", F.lit("write"))
+    reacting = reactive_triggers(effects.join(scope, "owner"), F.col("field")).withColumn("role", F.lit("trigger"))
+    columns = ["root", "field", "role", "owner", "line", "context"]
+    return written.select(*columns).unionByName(reacting.select(*columns)).distinct()
+
+
 def trace_identifier(edges: DataFrame, nodes: DataFrame, expressions: DataFrame, lookup: DataFrame, types: list[str]) -> DataFrame:
     """expressions: expr_id, expression. The upstream trace of the node that each resolves to: (expr_id, identifier, node, depth, via, role)."""
     from assetloom.operators.resolution import resolve_expression

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from assetloom import fixtures as fx
-from assetloom.operators import incremental, resolution
+from assetloom.operators import graph, incremental, resolution
 from assetloom.plans.durable import shared_dir
 from assetloom.queries import site
 from assetloom.sources import assets as src
@@ -105,3 +105,23 @@ def _(s, d):
     end.write.mode("append").json(f"{path}/in")
     stream_steps(s, f"{path}/in", f"{path}/out", f"{path}/state", delay="1 day", idle_hours=24 * 365, drop_kinds=("error",)).awaitTermination()
     return s.read.parquet(f"{path}/out").select("owner", "kind", "ord", "rank")
+
+
+@register("scan_assets", "SELECT n_nationkey AS key, 'ts' AS language, sha256(n_name || chr(10) || n_regionkey || chr(10)) AS hash FROM nation WHERE n_nationkey % 2 = 0")
+def _(s, d):
+    """Nations written as text files, a folder each, and scanned again; the odd ones lie in a folder that is ignored. Other endings than js and jsx count as ts."""
+    path = folder(s)
+    n = fx.read(s, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "src").otherwise("dist").alias("top"), F.col("n_nationkey").alias("key"), F.concat_ws("\n", "n_name", F.col("n_regionkey").cast("string")).alias("value"))
+    n.write.partitionBy("top", "key").text(path)
+    found = src.scan_assets(s, [path], exts=("txt",), ignore=("top=dist",))
+    return found.select(F.regexp_extract("path", r"key=(\d+)/", 1).cast("int").alias("key"), "language", "hash")
+
+
+@register("resolved_value_sources", f"WITH {site._CT} SELECT dst AS src, 'c:' || ref_id AS dst, 'prop_source' AS type, 'p' AS prop, 'v' || ref_id AS value, (ref_id % 100)::BIGINT AS k, 'o' AS owner FROM ct WHERE dst IS NOT NULL")
+def _(s, d):
+    """Value sources whose targets are looked up in their expressions: an awaited call."""
+    r = site.name_refs(s, d)
+    node = lambda number, parent, kind, name: r.select(F.col("ref_id").alias("tree_id"), F.lit(number).alias("node_id"), F.lit(parent).cast("int").alias("parent_id"), F.lit(0).alias("ord"), kind.alias("kind"), name.alias("name"))
+    tree = node(0, None, F.lit("await"), F.lit("x")).unionByName(node(1, 0, F.lit("call"), F.col("callee")))
+    flows = r.select(F.col("ref_id").alias("flow_id"), F.concat(F.lit("c:"), F.col("ref_id").cast("string")).alias("child"), F.lit("p").alias("prop"), F.concat(F.lit("v"), F.col("ref_id").cast("string")).alias("value"), (F.col("ref_id") % 100).cast("long").alias("line"), F.lit("o").alias("owner"), "source")
+    return graph.resolved_value_sources(flows, tree, site.name_imports(s, d), site.part_symbols(s, d))

@@ -274,3 +274,18 @@ def _(s, d):
     types = ["has_customer", "places", "contains_part"]
     ends = fx.read(s, d, "nation").select(key("nation", "n_nationkey").alias("node"))
     return traversal.impact_chains(fx.g1_edges(s, d, types), fx.g1_roots(s, d, "part"), types, ends)
+
+
+@register(
+    "traced_field_writers",
+    """WITH o AS (SELECT 'nation:' || c_nationkey AS root, CASE WHEN c_nationkey % 2 = 0 THEN 'status' ELSE 'HIGH' END AS field, 'order:' || o_orderkey AS owner, o_orderkey % 100 AS line, o_orderstatus AS st, o_orderpriority AS p FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT DISTINCT root, field, 'write' AS role, owner, line, 'event' AS context FROM o WHERE st = 'O' OR (st = 'F' AND field = 'status')
+UNION SELECT root, field, 'trigger', owner, line, 'effect' FROM o WHERE (p LIKE '%HIGH' AND field = 'HIGH')""",
+)
+def _(s, d):
+    o = fx.read(s, d, "orders").select(key("order", "o_orderkey").alias("owner"), (F.col("o_orderkey") % 100).alias("line"), "o_orderstatus", "o_orderpriority")
+    callee = F.when(F.col("o_orderstatus") == "F", "api.setStatus").when(F.col("o_orderstatus") == "O", "store.set").otherwise("other")
+    calls = o.select("owner", callee.alias("callee"), F.lit("event").alias("context"), "line", callee.alias("expression"))
+    effects = o.select("owner", F.array(F.element_at(F.split("o_orderpriority", "-"), -1), F.lit("more")).alias("deps"), F.lit("effect").alias("context"), "line")
+    roots = fx.read(s, d, "nation").select(key("nation", "n_nationkey").alias("root"), F.when(F.col("n_nationkey") % 2 == 0, "status").otherwise("HIGH").alias("field"))
+    return traversal.traced_field_writers(fx.g1_edges(s, d, ["has_customer", "places"]), calls, effects, roots)
