@@ -137,3 +137,30 @@ def test_implied_edges_of_one_long_chain(spark):
     calls = spark.range(n).selectExpr("'calls' as type", "concat('n', id) as src", f"concat('n', (id * 7919 + 13) % {n}) as dst", "id as k")
     got = graph.drop_implied_edges(steps.unionByName(calls), ["next"], ["calls"]).where("type = 'calls'")
     assert got.count() == sum((i * 7919 + 13) % n <= i for i in range(n))
+
+
+def test_large_frontiers_go_to_the_edges(spark, monkeypatch):
+    """Without broadcasts: equal walks, hubs in parts, and no exchange of the edges in a round."""
+    from assetloom.plans import frontier
+
+    rng = random.Random(9)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(150)} | {(7, i) for i in range(60)}
+    steps = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    roots = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "root long")
+    edges = steps.selectExpr("'e' as type", "src", "dst")
+    want = sorted(map(tuple, frontier.walk(steps, roots).collect())), sorted(map(tuple, frontier.walk_with_parents(edges, roots).collect()), key=repr)
+    monkeypatch.setattr(frontier, "FEW", 0)
+    assert sorted(map(tuple, frontier.walk(steps, roots).collect())) == want[0]
+    assert sorted(map(tuple, frontier.walk_with_parents(edges, roots).collect()), key=repr) == want[1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        laid = frontier.Clustered(durable.saved(steps.selectExpr("src as from", "dst as next")), "from")
+        met = laid.met(durable.cut(roots.selectExpr("root", "root as node")), 10)
+        assert met.count() > 0 and laid.hubs.where("hub = 7 and parts > 1").count() == 1 and laid.layout.where("from = 7").select("part").distinct().count() > 1
+        met.collect()
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        round_ = plan[plan.index("== Final Plan ==") : plan.index("InMemoryTableScan")]
+        assert round_.count("Exchange hashpartitioning") == 1, plan  # the frontier's own
+        laid.clear()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
