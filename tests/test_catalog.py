@@ -109,6 +109,41 @@ def test_streams_equal_batches(spark, tmp_path):
     assert current_snapshot(spark, str(tmp_path / "snap"), 1).count() == 2 and current_snapshot(spark, str(tmp_path / "snap"), 0) is None
 
 
+def test_batches_write_what_they_change(spark, tmp_path):
+    """A hundred assets, then one of them: one shard is written, one asset extracted; and a driver lost between shard and manifest."""
+    from assetloom.streaming import index
+
+    drops, snap = tmp_path / "in", tmp_path / "snap"
+    drops.mkdir()
+    put = lambda name, rows_: (drops / name).write_text("\n".join(json.dumps({"path": p, "content": c, "version": v}) for p, c, v in rows_))
+    seen = []
+
+    def extract(df):
+        seen.append(df.count())
+        return df.selectExpr("path", "hash", "length(content) as size")
+
+    run = lambda **more: index.stream_index(spark, str(drops), str(snap), str(tmp_path / "ck"), shards=16, extract=extract, **more).awaitTermination(120)
+    put("0.json", [(f"p{i}", f"text {i}", 1) for i in range(100)])
+    run()
+    first = {x.name for x in (snap / "data").iterdir()}
+    put("1.json", [("p7", "another text", 2), ("p8", "text 8", 2), ("p9", "older", 0)])
+    run()
+    (second,) = {x.name for x in (snap / "data").iterdir()} - first
+    assert len(list((snap / "data" / second).glob("shard=*"))) == 1 and len(list((snap / "data" / next(iter(first))).glob("shard=*"))) > 10
+    assert seen == [100, 1]
+    now = {r.path: r.version for r in current_snapshot(spark, str(snap)).collect()}
+    assert len(now) == 100 and now["p7"] == 2 and now["p8"] == 1
+    facts = {r.path: r["size"] for r in index.current_facts(spark, str(snap)).collect()}
+    assert len(facts) == 100 and facts["p7"] == len("another text")
+    (snap / "data" / "2-lost" / "shard=3").mkdir(parents=True)  # shards without a manifest
+    (snap / "batch-2").mkdir()
+    assert len(current_snapshot(spark, str(snap)).collect()) == 100
+    put("2.json", [("p7", "last", 3), ("new", "x", 1)])
+    run(keep=1)
+    now = {r.path: r.version for r in current_snapshot(spark, str(snap)).collect()}
+    assert len(now) == 101 and now["p7"] == 3 and {x.name for x in snap.glob("batch-*")} == {"batch-2"}
+
+
 def test_steps_by_event_time(spark, tmp_path):
     """Out of order and late rows, owners that close at different times and one that comes back; equal to the batch operator."""
     from assetloom.operators import graph
