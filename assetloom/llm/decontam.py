@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-WIDTH, RADIUS, LEAST = 5, 12, 0.75
+#: Of four blocks, one differs in three bits at most up to a radius of 15.
+WIDTH, RADIUS, LEAST = 5, 15, 0.75
 #: Blocks of a fingerprint.
 BLOCKS = 4
 #: Rows of narrow columns (32 bytes) that may be broadcast; index rows, which are wider in memory.

@@ -9,7 +9,7 @@ built. The frontier is joined with the edges of its nodes. A state without edits
 replaces or inserts it (deletions are the other word's insertions); a state with an edit takes the edge that its word goes on with. A state that has used up its word at a
 node where a word ends makes the two neighbours. So a pair is found where the words first differ, once in each direction.
 
-An edge also says, in 64 bits, what the words behind it may end with; a state that can't end is not written. A node has no more edges
+An edge also says, in twice 64 bits, what the words behind it may end with; a state that can't end is not written. A node has no more edges
 than there are characters, so a node that very many words pass is a join key with few rows on that
 side, which Spark may split; words are never paired within a group. The walk takes as many rounds as the second half of a word has nodes, and its frontier soon shrinks.
 Nodes are numbered by a hash of their prefix; should two words that end there share a number the trie is built anew with another
@@ -107,9 +107,10 @@ def _batch(ids, backs, ks, nodes, following) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(backs, pa.bool_()), pa.array(ks, pa.int32()), pa.array(nodes, pa.int64()), pa.array(following, pa.int32())], names=["id", "back", "k", "node", "next"])
 
 
-def _ending(s: str, k: str) -> str:
-    """SQL for a bit of what is left of a text after k characters: of its first 24 and its length."""
-    return f"shiftleft(1L, cast(pmod(xxhash64(substring({s}, {k} + 1, 24)) + length({s}) - {k}, 64) as int))"
+def _ending(s: str, k: str, second: bool = False) -> str:
+    """SQL for one of two bits of what is left of a text after k characters: of its first 24 and its length."""
+    h = f"xxhash64(substring({s}, {k} + 1, 24))"
+    return f"shiftleft(1L, cast(pmod({f'shiftrightunsigned({h}, 24)' if second else h} + length({s}) - {k}, 64) as int))"
 
 
 #: The word of a row, read in its direction.
@@ -117,7 +118,7 @@ _READ = "if(back, reverse(word), word)"
 
 
 def _trie(words: DataFrame, scratch: Scratch, base: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Paths (word, n, back, ks: places and nodes) and edges (at, first, tail, len, child, ends, t_word, t_n) of the words (id, word, n) from both ends."""
+    """Paths (word, n, back, ks: places and nodes) and edges (at, first, tail, len, child, ends, ends2, t_word, t_n) of the words (id, word, n) from both ends."""
     for seed in count() if base is None else (base, 0):
         found = scratch.saved(words.select("id", "word").mapInArrow(_prefixes(0x9E3779B97F4A7C15 + 2 * seed if base is None or not seed else seed), "id long, back boolean, k int, node long, next int"))
         ends = F.when(F.col("next") == -1, F.col("id"))
@@ -129,9 +130,9 @@ def _trie(words: DataFrame, scratch: Scratch, base: int | None = None) -> tuple[
     paths = scratch.saved(path.join(words, "id").select("word", "n", "back", "ks"))
     steps = paths.select("word", "n", "back", F.expr(_READ).alias("s"), F.explode(F.expr("transform(slice(ks, 1, size(ks) - 1), (x, i) -> struct(x.node as node, x.k as k, ks[i + 1].node as child, ks[i + 1].k as to))")).alias("x"))
     last = F.col("x.to") == F.length("s")
-    steps = steps.select("x.node", F.expr("substring(s, x.k + 1, x.to - x.k)").alias("label"), "x.child", F.expr(_ending("s", "x.to")).alias("ending"), F.when(last, F.col("word")).alias("t_word"), F.when(last, F.col("n")).alias("t_n"))
-    edges = steps.groupBy("node", "label", "child").agg(F.expr("bit_or(ending)").alias("ends"), F.max("t_n").alias("t_n"), F.max("t_word").alias("t_word"))
-    return paths, scratch.saved(edges.selectExpr("node as at", "substring(label, 1, 1) as first", "substring(label, 2) as tail", "length(label) as len", "child", "ends", "t_word", "t_n"))
+    steps = steps.select("x.node", F.expr("substring(s, x.k + 1, x.to - x.k)").alias("label"), "x.child", F.expr(_ending("s", "x.to")).alias("ending"), F.expr(_ending("s", "x.to", True)).alias("ending2"), F.when(last, F.col("word")).alias("t_word"), F.when(last, F.col("n")).alias("t_n"))
+    edges = steps.groupBy("node", "label", "child").agg(F.expr("bit_or(ending)").alias("ends"), F.expr("bit_or(ending2)").alias("ends2"), F.max("t_n").alias("t_n"), F.max("t_word").alias("t_word"))
+    return paths, scratch.saved(edges.selectExpr("node as at", "substring(label, 1, 1) as first", "substring(label, 2) as tail", "length(label) as len", "child", "ends", "ends2", "t_word", "t_n"))
 
 
 def neighbours(words: DataFrame, scratch: Scratch, base: int | None = None) -> DataFrame:
@@ -141,9 +142,9 @@ def neighbours(words: DataFrame, scratch: Scratch, base: int | None = None) -> D
     seeds = seeds.selectExpr("s", "n", "back", "x.k as pos", "x.node as node", "substring(s, x.k + 1, 1) as now", "0 as edits")
     replaced, inserted = "struct(pos + len as pos, false as inserted)", "struct(pos + len - 1 as pos, true as inserted)"
     met = seeds.join(edges, (F.col("node") == F.col("at")) & (F.col("now") != F.col("first")))
-    met = met.selectExpr("s", "n", "back", "pos", "len", "child", "ends", "t_word", "t_n", "pos < length(s) and substring(s, pos + 2, len - 1) = tail as r", "substring(s, pos + 1, len - 1) = tail as i").where("r or i")
-    met = met.select("s", "n", "back", "child", "ends", "t_word", "t_n", F.explode(F.expr(f"if(r and i, array({replaced}, {inserted}), array(if(r, {replaced}, {inserted})))")).alias("to"))
-    step, found = _step(met.selectExpr("s", "n", "back", "child", "ends", "t_word", "t_n", "to.*"), scratch), []
+    met = met.selectExpr("s", "n", "back", "pos", "len", "child", "ends", "ends2", "t_word", "t_n", "pos < length(s) and substring(s, pos + 2, len - 1) = tail as r", "substring(s, pos + 1, len - 1) = tail as i").where("r or i")
+    met = met.select("s", "n", "back", "child", "ends", "ends2", "t_word", "t_n", F.explode(F.expr(f"if(r and i, array({replaced}, {inserted}), array(if(r, {replaced}, {inserted})))")).alias("to"))
+    step, found = _step(met.selectExpr("s", "n", "back", "child", "ends", "ends2", "t_word", "t_n", "to.*"), scratch), []
     while True:
         found.append(step.where("done"))
         frontier = step.where("not done").selectExpr("s", "n", "back", "pos", "node", "inserted", "substring(s, pos + 1, 1) as now")
@@ -152,7 +153,7 @@ def neighbours(words: DataFrame, scratch: Scratch, base: int | None = None) -> D
             break
         side = F.broadcast(frontier) if size <= FEW else frontier
         met = side.join(edges, (F.col("node") == F.col("at")) & (F.col("now") == F.col("first"))).where("substring(s, pos + 2, len - 1) = tail")
-        step = _step(met.selectExpr("s", "n", "back", "child", "ends", "t_word", "t_n", "pos + len as pos", "inserted"), scratch)
+        step = _step(met.selectExpr("s", "n", "back", "child", "ends", "ends2", "t_word", "t_n", "pos + len as pos", "inserted"), scratch)
     pairs = reduce(DataFrame.unionByName, found).selectExpr("if(back, reverse(s), s) as word", "n", "inserted", "near", "near_n").where("levenshtein(word, near, 1) = 1")
     both = F.when(F.col("inserted"), F.array(F.struct("word", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))).otherwise(F.array(F.struct("word", "near", "near_n")))
     return pairs.select(F.explode(both).alias("p")).select("p.*").repartition("word").distinct()
@@ -161,7 +162,7 @@ def neighbours(words: DataFrame, scratch: Scratch, base: int | None = None) -> D
 def _step(met: DataFrame, scratch: Scratch) -> DataFrame:
     """The states with one edit that a round has led to, without those that can't end; ``done`` where word and path both end."""
     done = "pos = length(s)"
-    met = met.where(f"if({done}, t_word is not null, (ends & {_ending('s', 'pos')}) != 0)")
+    met = met.where(f"if({done}, t_word is not null, (ends & {_ending('s', 'pos')}) != 0 and (ends2 & {_ending('s', 'pos', True)}) != 0)")
     return scratch.saved(met.selectExpr("s", "n", "back", "pos", "child as node", "inserted", "1 as edits", f"{done} as done", f"if({done}, t_word, null) as near", f"if({done}, t_n, null) as near_n"))
 
 

@@ -1,6 +1,6 @@
 import random
 
-from assetloom.llm.decontam import contaminated, remove_contaminated
+from assetloom.llm.decontam import RADIUS, contaminated, remove_contaminated
 
 
 def bag(w):
@@ -57,7 +57,7 @@ def test_against_brute_force(spark):
     got = contaminated(a, b).collect()
     want = brute(docs, items)
     assert {(r.doc, r.item) for r in got} == want and len(got) == len(want) > 20
-    assert all(r.similarity >= 0.75 and r.hamming <= 12 for r in got)
+    assert all(r.similarity >= 0.75 and r.hamming <= RADIUS for r in got)
     kept = remove_contaminated(a, b)
     assert kept.columns == a.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert contaminated(a.where("false"), b).count() == 0 and contaminated(a, b.where("false")).count() == 0
@@ -83,7 +83,7 @@ def test_repeated_rows_and_null_ids(spark):
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     from pyspark.sql import functions as F
 
-    from assetloom.llm.decontam import RADIUS, _blocks, _probes
+    from assetloom.llm.decontam import _blocks, _probes
 
     rng = random.Random(3)
     pairs = []
