@@ -176,3 +176,20 @@ def test_symbol_lines(spark):
     assert rows(got, "id", "ord", "start_line", "end_line", "signature", "name") == [
         (1, 0, 2, 4, "one() {", "one() { a"), (1, 1, 6, 6, "two(b) { ", "two(b) {"), (1, 2, 7, 7, "one() {again", "one() {again"), (1, 3, 7, 8, "three() {", "three() {"), (4, 0, 1, 1, "one() {", "one() {"),
     ]
+
+
+def test_entity_map_deals_the_symbols_of_a_path(spark, monkeypatch):
+    from assetloom import catalogue
+
+    monkeypatch.setattr(src, "TASK_CHARS", 1000, raising=False)
+    out = catalogue.QUERIES["export_entity_map"](spark, "/root/testdata/sf0.01").withColumn("task", F.spark_partition_id())
+    long = out.where(F.col("md").contains("Uses hooks")).groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).where("n > 10")
+    assert long.count() and long.agg(F.min("tasks")).first()[0] > 1
+
+
+def test_entity_map_of_groups(spark):
+    sy = spark.createDataFrame([("b", "p", "component"), ("a", "p", "hook"), ("c", "q", "component"), ("d", None, "component"), ("e", "p", None)], "name string, path string, type string")
+    entries = spark.createDataFrame([("p", "h2"), ("p", "h1"), (None, "h3")], "path string, entry string")
+    got = {r["name"]: r["md"] for r in src.entity_map_of_groups(sy, entries, "Uses hooks", F.col("type") == "component").collect()}
+    head = "## {}\n\nFile:\n\n- {}\n"
+    assert got == {"b": head.format("b", "p") + "\nUses hooks:\n\n- h1\n- h2\n", "a": head.format("a", "p"), "c": head.format("c", "q"), "e": head.format("e", "p")}
