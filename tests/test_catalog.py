@@ -180,8 +180,9 @@ def test_symbol_lines(spark):
 
 def test_entity_map_deals_the_symbols_of_a_path(spark, monkeypatch):
     from assetloom import catalogue
+    from assetloom.plans import blocks
 
-    monkeypatch.setattr(src, "TASK_CHARS", 1000, raising=False)
+    monkeypatch.setattr(blocks, "TASK_CHARS", 1000)
     out = catalogue.QUERIES["export_entity_map"](spark, "/root/testdata/sf0.01").withColumn("task", F.spark_partition_id())
     long = out.where(F.col("md").contains("Uses hooks")).groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).where("n > 10")
     assert long.count() and long.agg(F.min("tasks")).first()[0] > 1
@@ -193,3 +194,16 @@ def test_entity_map_of_groups(spark):
     got = {r["name"]: r["md"] for r in src.entity_map_of_groups(sy, entries, "Uses hooks", F.col("type") == "component").collect()}
     head = "## {}\n\nFile:\n\n- {}\n"
     assert got == {"b": head.format("b", "p") + "\nUses hooks:\n\n- h1\n- h2\n", "a": head.format("a", "p"), "c": head.format("c", "q"), "e": head.format("e", "p")}
+
+
+def test_symbol_hints_deal_the_queries_that_ask_the_same(spark, monkeypatch):
+    from assetloom.plans import blocks
+
+    monkeypatch.setattr(blocks, "TASK_CHARS", 200)
+    syms = spark.range(40).selectExpr("concat('s', id) as symbol", "'Card' as name", "'component' as type", "concat('p', id % 2) as path", "id as ord")
+    asked = spark.range(60).selectExpr("id as query_id", "if(id < 50, 'Card', if(id < 55, 'None', null)) as name", "'component' as type", "if(id % 2 = 0, cast(null as string), if(id < 40, 'p1', '')) as hint")
+    got = resolution.resolve_symbol_hint(asked, syms).withColumn("task", F.spark_partition_id())
+    even, odd = [f"s{i}" for i in range(0, 40, 2)], [f"s{i}" for i in range(1, 40, 2)]
+    want = sorted((q, (odd if q % 2 and q < 40 else even)[0], 20 if q % 2 and q < 40 else 40, ",".join((odd if q % 2 and q < 40 else even + odd)[1:])) for q in range(50))
+    assert rows(got, "query_id", "symbol", "n", "others") == want
+    assert got.where("query_id % 2 = 0").select("task").distinct().count() > 1
