@@ -225,3 +225,18 @@ def test_route_scopes(spark):
     assert rows(scopes, "root", "k") == [("c:A", 1), ("c:A", 3), ("c:A", 4)] + [("c:Both", i) for i in range(1, 6)]
     every = traversal.composition_scope(edges, asked, scopes, ["renders"], ["renders"])
     assert [k for r, k in rows(every, "root", "k") if r == "c:Y"] == [6] and {k for r, k in rows(every, "root", "k") if r == "c:Deep"} == {1, 3}
+
+
+def test_prune_to_sink_meets_no_hub_with_all_its_edges(spark):
+    """A hub with 3,000 edges above each of 300 sinks; meeting the kept hub with all that leaves it would make 900,000 rows."""
+    from assetloom.operators import traversal
+
+    edges = spark.range(3000).selectExpr("'e' as type", "'hub' as src", "concat('n', id) as dst", "id as k")
+    edges = edges.unionByName(edges.where("k < 5")).unionByName(spark.createDataFrame([("e", "n1", "hub", -1), ("e", None, "n1", -2), ("e", "n2", None, -3)], "type string, src string, dst string, k long"))
+    sinks = spark.range(300).selectExpr("concat('n', id) as root")
+    out = traversal.prune_to_sink(edges, sinks)
+    got = {tuple(r) for r in out.select("root", "type", "src", "dst", "k").collect()}
+    want = {(f"n{r}", "e", "hub", f"n{d}", d) for r in range(300) for d in {r, 1}} | {(f"n{r}", "e", "n1", "hub", -1) for r in range(300)}
+    assert got == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
