@@ -83,13 +83,13 @@ def edges_sequence(steps: DataFrame, drop_kinds: list[str]) -> DataFrame:
 
 
 def merge_steps(ranks: dict[str, int], *steps: DataFrame) -> DataFrame:
-    """Steps of several kinds as one numbered sequence per owner, by place and rank of the kind."""
+    """Steps of several kinds as one numbered sequence per owner, by place, rank of the kind, order and kind."""
     out = steps[0]
     for s in steps[1:]:
         out = out.unionByName(s)
     p = F.create_map(*(x for t, n in ranks.items() for x in (F.lit(t), F.lit(n))))
     out = out.withColumn("rank", F.coalesce(F.try_element_at(p, F.col("kind")), F.lit(len(ranks))))
-    return out.withColumn("number", F.row_number().over(Window.partitionBy("owner").orderBy("place", "rank", "ord")))
+    return out.withColumn("number", F.row_number().over(Window.partitionBy("owner").orderBy("place", "rank", "ord", "kind")))
 
 
 def edges_dynamic(refs: DataFrame, symbols: DataFrame, prefer: str = "component") -> DataFrame:

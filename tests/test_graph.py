@@ -240,3 +240,17 @@ def test_prune_to_sink_meets_no_hub_with_all_its_edges(spark):
     assert got == want and out.count() == len(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_merge_steps_agrees_with_its_sql_on_ends_of_days_and_ties(spark, tmp_path):
+    import duckdb
+
+    from assetloom import catalogue
+
+    values = ", ".join(f"({i}, TIMESTAMP '{t}', 1, '{k}')" for i, t, k in [(1, "2024-01-01 23:59:59.7", "view"), (2, "2024-01-02 00:00:00", "error"), (3, "2024-01-02 01:00:00", "view"), (3, "2024-01-02 01:00:00", "search"), (4, "1969-12-31 23:00:00", "click")])
+    db = duckdb.connect()
+    db.execute(f"CREATE TABLE events AS SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, 0.0::DOUBLE AS value, '' AS props FROM (VALUES {values}) t(event_id, ts, user_id, event_type)")
+    db.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = [tuple(r) for r in catalogue.QUERIES["merge_steps"](spark, str(tmp_path)).orderBy("number").collect()]
+    assert got == db.execute(f"SELECT * FROM ({catalogue.ORACLE_SQL['merge_steps']}) ORDER BY number").fetchall()
+    assert [r[3] for r in got] == ["click", "view", "error", "search", "view"]
