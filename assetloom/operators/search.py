@@ -139,11 +139,12 @@ PART = 500
 def retrieval_document(requests: DataFrame, retrieved: DataFrame) -> DataFrame:
     """(query_id, part, text): the document of each request in parts, to be read one after the other: intent and target, then symbols, edges, snippets and warnings.
 
-    A part has ``PART`` entries at most, so a hub's edges are never in one row; sections with very many entries are divided by a hash of their subject before they are numbered."""
+    A part has ``PART`` entries at most, so a hub's edges are never in one row; sections of more than ten parts are divided before they are numbered, by the first 32 bits of the MD5 of the subject."""
     names = ["symbols", "edges", "snippets", "warnings"]
     number = F.array_position(F.array(*(F.lit(x) for x in names)), F.col("section"))
+    hashed = F.conv(F.substring(F.md5(F.coalesce("subject", F.lit(""))), 1, 8), 16, 10).cast("long")
     counted = retrieved.groupBy("query_id", "section").agg(F.count(F.lit(1)).alias("n"))
-    rows = retrieved.join(counted, ["query_id", "section"]).withColumn("bucket", F.pmod(F.xxhash64("subject"), F.ceil(F.col("n") / (10 * PART))))
+    rows = retrieved.join(counted, ["query_id", "section"]).withColumn("bucket", F.pmod(hashed, F.ceil(F.col("n") / (10 * PART))))
     w = Window.partitionBy("query_id", "section", "bucket").orderBy("ord", "subject", "value")
     rows = rows.withColumn("rn", F.row_number().over(w)).withColumn("block", F.floor((F.col("rn") - 1) / PART))
     parts = rows.groupBy("query_id", number.cast("int").alias("no"), "section", "bucket", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]), "\n").alias("text"))

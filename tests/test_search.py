@@ -80,3 +80,23 @@ def test_random_terms_by_a_search_for_few_pieces_and_by_an_index(spark, monkeypa
     for bound in (64, 0):
         monkeypatch.setattr(search, "FEW_PIECES", bound, raising=False)
         assert rows(search.search_graph(corpus, queries), "query_id", "rank", "kind", "id") == sorted(want, key=repr)
+
+
+def test_retrieval_document_agrees_with_its_sql_in_parts_and_buckets(spark, tmp_path):
+    import shutil
+
+    import duckdb
+
+    from assetloom import catalogue
+
+    db, small = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("nation", "region", "orders", "customer", "supplier", "lineitem"):
+        shutil.copy(f"{small}/{t}.parquet", tmp_path)
+    kept = f"SELECT * FROM '{small}/customer.parquet' WHERE c_custkey < 100 UNION ALL SELECT 101 + 2 * i, 'more' || i, 3, 0, 'x' FROM range(5200) r(i)"
+    db.execute(f"COPY (SELECT c_custkey::BIGINT AS c_custkey, c_name, 3::INTEGER AS c_nationkey, c_acctbal::DOUBLE AS c_acctbal, c_mktsegment FROM ({kept})) TO '{tmp_path}/more.parquet'")
+    shutil.copy(f"{tmp_path}/more.parquet", f"{tmp_path}/customer.parquet")
+    for t in ("nation", "region", "orders", "customer", "supplier", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = sorted(map(tuple, catalogue.QUERIES["retrieval_document"](spark, str(tmp_path)).collect()))
+    assert got == sorted(db.execute(catalogue.ORACLE_SQL["retrieval_document"]).fetchall())
+    assert max(part for _, part, _ in got) > 15
