@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.operators import extraction, traversal
+from assetloom.operators import extraction
 from assetloom.plans.durable import saved
-from assetloom.plans.frontier import few, incident
+from assetloom.plans.frontier import adjacency, few, incident, walk
 from assetloom.plans.ranked import top_by
 
 
@@ -82,9 +82,20 @@ def search_graph(corpus: DataFrame, queries: DataFrame, limit: int = 40, index:
 
 def retrieve_context(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 8) -> DataFrame:
     """(root, ord, node, label, path): a root and the nodes around it, in the order of their edges, the first ``limit``."""
-    e = saved(traversal.expand_khop(edges, roots, depth))
-    ends = e.select("root", F.col("src").alias("node"), "type", "k").unionByName(e.select("root", F.col("dst").alias("node"), "type", "k"))
-    first = ends.groupBy("root", "node").agg(F.min(F.struct("type", "k")).alias("o"))
+    return _context(nodes, edges, saved(_inner(edges, roots, depth)), limit)
+
+
+def _inner(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, node): the nodes whose edges are within ``depth`` of a root."""
+    return walk(adjacency(edges, "both"), roots.select("root"), depth - 1).select("root", "node")
+
+
+def _context(nodes: DataFrame, edges: DataFrame, inner: DataFrame, limit: int) -> DataFrame:
+    """``retrieve_context`` of the nodes whose edges count. What is first around a root is first around one of these nodes, so the first ``limit`` and one (the root itself) of each node suffice, however many edges it has."""
+    ends = F.explode(F.array(*(F.struct(F.col(x).alias("at"), F.col(y).alias("near")) for x in ("src", "dst") for y in ("src", "dst"))))
+    each = edges.select("type", "k", ends.alias("x")).select("x.at", "x.near", "type", "k").where("at is not null and near is not null")
+    tops = top_by(each.groupBy("at", "near").agg(F.min(F.struct("type", "k")).alias("o")), ["at"], ["o", "near"], limit + 1, "place")
+    first = inner.join(tops, F.col("node") == F.col("at")).groupBy("root", F.col("near").alias("node")).agg(F.min("o").alias("o"))
     ranked = top_by(first, ["root"], [F.col("node") != F.col("root"), "o", "node"], limit, "ord")
     return ranked.join(nodes.select("node", "label", "path"), "node").select("root", "ord", "node", "label", "path")
 
@@ -112,14 +123,14 @@ def retrieval(requests: DataFrame, nodes: DataFrame, edges: DataFrame, assets: D
     named_route = saved(asked.join(files, "route").select("query_id", "asset").distinct())
     of_route = saved(named_route.join(nodes, F.col("asset") == F.col("path")).select("query_id", "node").distinct())
 
-    near = retrieve_context(nodes, edges, roots, depth, limit).select(F.col("root").alias("of"), "ord", "node")
+    inner = saved(_inner(edges, roots, depth))
+    near = _context(nodes, edges, inner, limit).select(F.col("root").alias("of"), "ord", "node")
     numbered = of_route.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("node")))
     symbols = saved(found.join(near, F.col("root") == F.col("of")).select("query_id", "ord", "node").unionByName(numbered.select("query_id", "ord", "node")).join(nodes, "node"))
     lines = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("-"), F.col(b).cast("string"))
     listed = symbols.select("query_id", F.lit("symbols").alias("section"), F.col("ord").cast("long").alias("ord"), F.col("node").alias("subject"), F.concat(F.lit("- "), "label", F.lit("\n  - id: "), "node", F.lit("\n  - type: "), "type", F.lit("\n  - file: "), "path", F.lit("\n  - lines: "), lines("start", "end")).alias("value"))
-    around = traversal.expand_khop(edges, roots, depth).select(F.col("root").alias("of"), "type", "src", "dst", "k")
-    met = found.join(around, F.col("root") == F.col("of")).select("query_id", "type", "src", "dst", "k")
-    met = met.unionByName(incident(edges, of_route, "query_id").select("query_id", "type", "src", "dst", "k")).distinct()
+    at = found.join(inner.select(F.col("root").alias("of"), "node"), F.col("root") == F.col("of")).select("query_id", "node").unionByName(of_route)
+    met = incident(edges.select("type", "src", "dst", "k"), at, "query_id")
     arrows = met.select("query_id", F.lit("edges").alias("section"), F.col("k").alias("ord"), F.col("src").alias("subject"), F.concat(F.lit("- "), "src", F.lit(" --"), "type", F.lit("--> "), "dst").alias("value"))
     cuts = saved(extraction.source_snippets(symbols.where(F.col("ord") <= limit).select(F.col("query_id").alias("owner"), "path", "start", "end"), assets.select("path", "content"), "path", limit))
     snippets = cuts.where("warning is null").select(F.col("owner").alias("query_id"), F.lit("snippets").alias("section"), F.col("start").cast("long").alias("ord"), F.col("path").alias("subject"), F.concat(F.lit("### "), "path", F.lit(":"), lines("start", "end"), F.lit("\n\n```tsx\n"), "text", F.lit("\n```")).alias("value"))

@@ -100,3 +100,25 @@ def test_retrieval_document_agrees_with_its_sql_in_parts_and_buckets(spark, tmp_
     got = sorted(map(tuple, catalogue.QUERIES["retrieval_document"](spark, str(tmp_path)).collect()))
     assert got == sorted(db.execute(catalogue.ORACLE_SQL["retrieval_document"]).fetchall())
     assert max(part for _, part, _ in got) > 15
+
+
+def test_context_of_hubs_is_found_without_their_expansion(spark):
+    rng = random.Random(3)
+    edges = [(rng.choice("ab"), f"n{rng.randint(0, 12)}", f"n{rng.randint(0, 40)}", k) for k in range(150)]
+    e = spark.createDataFrame(edges, "type string, src string, dst string, k long")
+    nodes = spark.range(41).selectExpr("concat('n', id) as node", "'x' as label", "'y' as path")
+    roots = spark.range(41).selectExpr("concat('n', id) as root")
+    want = []
+    for depth, limit in ((1, 3), (2, 4)):
+        for r in (f"n{i}" for i in range(41)):
+            inner = {r}
+            for _ in range(depth - 1):
+                inner |= {d for _, s, d, _ in edges if s in inner} | {s for _, s, d, _ in edges if d in inner}
+            first = {}
+            for kind, s, d, k in edges:
+                if s in inner or d in inner:
+                    for x in (s, d):
+                        first[x] = min(first.get(x, (kind, k)), (kind, k))
+            want += [(depth, r, i, x) for i, x in enumerate(sorted(first, key=lambda x: (x != r, first[x], x))[:limit], 1)]
+    got = [(depth, *x) for depth, limit in ((1, 3), (2, 4)) for x in rows(search.retrieve_context(nodes, e, roots, depth, limit), "root", "ord", "node")]
+    assert sorted(got) == sorted(want)
