@@ -1,23 +1,26 @@
 """Line dedup: passages that stand elsewhere before go, all but their first place.
 
-``dedup_passages`` compares windows of a text at every line. Its units are the lines with words; a line
+Texts are cut into chunks by their content: a rolling hash over the hashes of ``WINDOW`` lines is kept at
+every line, and a line whose rolling hash is a local minimum opens a chunk (two lines at least, but for the first and
+last chunk of a text). Chunks that stand elsewhere before go first (``dedup_lines`` does this alone). A shared run that begins and ends within chunks keeps its ends,
+and one that holds no whole chunk stays.
+
+``dedup_passages`` therefore goes on from the chunks that went: windows are laid at every unit that isn't in one of them, and those that recur
+extend what goes to both ends of each shared run, and find the runs without a whole chunk. Its units are the lines with words; a line
 of more than ``LONG`` words is divided into pieces, where the hash of what follows a word's beginning is
 the least among its neighbours, so that a passage within such lines is divided the same way wherever it
 stands. Any two neighbouring units are a window, and so is an undivided line of ``ALONE`` words or more. As windows
 begin at every unit, the windows that recur cover every shared run of whole lines from end to end. A run that
 begins or ends within a long line is covered but for the pieces at its ends. Lines may also be left undivided
-(``divide``): what they share in part is then left to a later search for near copies.
-
-``dedup_lines`` compares chunks instead, which don't overlap: a rolling hash over the hashes of ``window``
-lines is kept at every line, and a line whose rolling hash is a local minimum opens a chunk (two lines at least,
-but for the first and last chunk of a text). It is cheaper and misses what no whole chunk lies in.
+(``divide``): what they share in part is then left to a later search for near copies. No first place of a window lies in a chunk that
+went: the chunk's own first place is before it.
 
-Windows that occur elsewhere by hash are fetched and compared byte by byte; of equal ones the
+Chunks and windows that occur elsewhere by hash are fetched and compared byte by byte; of equal ones the
 first, by document and position, stays and the others are removed. What is removed stands
 unchanged at an earlier place, so the first place of every unit is never lost.
 
-Only hashes are shuffled for all windows. Texts are joined twice, by document: to fetch the windows
-whose hash repeats, and to remove lines. Counts per window are combined before they are shuffled, so
+Only hashes are shuffled for all chunks and windows. Texts are joined by document: to fetch the chunks
+whose hash repeats, to leave out what went, to fetch the windows, and to remove lines. Counts per window are combined before they are shuffled, so
 a passage that a third of all documents share is no hot spot; what they are joined with has one row a
 key and is written first, so that adaptive execution can split the joins.
 
@@ -30,6 +33,7 @@ gives no rows; further columns are carried along (``keep_cols``) and never read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -56,12 +60,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def chunk_bounds(lines: list[str], window: int = WINDOW, longest: int = LONGEST) -> list[int]:
+def chunk_bounds(lines: list[str] | list[bytes], window: int = WINDOW, longest: int = LONGEST) -> list[int]:
     """Where chunks begin, and the number of lines at the end. No chunk is longer than ``longest`` lines."""
     n = len(lines)
     if n == 0:
         return [0]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, n)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, n)
     rolling = np.zeros(n, np.uint64)
     for k in range(min(window, n)):
         rolling[k:] = rolling[k:] * np.uint64(0x9E3779B97F4A7C15) + hashes[: n - k] * np.uint64(2 * k + 1)
@@ -134,13 +138,47 @@ def _chunk_spans(text: bytes) -> tuple[list[int], list[int]]:
     return [at[a] for a, _, _ in found], [at[z] - 1 for _, z, _ in found]
 
 
+def passage_chunks(text: bytes) -> tuple[list[int], list[int]]:
+    """The chunks of ``dedup_passages``: those with two lines with words, from the first to the last of these."""
+    lines = text.split(b"\n")
+    begins: list[int] = []
+    ends: list[int] = []
+    if len(lines) < 2:
+        return begins, ends
+    at, k = 0, 0
+    for z in chunk_bounds(lines)[1:]:
+        held = []
+        for line in lines[k:z]:
+            if line.strip():
+                held.append((at, at + len(line)))
+            at += len(line) + 1
+        if len(held) > 1:
+            begins.append(held[0][0])
+            ends.append(held[-1][1])
+        k = z
+    return begins, ends
+
+
+def outside(begins: list[int], ends: list[int], gone: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """The windows that don't lie in one of ``gone``, which don't overlap."""
+    gone = sorted(gone)
+    starts = [a for a, _ in gone]
+    left = [(a, z) for a, z in zip(begins, ends, strict=True) if not (k := bisect_right(starts, a)) or z > gone[k - 1][1]]
+    return [a for a, _ in left], [z for _, z in left]
+
+
 def _hashes(spans: Spans) -> Callable:
+    """Of (uid, text), or of (uid, text, gone): without the spans that lie in ``gone``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for b in slices(batches):
             counts, begins, ends, h = [], [], [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
+            gone = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            for t, g in zip(b.column(1).cast(pa.binary()).to_pylist(), gone, strict=True):
                 x, y = spans(t or b"")
+                if g:
+                    x, y = outside(x, y, _bounds(g))
                 counts.append(len(x))
                 begins += x
                 ends += y
@@ -205,12 +243,10 @@ def _drop(text: bytes, places: list[int]) -> tuple[str, int]:
     return b"\n".join(kept).decode("utf-8", "surrogatepass"), lost
 
 
-def _dedup(docs: DataFrame, spans: Spans, id_col: str, text_col: str, keep_cols: tuple[str, ...]) -> DataFrame:
-    scratch = Scratch(docs.sparkSession)
-    d = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"), *(docs[c].alias(f"keep_{i}") for i, c in enumerate(keep_cols)))
-    d = d.withColumn("rev", F.xxhash64("text")).withColumn("uid", F.xxhash64("doc", "rev"))
+def _repeats(scratch: Scratch, d: DataFrame, spans: Spans) -> DataFrame:
+    """(doc, rev, gone): the spans of each document that stand elsewhere before. d: doc, rev, uid, text, and ``gone`` if spans in it are left out."""
     kind = d.schema["doc"].dataType.simpleString()
-    found = scratch.saved(d.select("uid", "text").mapInArrow(_hashes(spans), "uid long, place long, h long"))
+    found = scratch.saved(d.select("uid", "text", *(c for c in d.columns if c == "gone")).mapInArrow(_hashes(spans), "uid long, place long, h long"))
     one = F.xxhash64("uid", "place")
     repeated = scratch.saved(found.groupBy("h").agg(F.min(one).alias("a"), F.max(one).alias("z")).where("a != z").select("h"))
     wanted = found.join(repeated, "h", "left_semi").groupBy("uid").agg(F.collect_set("place").alias("places"))
@@ -218,8 +254,23 @@ def _dedup(docs: DataFrame, spans: Spans, id_col: str, text_col: str, keep_cols:
     at = F.struct(F.col("doc").isNull().alias("none"), "doc", "rev", "place")
     kept = scratch.saved(fetched.groupBy("chunk").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a != z").select(F.col("chunk").alias("k_chunk"), "a"))
     gone = fetched.join(kept, F.col("chunk") == F.col("k_chunk")).where(at != F.col("a"))
-    gone = scratch.saved(gone.groupBy("doc", "rev").agg(F.collect_set("place").alias("gone")).select(F.col("doc").alias("w_doc"), F.col("rev").alias("w_rev"), "gone"), keep=True)
-    scratch.clear()
+    return gone.groupBy("doc", "rev").agg(F.collect_set("place").alias("gone"))
+
+
+def _dedup(docs: DataFrame, steps: list[Spans], id_col: str, text_col: str, keep_cols: tuple[str, ...]) -> DataFrame:
+    """Repeated spans go, step by step: those of a step are sought outside of what went before."""
+    d = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"), *(docs[c].alias(f"keep_{i}") for i, c in enumerate(keep_cols)))
+    d = d.withColumn("rev", F.xxhash64("text")).withColumn("uid", F.xxhash64("doc", "rev"))
+    kind = d.schema["doc"].dataType.simpleString()
+    gone = None
+    for spans in steps:
+        scratch, plain = Scratch(docs.sparkSession), d.select("doc", "rev", "uid", "text")
+        new = _repeats(scratch, plain if gone is None else plain.join(gone.select("uid", "gone"), "uid", "left"), spans).withColumn("uid", F.xxhash64("doc", "rev"))
+        if gone is not None:
+            new = new.unionByName(gone).groupBy("doc", "rev", "uid").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+        gone = scratch.saved(new, keep=True)
+        scratch.clear()
+    gone = gone.select(F.col("doc").alias("w_doc"), F.col("rev").alias("w_rev"), "gone")
     ours = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("rev") == F.col("w_rev"))
     keeps = [f"keep_{i}" for i in range(len(keep_cols))]
     joined = d.join(gone, ours, "left").select("doc", "text", "gone", *keeps)
@@ -239,12 +290,12 @@ def _dedup(docs: DataFrame, spans: Spans, id_col: str, text_col: str, keep_cols:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = ()) -> DataFrame:
     """doc, text without repeated chunks, n_removed (lines), and ``keep_cols``."""
-    return _dedup(docs, _chunk_spans, id_col, text_col, keep_cols)
+    return _dedup(docs, [_chunk_spans], id_col, text_col, keep_cols)
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), divide: bool = True) -> DataFrame:
     """doc, text without repeated passages, n_removed (lines that went in whole or in part), and ``keep_cols``. Without ``divide``, lines stay or go as a whole."""
-    return _dedup(docs, partial(windows_of, divide=divide), id_col, text_col, keep_cols)
+    return _dedup(docs, [passage_chunks, partial(windows_of, divide=divide)], id_col, text_col, keep_cols)
 
 
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from assetloom.llm.linechunks import chunk_bounds, chunks_of, dedup_lines, dedup_passages
+from assetloom.llm.linechunks import chunk_bounds, chunks_of, dedup_lines, dedup_passages, outside, passage_chunks, windows_of
 
 
 def brute(rows):
@@ -101,3 +101,19 @@ def test_passages_of_long_lines(spark):
     left = set(t[4].split()) & set(within.split())
     assert len(left) < 80 and set(rows[3][1].split()) - set(within.split()) <= set(t[4].split()) and got[3][2] == 1
     assert [(x, n > 0) for i, x, n in got if i == 7] == [("", True)] * 2
+
+
+def test_chunks_go_first_and_windows_extend_them(spark):
+    """Of a copy with other lines around, chunks take the most, and few windows are left to lay; the result is that of windows everywhere."""
+    rng = random.Random(21)
+    line = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(1, 14)))
+    body = [line() if rng.random() < 0.9 else "" for _ in range(60)]
+    rows = [(i, "\n".join([line(), line(), *body, line()] if i % 2 else [line(), *body[i : i + 9], line()])) for i in range(12)]
+    one, two = rows[1][1].encode(), rows[3][1].encode()
+    before = {one[a:z] for a, z in zip(*passage_chunks(one))}
+    gone = [(a, z) for a, z in zip(*passage_chunks(two)) if two[a:z] in before]
+    assert len(gone) > 8
+    assert len(outside(*windows_of(two), gone)[0]) < len(windows_of(two)[0]) / 2
+    got = {r.doc: [x for x in r.text.split("\n") if x] for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = lines_that_stay([(i, "\n".join(x for x in t.split("\n") if x)) for i, t in rows])
+    assert got == {i: x for i, x in want.items()}
