@@ -207,3 +207,16 @@ def test_symbol_hints_deal_the_queries_that_ask_the_same(spark, monkeypatch):
     want = sorted((q, (odd if q % 2 and q < 40 else even)[0], 20 if q % 2 and q < 40 else 40, ",".join((odd if q % 2 and q < 40 else even + odd)[1:])) for q in range(50))
     assert rows(got, "query_id", "symbol", "n", "others") == want
     assert got.where("query_id % 2 = 0").select("task").distinct().count() > 1
+
+
+def test_names_are_resolved_once(spark):
+    """A source and name that all references share is resolved once, and the references aren't shuffled for it."""
+    refs = spark.range(3000).selectExpr("id as ref_id", "if(id % 10 = 9, 'b', if(id % 10 = 8, null, 'a')) as source", "'f.run' as callee", "'f' as name")
+    imports = spark.createDataFrame([("a", i, "f", "mod", "b") for i in range(50)], "source string, import_ord int, name string, module string, path string")
+    symbols = spark.createDataFrame([("s1", "f", "component", "b", 1), ("s2", "f", "hook", "a", 2)], "symbol string, name string, type string, path string, ord int")
+    found = resolution.resolve_render_target(refs, imports, symbols)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().optimizedPlan().toString() and found._jdf.queryExecution().toString().count("Exchange hashpartitioning") == 0
+    got = {(r.symbol, r.how, r.n) for r in found.groupBy("symbol", "how").agg(F.count("*").alias("n")).collect()}
+    assert got == {("s1", "imports", 2400), ("s1", "global", 600)}
+    called = resolution.resolve_call_target(refs, imports, symbols)
+    assert {(r.dst, r.kind, r.n) for r in called.groupBy("dst", "kind").agg(F.count("*").alias("n")).collect()} == {("s2", "internal", 2700), ("s1", "internal", 300)}

@@ -164,3 +164,31 @@ def test_large_frontiers_go_to_the_edges(spark, monkeypatch):
         laid.clear()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_trees_are_gone_through_as_lists(spark, monkeypatch):
+    """Random forests with cycles and loose ends: lists, numbers and a walk agree; trees of few nodes need no rounds."""
+    rng, rows = random.Random(8), []
+    for tree in range(40):
+        n = rng.randint(1, 12)
+        for i in range(n):
+            rows.append((tree, i, rng.choice([None, *range(n + 1)]) if rng.random() < 0.5 else (i - 1 if i else None), rng.choice([None, 0, 1]), rng.choice("abcx"), f"v{i}"))
+    want = {}
+    for tree in range(40):
+        own = [r for r in rows if r[0] == tree]
+        order = []
+
+        def visit(parent):
+            for r in sorted((r for r in own if r[2] == parent), key=lambda r: (r[3] is not None, r[3] or 0, r[1])):
+                order.append(r)
+                visit(r[1])
+
+        visit(None)
+        best = min(((0 if r[4] == "a" else 1, k, r) for k, r in enumerate(order) if r[4] in "abc"), default=None)
+        if best:
+            want[tree] = (best[2][1], best[2][5])
+    frame = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, ord int, kind string, value string")
+    find = lambda small: {r.tree_id: (r.node_id, r.value) for r in traversal.first_of_kinds_in_tree(frame, [["a"], ["b", "c"]], "value", small=small).collect()}
+    assert find(5) == find(0) == want
+    made = rounds(monkeypatch)
+    assert find(64) == want and not made
