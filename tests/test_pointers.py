@@ -192,3 +192,13 @@ def test_small_trees_are_gone_through_as_lists(spark, monkeypatch):
     assert find(5) == find(0) == want
     made = rounds(monkeypatch)
     assert find(64) == want and not made
+
+
+def test_rows_that_point_at_few_nodes(spark):
+    """A node that most rows point at is sent to them; the others, and rows that point at nothing, are joined as before."""
+    up = spark.range(1, 4000).selectExpr("id as node", "if(id < 4, id - 1, if(id % 50 = 0, id - 1, 3)) as up")
+    on = up.selectExpr("node as n", "up as n_up")
+    got = pointers.hop(durable.saved(up), "up", durable.saved(on), "n", 3999)
+    assert "broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
+    above = {r.node: r.up for r in up.collect()}
+    assert {r.node: r.n_up for r in got.collect()} == {i: above.get(u) for i, u in above.items()}
