@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetloom.plans.durable import saved
 from assetloom.plans.frontier import adjacency, walk
-from assetloom.plans.pointers import nearest, preorder
+from assetloom.plans.pointers import lifted, nearest
 from assetloom.plans.ranked import first_by
 
 
@@ -42,22 +42,20 @@ def priority_edge_per_pair(edges: DataFrame, priorities: dict[str, int], unknown
 def drop_implied_edges(edges: DataFrame, sequence: list[str], implied: list[str]) -> DataFrame:
     """Without edges of the implied types whose target is reached from their source along sequence edges.
 
-    Sequences are chains and trees nearly always: there every node is given its place in preorder and that of the last node below it, two numbers that
-    pointer doubling finds, and "reached" is a comparison of numbers. Only where nodes have several predecessors, or go round in circles, is what the comparison doesn't
-    settle walked for, from the sources of those pairs."""
+    Sequences are chains and trees nearly always: there a node's ancestors are told apart by their distance from the top, so "reached" means that the source is the ancestor of the
+    target at the source's own distance, which pointer doubling finds. Nodes that nothing follows and no pair ends at are left out. Only where nodes have several predecessors, or go
+    round in circles, is what the comparison doesn't settle walked for, from the sources of those pairs."""
     e = saved(edges)
     pairs = saved(e.where(F.col("type").isin(implied) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct())
     steps = saved(adjacency(e, "out", sequence).where("src <> dst"))
-    first = saved(steps.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("up"), F.count(F.lit(1)).alias("n")))
+    asked = steps.select(F.col("src").alias("dst")).unionByName(pairs.select("dst")).distinct()
+    first = saved(steps.join(asked, "dst", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("up"), F.count(F.lit(1)).alias("n")))
     has = first.select(F.col("node").alias("h"))
     tops = saved(nearest(first.join(has, F.col("up") == F.col("h"), "left"), F.col("h").isNull()))
-    tree = tops.join(first, "node").select(F.col("hit").alias("tree_id"), F.col("node").alias("node_id"), F.col("up").alias("parent_id"), F.lit(0).alias("ord"))
-    tree = tree.unionByName(tops.select(F.col("hit").alias("tree_id"), F.col("hit").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("ord")).distinct())
-    place = saved(preorder(tree))
-    a = place.select(F.col("tree_id").alias("a_tree"), F.col("node_id").alias("src"), F.col("first").alias("a_first"), F.col("last").alias("a_last"))
-    b = place.select(F.col("tree_id").alias("b_tree"), F.col("node_id").alias("dst"), F.col("first").alias("b_first"))
-    within = (F.col("a_tree") == F.col("b_tree")) & (F.col("b_first") > F.col("a_first")) & (F.col("b_first") <= F.col("a_last"))
-    gone = pairs.join(a, "src").join(b, "dst").where(within).select("src", "dst")
+    below = saved(pairs.join(tops.select(F.col("node").alias("dst"), F.col("hit").alias("top"), F.col("dist").alias("far")), "dst"))
+    inner = below.where("src <> top").join(tops.select(F.col("node").alias("src"), F.col("dist").alias("near")), "src").where("far > near")
+    met = lifted(first.join(tops.select("node"), "node", "left_semi"), inner.select("src", "dst", F.col("dst").alias("node"), (F.col("far") - F.col("near")).alias("steps")))
+    gone = below.where("src = top").select("src", "dst").unionByName(met.where("src = node").select("src", "dst"))
     if not (first.where("n > 1").isEmpty() and first.join(tops, "node", "left_anti").isEmpty()):
         gone = saved(gone)
         open_ = saved(pairs.join(gone, ["src", "dst"], "left_anti"))

@@ -202,3 +202,25 @@ def test_rows_that_point_at_few_nodes(spark):
     assert "broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
     above = {r.node: r.up for r in up.collect()}
     assert {r.node: r.n_up for r in got.collect()} == {i: above.get(u) for i, u in above.items()}
+
+
+def test_implied_edges_of_a_wide_tree_take_few_rounds(spark, monkeypatch):
+    """What follows nothing and no pair ends at isn't looked at; the rounds follow from the depth of 3, not from the number of nodes."""
+    from assetloom.operators import graph
+
+    made, real, seen = [], pointers.saved, []
+    monkeypatch.setattr(pointers, "saved", lambda df: made.append(1) or real(df))
+    monkeypatch.setattr(graph, "nearest", lambda parents, *a: seen.append(parents.count()) or pointers.nearest(parents, *a))
+    steps = spark.createDataFrame([("next", "top", f"g{i}") for i in range(10)], "type string, src string, dst string")
+    steps = steps.unionByName(spark.range(5000).selectExpr("'next' as type", "concat('g', id % 10) as src", "concat('n', id) as dst"))
+    steps = steps.unionByName(spark.range(5000).selectExpr("'next' as type", "concat('n', id) as src", "concat('leaf', id) as dst"))
+    calls = spark.createDataFrame([("calls", "top", "n1"), ("calls", "g1", "leaf1"), ("calls", "g2", "leaf1"), ("calls", "n1", "leaf1"), ("calls", "leaf1", "g1"), ("calls", "n1", "n11"), ("calls", "top", "top"), ("calls", "out", "leaf1")], "type string, src string, dst string")
+    got = graph.drop_implied_edges(steps.unionByName(calls).withColumn("k", F.lit(1)), ["next"], ["calls"]).where("type = 'calls'").collect()
+    assert sorted((r.src, r.dst) for r in got) == [("g2", "leaf1"), ("leaf1", "g1"), ("n1", "n11"), ("out", "leaf1"), ("top", "top")]
+    assert len(made) <= 8 and seen == [5011]
+
+
+def test_lifted(spark):
+    parents = spark.range(1, 1001).selectExpr("id as node", "id - 1 as up")
+    asks = spark.createDataFrame([("a", 1000, 999), ("b", 7, 0), ("c", 7, 7), ("d", 7, 8), ("e", 640, 512)], "name string, node long, steps long")
+    assert sorted(tuple(r) for r in pointers.lifted(parents, asks).collect()) == [("a", 1), ("b", 7), ("c", 0), ("e", 128)]
