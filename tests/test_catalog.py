@@ -220,3 +220,17 @@ def test_names_are_resolved_once(spark):
     assert got == {("s1", "imports", 2400), ("s1", "global", 600)}
     called = resolution.resolve_call_target(refs, imports, symbols)
     assert {(r.dst, r.kind, r.n) for r in called.groupBy("dst", "kind").agg(F.count("*").alias("n")).collect()} == {("s2", "internal", 2700), ("s1", "internal", 300)}
+
+
+def test_few_expressions_bring_few_entries_together(spark, monkeypatch):
+    """What finds 2,000 nodes isn't shuffled or met for four expressions: what they don't ask for is dropped first. A root with a piece that no label has finds nothing."""
+    from assetloom.operators import resolution
+
+    sent, real = [], resolution.few
+    monkeypatch.setattr(resolution, "few", lambda df, n: sent.append(n) or real(df, n))
+    empty = "array<string>"
+    nodes = spark.range(2000).selectExpr("concat('n', id) as node", "id as ord", "'data-fetch' as type", "concat('ORDER#', id) as label", "concat('FETCH#', id) as name", "array(concat('o', id)) as outputs", f"cast(array() as {empty}) as reads", "cast(array() as array<struct<name: string, source: string>>) as inputs", "cast(null as string) as expression")
+    asked = spark.createDataFrame([("a", "o17.status"), ("b", "R#199"), ("c", "ORDER#xyz"), ("d", "#3")], "expr_id string, expression string")
+    got = resolution.resolve_expression(asked, resolution.expression_lookup(nodes))
+    assert sorted((r.expr_id, r.node) for r in got.collect()) == [("a", "n17"), ("b", "n199"), ("d", "n3")]
+    assert sent == [8, 12, 2]
