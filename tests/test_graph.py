@@ -254,3 +254,12 @@ def test_merge_steps_agrees_with_its_sql_on_ends_of_days_and_ties(spark, tmp_pat
     got = [tuple(r) for r in catalogue.QUERIES["merge_steps"](spark, str(tmp_path)).orderBy("number").collect()]
     assert got == db.execute(f"SELECT * FROM ({catalogue.ORACLE_SQL['merge_steps']}) ORDER BY number").fetchall()
     assert [r[3] for r in got] == ["click", "view", "error", "search", "view"]
+
+
+def test_tree_levels_bring_no_parallel_edges_together(spark, monkeypatch):
+    plans, real = [], traversal.walk
+    monkeypatch.setattr(traversal, "walk", lambda steps, *a: plans.append(steps._jdf.queryExecution().optimizedPlan().toString()) or real(steps, *a))
+    edges = spark.createDataFrame([("e", "a", "b", 1), ("e", "a", "b", 2), ("e", "b", "c", 3), ("e", "a", "c", 4), ("e", "c", "d", 5), ("e", None, "x", 6), ("e", "x", None, 7)], "type string, src string, dst string, k long")
+    nodes = spark.createDataFrame([(n,) for n in "abcdx"], "node string")
+    assert rows(traversal.tree_levels(nodes, edges), "node", "level") == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("x", 0)]
+    assert len(plans) == 1 and "Aggregate" not in plans[0]
