@@ -263,3 +263,23 @@ def test_tree_levels_bring_no_parallel_edges_together(spark, monkeypatch):
     nodes = spark.createDataFrame([(n,) for n in "abcdx"], "node string")
     assert rows(traversal.tree_levels(nodes, edges), "node", "level") == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("x", 0)]
     assert len(plans) == 1 and "Aggregate" not in plans[0]
+
+
+def test_neighbors_leaves_out_other_edges_before_pairs_are_made_distinct(spark):
+    from assetloom.operators.traversal import neighbors
+
+    e = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "a"), ("d", "e"), ("a", None), (None, "a")], "src string, dst string")
+    found = neighbors(e, spark.createDataFrame([("a",)], "root string"), "both")
+    assert sorted((x.root, x.node) for x in found.collect()) == [("a", "b"), ("a", "c")]
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("Aggregate") == 1
+
+
+def test_tree_and_walk_share_clustered_steps_with_parallel_edges(spark):
+    from assetloom.operators.traversal import containment_tree
+    from assetloom.plans.frontier import clustered, walk
+
+    steps = clustered(spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "d")], "src string, dst string"))
+    roots = spark.createDataFrame([("a",)], "root string")
+    tree = containment_tree(steps, roots)
+    assert sorted((x.path, x.is_last) for x in tree.collect()) == [("a", True), ("a > b", False), ("a > b > d", True), ("a > c", True)]
+    assert sorted((x.node, x.depth) for x in walk(steps, roots).collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
