@@ -68,13 +68,15 @@ def call_sites(assets: DataFrame, *keys: str, content: str = "content") -> DataF
     return found.select(*keys, "line", F.split_part("call", F.lit("("), F.lit(1)).alias("callee"), args.alias("args"))
 
 
+def writes(callee: str, field: Column) -> Column:
+    """Whether a call writes a field: by its setter, a method that sets, or a dispatch."""
+    c, setter = F.col(callee), F.concat(F.lit("set"), F.upper(F.substring(field, 1, 1)), F.substr(field, F.lit(2)))
+    return (c == setter) | c.endswith(F.concat(F.lit("."), setter)) | c.endswith(".setState") | c.endswith(".set") | (c == "dispatch")
+
+
 def write_sites(sites: DataFrame, field: str | Column, *keys: str) -> DataFrame:
-    """Sites (owner, callee, context, line, expression) that write a field: by its setter, a method that sets, or a dispatch; one for each expression of a line, and of ``keys``."""
-    f = F.lit(field) if isinstance(field, str) else field
-    setter = F.concat(F.lit("set"), F.upper(F.substring(f, 1, 1)), F.expr("substring(_field, 2)"))
-    c = F.col("callee")
-    hit = (c == F.col("_setter")) | c.endswith(F.concat(F.lit("."), F.col("_setter"))) | c.endswith(".setState") | c.endswith(".set") | (c == "dispatch")
-    s = sites.withColumn("_field", f).withColumn("_setter", setter).where(hit).drop("_field", "_setter")
+    """Sites (owner, callee, context, line, expression) that write a field; one for each expression of a line, and of ``keys``."""
+    s = sites.where(writes("callee", F.lit(field) if isinstance(field, str) else field))
     return s.dropDuplicates([*keys, "owner", "line", "expression"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.plans.durable import saved
-from assetloom.plans.frontier import adjacency, walk
+from assetloom.plans.frontier import adjacency, looked_up, walk
 from assetloom.plans.pointers import lifted, nearest
 from assetloom.plans.ranked import first_by
 
@@ -169,20 +169,23 @@ def edges_value_source(flows: DataFrame, targets: DataFrame) -> DataFrame:
     return flows.join(targets, "flow_id").select(F.col("dst").alias("src"), F.col("child").alias("dst"), F.lit("prop_source").alias("type"), "prop", "value", F.col("line").alias("k"), "owner")
 
 
+def among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among the nodes. Targets are looked up first: where few edges lead to a node, they rule out more than sources do, so less is brought together for the second lookup."""
+    ids = looked_up(nodes.select("node"))
+    kept = edges.join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return kept.join(ids.withColumnRenamed("node", "src"), "src", "left_semi")
+
+
 def filter_layer(nodes: DataFrame, edges: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """Nodes whose label or path holds the text, and the edges among them."""
     hit = nodes.where(F.lower("label").contains(text.lower()) | F.lower("path").contains(text.lower()))
-    ids = hit.select("node")
-    kept = edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return hit, kept
+    return hit, among(edges, hit)
 
 
 def layer_component(nodes: DataFrame, edges: DataFrame, visible: list[str]) -> tuple[DataFrame, DataFrame]:
     """Nodes of visible types and the edges with both ends among them."""
     shown = nodes.where(F.col("type").isin(visible))
-    ids = shown.select("node")
-    kept = edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return shown, kept
+    return shown, among(edges, shown)
 
 
 def layer_chain(entries: DataFrame, key: str, order: list[str], first_type: str, other_type: str) -> DataFrame:

@@ -283,3 +283,37 @@ def test_tree_and_walk_share_clustered_steps_with_parallel_edges(spark):
     tree = containment_tree(steps, roots)
     assert sorted((x.path, x.is_last) for x in tree.collect()) == [("a", True), ("a > b", False), ("a > b > d", True), ("a > c", True)]
     assert sorted((x.node, x.depth) for x in walk(steps, roots).collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+
+
+def test_visible_tree_keeps_two_ancestors_of_hidden_nodes(spark):
+    nodes = spark.createDataFrame([("a", "v"), ("b", "v"), ("c", "v"), ("h", "h"), ("i", "h"), ("x", "v")], "node string, type string")
+    pairs = [("a", "h"), ("b", "h"), ("c", "h"), ("h", "i"), ("i", "h"), ("h", "a"), ("i", "b"), ("i", "x"), ("i", "x")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    found = traversal.visible_tree(edges, nodes, ["h"])
+    assert sorted((x.node, x.parent) for x in found.collect()) == [("a", "b"), ("b", "a"), ("c", None), ("x", "a")]
+
+
+def test_written_fields_are_looked_for_in_one_join(spark):
+    edges = spark.createDataFrame([("r", "a")], "src string, dst string")
+    calls = spark.createDataFrame([("a", "setStatus", "on", 1, "x"), ("a", "setStatus", "off", 1, "x"), ("a", "setOther", "on", 2, "y"), ("b", "dispatch", "on", 3, "z")], "owner string, callee string, context string, line int, expression string")
+    effects = spark.createDataFrame([("a", ["status"], "effect", 4), ("a", ["other"], "effect", 5), ("a", None, "effect", 6)], "owner string, deps array<string>, context string, line int")
+    found = traversal.traced_field_writers(edges, calls, effects, spark.createDataFrame([("r", "status")], "root string, field string"))
+    assert sorted((x.role, x.owner, x.line, x.context) for x in found.collect()) == [("trigger", "a", 4, "effect"), ("write", "a", 1, "off"), ("write", "a", 1, "on")]
+
+
+def test_edges_among_many_nodes_are_looked_up_without_sorting_them(spark, monkeypatch):
+    from assetloom.plans import frontier
+
+    monkeypatch.setattr(frontier, "FEW", 0)
+    nodes = spark.createDataFrame([("a", "v"), ("b", "v"), ("c", "w")], "node string, type string")
+    edges = spark.createDataFrame([("t", "a", "b", 1), ("t", "a", "c", 2), ("t", "c", "b", 3), ("t", "a", None, 4)], "type string, src string, dst string, k int")
+    found = graph.layer_component(nodes, edges, ["v"])[1]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [x.k for x in found.collect()] == [1]
+
+
+def test_expand_khop_in_both_directions_loses_no_edge_of_the_last_round(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("c", "b", 2), ("c", "d", 3), ("e", "d", 4), (None, "a", 5), (None, "b", 6), ("b", "b", 7), ("a", "b", 1)], "src string, dst string, k int")
+    found = traversal.expand_khop(edges, spark.createDataFrame([("a",)], "root string"), 3)
+    assert sorted(x.k for x in found.collect()) == [1, 2, 3, 5, 6, 7]
+    assert sorted(x.k for x in traversal.expand_khop(edges, spark.createDataFrame([("a",)], "root string"), 1).collect()) == [1, 5]
