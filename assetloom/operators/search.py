@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.operators import extraction
-from assetloom.plans.durable import saved
-from assetloom.plans.frontier import adjacency, few, incident, walk
+from assetloom.plans.durable import cut, saved
+from assetloom.plans.frontier import at_ids, few, incident, looked_up, steps_of, walk
 from assetloom.plans.ranked import top_by
 
 
@@ -86,18 +86,23 @@ def retrieve_context(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth
 
 
 def _inner(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, node): the nodes whose edges are within ``depth`` of a root."""
-    return walk(adjacency(edges, "both"), roots.select("root"), depth - 1).select("root", "node")
+    """(root, node): the nodes whose edges are within ``depth`` of a root. A single step from the roots needs no walk, for which the steps would be written."""
+    if depth != 2:
+        return walk(steps_of(edges, "both"), roots.select("root"), depth - 1).select("root", "node")
+    r = cut(roots.select("root").distinct())
+    near = steps_of(edges, "both").join(looked_up(r), F.col("src") == F.col("root")).select("root", F.col("dst").alias("node"))
+    return near.unionByName(r.select("root", F.col("root").alias("node"))).distinct()
 
 
 def _context(nodes: DataFrame, edges: DataFrame, inner: DataFrame, limit: int) -> DataFrame:
-    """``retrieve_context`` of the nodes whose edges count. What is first around a root is first around one of these nodes, so the first ``limit`` and one (the root itself) of each node suffice, however many edges it has."""
-    ends = F.explode(F.array(*(F.struct(F.col(x).alias("at"), F.col(y).alias("near")) for x in ("src", "dst") for y in ("src", "dst"))))
-    each = edges.select("type", "k", ends.alias("x")).select("x.at", "x.near", "type", "k").where("at is not null and near is not null")
+    """``retrieve_context`` of the nodes whose edges count (written). What is first around a root is first around one of these nodes, so the first ``limit`` and one (the root itself) of each node suffice, however many edges it has. Edges at other nodes aren't brought together."""
+    ends = F.explode(F.array(*(F.struct(F.col(x).alias("at"), F.col(y).alias("other")) for x, y in (("src", "dst"), ("dst", "src")))))
+    ends = at_ids(edges.select("type", "k", ends.alias("x")).select("x.at", "x.other", "type", "k").where("at is not null"), "at", inner.select("node"))
+    each = ends.select("at", F.explode(F.array("at", "other")).alias("near"), "type", "k").where("near is not null")
     tops = top_by(each.groupBy("at", "near").agg(F.min(F.struct("type", "k")).alias("o")), ["at"], ["o", "near"], limit + 1, "place")
     first = inner.join(tops, F.col("node") == F.col("at")).groupBy("root", F.col("near").alias("node")).agg(F.min("o").alias("o"))
-    ranked = top_by(first, ["root"], [F.col("node") != F.col("root"), "o", "node"], limit, "ord")
-    return ranked.join(nodes.select("node", "label", "path"), "node").select("root", "ord", "node", "label", "path")
+    ranked = saved(top_by(first, ["root"], [F.col("node") != F.col("root"), "o", "node"], limit, "ord"))
+    return ranked.join(at_ids(nodes.select("node", "label", "path"), "node", ranked.select("node")), "node").select("root", "ord", "node", "label", "path")
 
 
 #: Intents that ask for a symbol, and its type.

@@ -122,3 +122,25 @@ def test_context_of_hubs_is_found_without_their_expansion(spark):
             want += [(depth, r, i, x) for i, x in enumerate(sorted(first, key=lambda x: (x != r, first[x], x))[:limit], 1)]
     got = [(depth, *x) for depth, limit in ((1, 3), (2, 4)) for x in rows(search.retrieve_context(nodes, e, roots, depth, limit), "root", "ord", "node")]
     assert sorted(got) == sorted(want)
+
+
+def test_context_leaves_edges_at_other_nodes_where_they_are(spark, monkeypatch):
+    """Of 20,000 edges, those at the nodes around two roots are brought together or written; all were before."""
+    from assetloom.plans import frontier
+
+    written, real = [], search.saved
+
+    def counted(df):
+        frame = real(df)
+        written.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(search, "saved", counted)
+    monkeypatch.setattr(frontier, "saved", counted)
+    edges = spark.range(20_000).selectExpr("'e' as type", "concat('n', id) as src", "concat('n', id + 1) as dst", "id as k")
+    nodes = spark.range(20_001).selectExpr("concat('n', id) as node", "'x' as label", "'y' as path")
+    roots = spark.createDataFrame([("n7",), ("n100",)], "root string")
+    got = search.retrieve_context(nodes, edges, roots, 2, 3)
+    assert rows(got, "root", "ord", "node") == [("n100", 1, "n100"), ("n100", 2, "n98"), ("n100", 3, "n99"), ("n7", 1, "n7"), ("n7", 2, "n5"), ("n7", 3, "n6")]
+    assert max(written) < 20
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
