@@ -144,3 +144,35 @@ def test_context_leaves_edges_at_other_nodes_where_they_are(spark, monkeypatch):
     assert rows(got, "root", "ord", "node") == [("n100", 1, "n100"), ("n100", 2, "n98"), ("n100", 3, "n99"), ("n7", 1, "n7"), ("n7", 2, "n5"), ("n7", 3, "n6")]
     assert max(written) < 20
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _random_requests(spark, n_edges):
+    """A hub, edges in both directions, parallel and equal ones, loops, and requests that meet an edge at both ends."""
+    rng = random.Random(12)
+    edges = [(rng.choice("ab"), f"c{rng.randint(0, 9)}", f"c{rng.randint(0, 9)}", k % 70) for k in range(80)] + [("a", "c0", f"c{rng.randint(10, 400)}", k) for k in range(n_edges)]
+    edges += edges[:20] + [("a", None, "c3", 1), ("b", "c4", None, 2)]
+    e = spark.createDataFrame(edges, "type string, src string, dst string, k long")
+    nodes = spark.createDataFrame([(f"c{i}", "component" if i % 3 else "hook", f"N{i // 2}", f"f{i % 7}.tsx", 1, 2) for i in range(401)], "node string, type string, label string, path string, start int, end int")
+    assets = spark.createDataFrame([(f"f{i}.tsx", f"one {i}\ntwo\nthree") for i in range(6)], "path string, content string")
+    files = spark.createDataFrame([("/a", "f1.tsx"), ("/b", "f6.tsx")], "route string, asset string")
+    asked = [(q, ("component_trace", "hook_trace", "route_trace", "other")[q % 4], ("a", "b", "x")[q % 3] if q % 4 == 2 else f"N{q % 12}") for q in range(30)] + [(99, None, None)]
+    return spark.createDataFrame(asked, "query_id int, intent string, target string"), nodes, e, assets, files, edges
+
+
+def test_retrieval_sends_nodes_to_edges(spark, monkeypatch):
+    """Rows of requests times edges were brought together to be made distinct; no step after the join does so now."""
+    *tables, edges = _random_requests(spark, 2000)
+    got = search.retrieval(*tables)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = rows(got, "query_id", "section", "ord", "subject", "value")
+    label = {f"c{i}": ("component_trace" if i % 3 else "hook_trace", f"N{i // 2}") for i in range(401)}
+    want = []
+    for q, intent, target in tables[0].collect():
+        at = set([min((n for n, x in label.items() if x == (intent, target)), default=None)] if intent in ("component_trace", "hook_trace") else [])
+        at |= {d for _, s, d, _ in edges if s in at and s and d} | {s for _, s, d, _ in edges if d in at and s and d}
+        if intent == "route_trace":
+            at = {f"c{i}" for i in range(401) if f"f{i % 7}.tsx" == {"a": "f1.tsx", "b": "f6.tsx"}.get(target)}
+        want += [(q, k, s) for t, s, d, k in {x for x in edges if x[1] in at - {None} or x[2] in at - {None}}]
+    assert sorted(((r[0], r[2], r[3]) for r in found if r[1] == "edges"), key=repr) == sorted(want, key=repr) and len(want) > 10_000
+    monkeypatch.setattr(search, "FEW", 0)
+    assert rows(search.retrieval(*tables), "query_id", "section", "ord", "subject", "value") == found
