@@ -176,3 +176,19 @@ def test_retrieval_sends_nodes_to_edges(spark, monkeypatch):
     assert sorted(((r[0], r[2], r[3]) for r in found if r[1] == "edges"), key=repr) == sorted(want, key=repr) and len(want) > 10_000
     monkeypatch.setattr(search, "FEW", 0)
     assert rows(search.retrieval(*tables), "query_id", "section", "ord", "subject", "value") == found
+
+
+def test_documents_are_those_of_the_rows(spark, monkeypatch):
+    """The parts of a request's edges are made where they are joined, in several groups of requests; the texts of all parts were shuffled and numbered."""
+    *tables, _ = _random_requests(spark, 6000)
+    want = rows(search.retrieval_document(tables[0], search.retrieval(*tables)), "query_id", "part", "text")
+    assert max(part for _, part, _ in want) > 15
+    for few, size in ((200_000, 1 << 19), (200_000, 5000), (0, 20_000)):
+        monkeypatch.setattr(search, "FEW", few)
+        monkeypatch.setattr(search, "TASK_EDGES", size)
+        got = search.retrieved_documents(*tables)
+        assert rows(got, "query_id", "part", "text") == want
+    from assetloom import catalogue
+
+    plan = catalogue.QUERIES["retrieval_document"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
