@@ -234,3 +234,34 @@ def test_few_expressions_bring_few_entries_together(spark, monkeypatch):
     got = resolution.resolve_expression(asked, resolution.expression_lookup(nodes))
     assert sorted((r.expr_id, r.node) for r in got.collect()) == [("a", "n17"), ("b", "n199"), ("d", "n3")]
     assert sent == [8, 12, 2]
+
+
+def test_symbol_hints_list_a_path_once(spark):
+    """The symbols of a name are listed by path, not for each of its hints; nulls and ties are as in one list."""
+    import random
+
+    rng = random.Random(3)
+    syms = [(rng.choice(["s%d" % i, "s%d" % i, None]), rng.choice("ab"), "k", rng.choice(["p1", "p2", "up1", "p11", None]), rng.choice([None, i % 9])) for i in range(120)]
+    asked = [(i, rng.choice("abc"), "k", rng.choice([None, "", "p1", "1", "p", "x"])) for i in range(60)]
+    got = resolution.resolve_symbol_hint(spark.createDataFrame(asked, "query_id int, name string, type string, hint string"), spark.createDataFrame(syms, "symbol string, name string, type string, path string, ord int"))
+    none_first = lambda x: (x is not None, x or 0 if isinstance(x, int) else x or "")
+    want = []
+    for q, name, _, hint in asked:
+        fit = [(0 if p == hint and hint is not None else 1 if hint is not None and p.endswith(hint) else 2, none_first(p), (o is not None, o or 0), none_first(s)) for s, n, _, p, o in syms if n == name and (hint is None or (p is not None and hint in p))]
+        names = [x[3][1] if x[3][0] else None for x in sorted(fit)]
+        if names:
+            want.append((q, names[0], len(names), ",".join(x for x in names[1:] if x is not None)))
+    assert sorted(map(tuple, got.select("query_id", "symbol", "n", "others").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_long_texts_are_sent_in_a_bounded_number_of_blocks(spark, monkeypatch):
+    """What is sent of the texts grew with rows times text; it is bounded by the number of blocks, and the result is the same."""
+    from assetloom.plans import blocks
+
+    monkeypatch.setattr(blocks, "TASK_CHARS", 100)
+    monkeypatch.setattr(blocks, "MOST_BLOCKS", 8)
+    rows_ = spark.range(3000).selectExpr("id", "id % 3 as key")
+    texts = spark.range(3).selectExpr("id as key", "repeat(cast(id as string), 50) as text")
+    out = blocks.with_text(rows_, texts, ["key"], "text")
+    assert out.where("text = repeat(cast(key as string), 50)").count() == 3000 == out.count()
+    assert 2 < out.select(F.spark_partition_id()).distinct().count() <= 11
