@@ -236,13 +236,15 @@ def test_few_expressions_bring_few_entries_together(spark, monkeypatch):
     assert sent == [8, 12, 2]
 
 
-def test_symbol_hints_list_a_path_once(spark):
+def test_symbol_hints_list_a_path_once(spark, monkeypatch):
     """The symbols of a name are listed by path, not for each of its hints; nulls and ties are as in one list."""
     import random
 
     rng = random.Random(3)
     syms = [(rng.choice(["s%d" % i, "s%d" % i, None]), rng.choice("ab"), "k", rng.choice(["p1", "p2", "up1", "p11", None]), rng.choice([None, i % 9])) for i in range(120)]
     asked = [(i, rng.choice("abc"), "k", rng.choice([None, "", "p1", "1", "p", "x"])) for i in range(60)]
+    written, real = [], resolution.saved
+    monkeypatch.setattr(resolution, "saved", lambda df: written.append(real(df)) or written[-1])
     got = resolution.resolve_symbol_hint(spark.createDataFrame(asked, "query_id int, name string, type string, hint string"), spark.createDataFrame(syms, "symbol string, name string, type string, path string, ord int"))
     none_first = lambda x: (x is not None, x or 0 if isinstance(x, int) else x or "")
     want = []
@@ -252,6 +254,7 @@ def test_symbol_hints_list_a_path_once(spark):
         if names:
             want.append((q, names[0], len(names), ",".join(x for x in names[1:] if x is not None)))
     assert sorted(map(tuple, got.select("query_id", "symbol", "n", "others").collect()), key=repr) == sorted(want, key=repr)
+    assert [x.count() for x in written] == [len({(n, p) for _, n, _, p, _ in syms})]
 
 
 def test_long_texts_are_sent_in_a_bounded_number_of_blocks(spark, monkeypatch):
